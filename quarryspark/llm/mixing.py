@@ -61,7 +61,7 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
     seed: str = "mix",
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
 ) -> DataFrame:
     """One row a document: id, size, source_size, target, taken, and epochs/partial that make up taken."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
