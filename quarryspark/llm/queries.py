@@ -17,6 +17,21 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.language_id import identify_language, remainder, train_language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = train_language_id(docs, ~held_out)
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.transport_stream import media_digests
+
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.llm.token_files import token_file_digests
 
@@ -35,10 +50,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), blanks="dropped", end_id=0)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.language_id import remainder
+    from quarryspark.llm.quality import classify_quality
+
+    held_out = remainder("doc_id", 3) == 1
+    scored = classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_media": op3_media,
     "op6_token_files": op6_token_files,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
