@@ -26,6 +26,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.substring_dedup import remove_repeated_passages
+
+    return remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.llm.transport_stream import media_digests
 
@@ -61,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_media": op3_media,
     "op6_token_files": op6_token_files,
     "op8_mixing": op8_mixing,
