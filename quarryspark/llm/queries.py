@@ -44,6 +44,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), blanks="leading", end_id=2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.html_text import extract_main_text, learn_weights
+
+    pages = _table(spark, sf_dir, "pages")
+    return extract_main_text(pages, learn_weights(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.llm.mixing import mix_sources
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_media": op3_media,
     "op6_token_files": op6_token_files,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
