@@ -4,15 +4,15 @@ The library encodes a whole text by normalizing it, splitting it into pre-tokens
 merging inside each of those. No pre-token of the two kinds of tokenizer below reaches
 across the start of a run of blanks, so a text can be cut there, every cut-out unit
 encoded by the library on its own, and the ids put together again. Units repeat a lot, so
-a worker keeps what it has encoded in a dictionary of bounded size.
+a worker keeps what it has encoded in dictionaries of bounded size.
 
-``blanks="leading"``: byte-level kinds, where blanks belong to what follows. A unit is
-blanks and the run after them. A text with white space other than space and newline is
-encoded whole, as a cut might fall inside a longer run of white space.
+``blanks="leading"``: byte-level kinds, where a blank belongs to what follows. A unit is one
+space or newline and the run after it. Texts with longer runs of white space, with white
+space at an end or with white space of other kinds are encoded whole.
 ``blanks="dropped"``: kinds that drop white space. A unit is a run without space and newline.
-In both kinds letters or digits and the punctuation after them are different pre-tokens, so
-punctuation at a unit's end is encoded on its own.
 ``blanks=None``: any other kind; texts are encoded whole.
+In the first two kinds letters or digits and the punctuation after them are different
+pre-tokens, so punctuation at a unit's end is encoded on its own.
 """
 
 from __future__ import annotations
@@ -25,10 +25,15 @@ import numpy as np
 #: entries a worker keeps before it starts anew
 CACHE_ENTRIES = 1_200_000
 
-_UNITS = {"leading": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "dropped": re.compile(r"[^ \n]+")}
 #: no apostrophe: it may open a pre-token with the letters after it
 _PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^`{|}~'
-_OTHER_WHITE = re.compile(r"[^\S \n]")
+#: white space other than space and newline
+_OTHER_WHITE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]").search
+
+
+def uneven(t: str) -> bool:
+    """Whether a cut before each space and newline might fall inside a longer run of white space."""
+    return "  " in t or " \n" in t or "\n\n" in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _OTHER_WHITE(t) is not None
 
 
 class UnitEncoder:
@@ -40,38 +45,60 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
-        self.known: dict[str, np.ndarray] = {}
+        #: ids of units by the unit without its space, and of strings as they are
+        self.known: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> None:
-        """Encode ``units`` into the dictionary, many in one call."""
+    def many(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, many units in one call of the library."""
+        out: list[bytes] = []
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            of = np.array(e.word_ids, dtype="int64")
-            raw, cut = np.array(e.ids, dtype="<u4").tobytes(), (np.searchsorted(of, np.arange(len(part) + 1)) * 4).tolist()
-            self.known.update((u, raw[cut[k] : cut[k + 1]]) for k, u in enumerate(part))
+            cut = (np.searchsorted(np.array(e.word_ids, dtype="int64"), np.arange(len(part) + 1)) * 4).tolist()
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            out += [raw[cut[k] : cut[k + 1]] for k in range(len(part))]
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.blanks is None:
-            return self.whole(texts)
-        units, odd = _UNITS[self.blanks], _OTHER_WHITE if self.blanks == "leading" else None
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known, split = self.known, [None if odd is not None and odd.search(t) else units.findall(t) for t in texts]
-        fresh = {u for s in split if s is not None for u in s if u not in known}
-        ends = {}
+    def learn_plain(self, strings: set[str]) -> None:
+        fresh = list(strings - self.plain.keys())
+        self.plain.update(zip(fresh, self.many(fresh), strict=True))
+
+    def learn(self, units: set[str]) -> None:
+        known = self.known
+        fresh, ends = units - known.keys(), {}
         for u in fresh:
             stem = u.rstrip(_PUNCTUATION)
             if len(stem) < len(u) and stem[-1:].isalnum():
                 ends[u] = stem, u[len(stem) :]
-        self.learn([u for u in {*(fresh - ends.keys()), *(x for e in ends.values() for x in e)} if u not in known])
-        known.update((u, known[a] + known[b]) for u, (a, b) in ends.items())
-        out = []
-        for text, s in zip(texts, split, strict=True):
-            out.append(self.whole([text])[0] if s is None else np.frombuffer(b"".join([known[u] for u in s]), dtype="<u4"))
+        self.learn_plain({tail for _, tail in ends.values()})
+        new = list((fresh - ends.keys()) | ({stem for stem, _ in ends.values()} - known.keys()))
+        spaced = [u if u[0] == "\n" else " " + u for u in new] if self.blanks == "leading" else new
+        known.update(zip(new, self.many(spaced), strict=True))
+        known.update((u, known[stem] + self.plain[tail]) for u, (stem, tail) in ends.items())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.blanks is None:
+            return self.whole(texts)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known, self.plain = {"": b""}, {"": b""}
+        leading = self.blanks == "leading"
+        # a space is put before every newline, so that a split at spaces leaves newlines with what follows
+        split = [(t.replace("\n", " \n") if leading else t.replace("\n", " ")).split(" ") if not leading or not uneven(t) else None for t in texts]
+        first = [s[0] if s and leading else "" for s in split]
+        self.learn(set().union(*[s[1:] if leading else s for s in split if s is not None]))
+        if leading:
+            self.learn_plain(set(first))
+        find, out = self.known.__getitem__, []
+        for text, s, f in zip(texts, split, first, strict=True):
+            if s is None:
+                out.append(self.whole([text])[0])
+            else:
+                ids = b"".join(map(find, s[1:] if leading else s))
+                out.append(np.frombuffer(self.plain[f] + ids if leading else ids, dtype="<u4"))
         return out
 
 
