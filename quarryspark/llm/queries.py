@@ -38,6 +38,20 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of ``benchmark`` is a query against all documents."""
+    from quarryspark.llm.topk_search import search_top_k
+
+    found = search_top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.llm.token_files import token_file_digests
 
@@ -76,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_media": op3_media,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_topk_search": op5_topk_search,
     "op6_token_files": op6_token_files,
     "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
