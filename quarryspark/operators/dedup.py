@@ -4,7 +4,8 @@ Items are (item_id, title, url, snippet, score, content). Stages run one after a
 the winners of the one before. The best score wins, then the least item_id; the addresses
 of the others are the winner's ``merged_sources``. Items whose paragraphs are all too short
 have an empty fingerprint set and count as equal content (``collapse_empty``). A threshold
-of 0 merges everything.
+of 0 merges everything. With ``scope``, a column of the items, all stages work within its
+values.
 """
 
 from __future__ import annotations
@@ -29,44 +30,47 @@ def prepare_items(items: DataFrame, *, min_chars: int = MIN_PARAGRAPH_CHARS, ext
     return marked.withColumn("state", state).withColumn("fingerprints", F.when(F.col("state") == "ok", fingerprint_set("content", min_chars)))
 
 
-def keep_best(items: DataFrame, by: list[Column]) -> DataFrame:
+def keep_best(items: DataFrame, by: list[Column], scope: str | None = None) -> DataFrame:
     """One row a group: the winner's columns, ``first_pos`` and all addresses in ``urls``."""
+    columns = ITEM if scope is None else (*ITEM, scope)
+    by = by if scope is None else [*by, F.col(scope)]
     if "urls" not in items.columns:
         items = items.withColumn("urls", F.array("url")).withColumn("first_pos", F.col("item_id"))
     keys = [k.alias(f"_k{n}") for n, k in enumerate(by)]
-    grouped = items.select(*keys, "first_pos", "urls", F.struct(*ITEM).alias("_item")).groupBy(*[f"_k{n}" for n in range(len(by))])
+    grouped = items.select(*keys, "first_pos", "urls", F.struct(*columns).alias("_item")).groupBy(*[f"_k{n}" for n in range(len(by))])
     best = grouped.agg(F.max_by("_item", F.struct(F.col("_item.score"), -F.col("_item.item_id"))).alias("_item"), F.min("first_pos").alias("first_pos"), F.array_distinct(F.flatten(F.collect_list("urls"))).alias("urls"))
     return best.select("_item.*", "first_pos", "urls")
 
 
-def dedup_by_url(items: DataFrame) -> DataFrame:
-    return keep_best(items, [F.col("normalized_url")])
+def dedup_by_url(items: DataFrame, *, scope: str | None = None) -> DataFrame:
+    return keep_best(items, [F.col("normalized_url")], scope)
 
 
-def dedup_by_content(items: DataFrame, *, collapse_empty: bool = True) -> DataFrame:
+def dedup_by_content(items: DataFrame, *, collapse_empty: bool = True, scope: str | None = None) -> DataFrame:
     own = F.lit(0) if collapse_empty else F.when(F.size("fingerprints") == 0, F.col("item_id")).otherwise(F.lit(-1))
-    return keep_best(items, [F.col("fingerprints"), own])
+    return keep_best(items, [F.col("fingerprints"), own], scope)
 
 
-def dedup_by_similarity(items: DataFrame, threshold: float = 0.85) -> DataFrame:
+def dedup_by_similarity(items: DataFrame, threshold: float = 0.85, *, scope: str | None = None) -> DataFrame:
     if threshold <= 0:
-        return keep_best(items, [F.lit(0)])
+        return keep_best(items, [F.lit(0)], scope)
     items = materialize(items)
-    pairs = similar_pairs(items, threshold)
+    sets = items if scope is None else items.withColumn("fingerprints", F.transform("fingerprints", lambda f: F.xxhash64(F.col(scope), f)))
+    pairs = similar_pairs(sets, threshold)
     component = connected_components(pairs).select(F.col("id").alias("_id"), "component")
     labelled = items.join(component, F.col("item_id") == F.col("_id"), "left").withColumn("_group", F.coalesce("component", "item_id")).drop("_id", "component")
-    return keep_best(labelled, [F.col("_group")])
+    return keep_best(labelled, [F.col("_group")], scope)
 
 
-def finish(items: DataFrame) -> DataFrame:
+def finish(items: DataFrame, *, scope: str | None = None) -> DataFrame:
     """The result's columns, lineage sorted."""
     merged = F.array_sort(F.array_except("urls", F.array("url")))
-    return items.select("item_id", "title", "url", "snippet", "score", "content", "normalized_url", merged.alias("merged_sources"), F.size("fingerprints").alias("fingerprint_count"), "first_pos")
+    return items.select("item_id", "title", "url", "snippet", "score", "content", "normalized_url", merged.alias("merged_sources"), F.size("fingerprints").alias("fingerprint_count"), "first_pos", *([] if scope is None else [scope]))
 
 
-def deduplicate(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = (), collapse_empty: bool = True) -> DataFrame:
+def deduplicate(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = (), collapse_empty: bool = True, scope: str | None = None) -> DataFrame:
     good = prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).filter("state = 'ok'")
-    return finish(dedup_by_similarity(dedup_by_content(dedup_by_url(good), collapse_empty=collapse_empty), threshold))
+    return finish(dedup_by_similarity(dedup_by_content(dedup_by_url(good, scope=scope), collapse_empty=collapse_empty, scope=scope), threshold, scope=scope), scope=scope)
 
 
 def deduplicate_with_stats(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

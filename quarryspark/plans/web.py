@@ -51,15 +51,10 @@ def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limi
 def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id") -> DataFrame:
     """Content items deduplicated within each query: addresses and contents of different queries never meet.
 
-    The query is made part of the address, so one plan serves all queries.
+    One plan serves all queries: the query is part of every stage's key.
     """
-    numbered = items.withColumn("item_id", F.monotonically_increasing_id())
-    numbered = materialize(numbered.withColumn("item_id", F.struct(F.col(key), F.col("rank")).cast("string").isNotNull().cast("long") * 0 + F.col("item_id")))
-    out = None
-    for q in [r[0] for r in numbered.select(key).distinct().toLocalIterator()]:
-        one = deduplicate(numbered.filter(F.col(key).eqNullSafe(F.lit(q))), threshold=config.similarity_threshold, min_chars=config.min_paragraph_chars, extra_tracking=config.extra_tracking_params).withColumn(key, F.lit(q))
-        out = one if out is None else out.unionByName(one)
-    return numbered.withColumn("first_pos", F.lit(0)) if out is None else out
+    numbered = materialize(items.withColumn("item_id", F.monotonically_increasing_id()))
+    return deduplicate(numbered, threshold=config.similarity_threshold, min_chars=config.min_paragraph_chars, extra_tracking=config.extra_tracking_params, scope=key)
 
 
 def web_search(hits: DataFrame, pages: DataFrame, make_model: Callable[[], Model], *, model: ModelConfig = ModelConfig(), dedup: DedupConfig = DedupConfig()) -> DataFrame:
