@@ -84,7 +84,7 @@ def retry_after_ms(header: Column | str, now: Column | None = None, *, most: int
     then = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"\A[A-Za-z]{3}, ", ""), r" GMT\z", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     until = F.when(then.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_millis(then) - F.unix_millis(now if now is not None else F.current_timestamp())))
     wait = F.when(t.rlike(r"\A[0-9]+\z"), t.try_cast("long") * 1000).otherwise(until)
-    return F.coalesce(wait if most is None else F.least(wait, F.lit(most).cast("long")), F.lit(default).cast("long"))
+    return F.coalesce(wait if most is None else F.when(wait > most, F.lit(most).cast("long")).otherwise(wait), F.lit(default).cast("long"))
 
 
 def backoff_ms(attempt: Column | str, base: int = 500, retry_after: Column | None = None, jitter: Column | float = 0.0, most: int = 10_000) -> Column:
