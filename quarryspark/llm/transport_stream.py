@@ -271,31 +271,46 @@ def _mapped(df: DataFrame, source: str, add: dict[str, pa.DataType], spark_types
     return kept.mapInArrow(run, schema)
 
 
-def store_media(docs: DataFrame, *, text_col: str = "text", unit_bytes: int = 8192) -> DataFrame:
-    """``docs`` with n_bytes (of the text) and media (its transport stream)."""
+def stored(text: str | None, unit_bytes: int = 8192) -> tuple[int, bytes]:
+    """(bytes of the text, its transport stream)."""
+    return len((text or "").encode("utf-8", "surrogatepass")), mux(padded(text), unit_bytes)
+
+
+#: what reading gives of each stream: name, Arrow type, Spark type
+READ = (
+    ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"),
+    ("pts", pa.list_(pa.int64()), "array<long>"), ("random_access", pa.list_(pa.int64()), "array<long>"), ("feature", pa.string(), "string"),
+)
+
 
-    def function(text: str | None) -> tuple[int, bytes]:
-        payload = padded(text)
-        return len((text or "").encode("utf-8", "surrogatepass")), mux(payload, unit_bytes)
+def read_back(media: bytes | None) -> tuple:
+    """Values of READ from a stream's bytes alone."""
+    s = demux(media or b"")
+    payload = s.payload()
+    stamps = [u.pts for u in s.units]
+    feature = f"programs={len(s.programs)};streams={len(s.streams)};packets={s.packets};units={len(s.units)};first_pts={stamps[0] if stamps else '-'};last_pts={stamps[-1] if stamps else '-'};random_access={len(s.random_access)};clocks={s.clocks};discontinuities={s.discontinuities};duplicates={s.duplicates};bad_sections={s.bad_sections}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), stamps, s.random_access, feature
 
-    return _mapped(docs, text_col, {"n_bytes": pa.int64(), "media": pa.binary()}, "n_bytes long, media binary", function)
 
+_READ_SPARK = ", ".join(f"{n} {t}" for n, _, t in READ)
 
-def read_media(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """``stored`` with what its streams hold: payload digests, timestamps, random-access points, counts."""
-    add = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "pts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()), "feature": pa.string()}
 
-    def function(media: bytes | None) -> tuple:
-        s = demux(media or b"")
-        payload = s.payload()
-        stamps = [u.pts for u in s.units]
-        feature = f"programs={len(s.programs)};streams={len(s.streams)};packets={s.packets};units={len(s.units)};first_pts={stamps[0] if stamps else '-'};last_pts={stamps[-1] if stamps else '-'};random_access={len(s.random_access)};clocks={s.clocks};discontinuities={s.discontinuities};duplicates={s.duplicates};bad_sections={s.bad_sections}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), stamps, s.random_access, feature
+def store_media(docs: DataFrame, *, text_col: str = "text", unit_bytes: int = 8192) -> DataFrame:
+    """``docs`` with n_bytes (of the text) and media (its transport stream)."""
+    return _mapped(docs, text_col, {"n_bytes": pa.int64(), "media": pa.binary()}, "n_bytes long, media binary", lambda t: stored(t, unit_bytes))
+
 
-    return _mapped(stored, media_col, add, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pts array<long>, random_access array<long>, feature string", function)
+def read_media(stored_: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """``stored_`` with what its streams hold: payload digests, timestamps, random-access points, counts."""
+    return _mapped(stored_, media_col, {n: t for n, t, _ in READ}, _READ_SPARK, read_back)
 
 
 def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media, read it back, report digests."""
-    stored = store_media(docs.select(F.col(id_col), F.col(text_col)), text_col=text_col).select(id_col, "n_bytes", "media")
-    return read_media(stored).select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access")
+    """Each text stored and its stored bytes read back, in one pass over the rows, so no stream travels."""
+
+    def both(text: str | None) -> tuple:
+        n, media = stored(text)
+        return n, *read_back(media)
+
+    out = _mapped(docs.select(F.col(id_col), F.col(text_col)), text_col, {"n_bytes": pa.int64()} | {n: t for n, t, _ in READ}, f"n_bytes long, {_READ_SPARK}", both)
+    return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access")
