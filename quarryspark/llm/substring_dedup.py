@@ -262,9 +262,11 @@ def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window:
     place = (folder, at_text, window)
 
     sketch = chunks.mapInPandas(_sketch_rows(*place, width, depth, shards), "shard int, chunk long, n int, entries binary")
-    answers = sketch.groupBy("shard").applyInPandas(_answer_sketch, "chunk long, shard int, n int, bits binary")
-    wanted = answers.groupBy("chunk").applyInPandas(_candidates(*place, width, depth, shards, shards), "shard int, chunk long, n int, entries binary")
-    exact = wanted.groupBy("shard").applyInPandas(_answer_exact, "chunk long, shard int, n int, bits binary")
+    # dealt by number: what travels is small, what each chunk costs is not, so tasks must not be merged by size
+    by_shard, by_chunk = (lambda d: d.repartition(shards, "shard").groupBy("shard")), (lambda d: d.repartition(2 * n_chunks + 1, "chunk").groupBy("chunk"))
+    answers = by_shard(sketch).applyInPandas(_answer_sketch, "chunk long, shard int, n int, bits binary")
+    wanted = by_chunk(answers).applyInPandas(_candidates(*place, width, depth, shards, shards), "shard int, chunk long, n int, entries binary")
+    exact = by_shard(wanted).applyInPandas(_answer_exact, "chunk long, shard int, n int, bits binary")
 
     everyone = chunks.select("chunk", F.lit(-1).alias("shard"), F.lit(0).alias("n"), F.lit(b"").alias("bits"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * with_text)
@@ -274,4 +276,4 @@ def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window:
         f = t.to_pandas()
         return remove(int(f["chunk"].iloc[0]), _bits_of(f[f["shard"] >= 0]))
 
-    return exact.unionByName(everyone).groupBy("chunk").applyInArrow(finish, schema)
+    return by_chunk(exact.unionByName(everyone)).applyInArrow(finish, schema)
