@@ -105,7 +105,7 @@ def fit_languages(x: np.ndarray, langs: list[str], dims: int, steps: int = 250,
     return LanguageModel(names, codes, w, b, trust / trust.sum(1, keepdims=True), dims)
 
 
-def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dims: int = 8192, sample_rows: int = 4000) -> LanguageModel | None:
+def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dims: int = 8192, sample_rows: int = 2000) -> LanguageModel | None:
     """Fit on at most about ``sample_rows`` rows with a language for which ``trainable`` holds; None if there are none."""
     rows = docs.filter(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
