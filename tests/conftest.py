@@ -1,6 +1,13 @@
+import os
+from pathlib import Path
+
 import pytest
 
-from quarryspark.runtime import local_session
+HERE = Path(__file__).resolve().parent
+# workers import the package and the test modules' helpers
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), str(HERE / "llm"), os.environ.get("PYTHONPATH", "")])
+
+from quarryspark.runtime import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
