@@ -9,14 +9,17 @@ MinHashes.
 1. Equal shingle sets form a class, stood for by its least id; only representatives go on.
 2. ``bands`` of ``rows`` coordinates each: two sets of similarity J share a band unless all
    differ, a chance of (1 - J**rows)**bands, 6e-10 at 0.85 and 6e-7 at 0.8.
-3. Pairs of a bucket are not listed. In each of ``turns`` rounds a bucket names one pivot,
-   and every document is compared with one pivot of its buckets, on full sets; what links
-   becomes one component, and a bucket within one component is done with.
-4. What is left are pairs of different components that share a bucket. They are joined
-   under two conditions: their sketches' bits differ in no more places than a linked pair's
-   do up to 5.5 standard deviations, and the bucket is the first that they share. These
-   pairs are compared on full sets too.
-5. Components of the links; a document's component is the least id it reaches.
+3. Shingles that a single candidate has can't be common to two. A document whose other
+   shingles are too few to reach the similarity with anything is done with (an exact bound).
+4. Pairs of a bucket are not listed. In each of ``turns`` rounds a bucket names one pivot,
+   one with few shingles of its own, and every document is compared with one pivot of its
+   buckets, on full sets; what links becomes one component, and a bucket within one
+   component is done with.
+5. What is left are pairs of different components that share a bucket. They are joined
+   under three conditions: the bound of step 3, for the two sets; their sketches' bits
+   differ in no more places than a linked pair's do up to 5.5 standard deviations; and the
+   bucket is the first that they share. These pairs are compared on full sets too.
+6. Components of the links; a document's component is the least id it reaches.
 
 Cases: texts without words, null ones included, have no shingles and stay on their own;
 with fewer words than a shingle the whole sequence is the one shingle; rows that share an
@@ -38,7 +41,9 @@ from quarryspark.llm.words import grouped, mix, window_hashes, word_hashes
 from quarryspark.operators.components import connected_components
 from quarryspark.runtime import materialize
 
-BIT_WORDS = 6  # 64-bit words of sketch bits, two bits a coordinate
+#: coordinates of the longer sketch that candidates get, two bits of each, in 64-bit words
+FINE = 1024
+BIT_WORDS = 2 * FINE // 64
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -94,9 +99,9 @@ def fast_similarity_sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys, bits): set size, 128-bit digest of the set, a key a band, sketch bits."""
+    """(doc_id, n_shingles, digest, keys): set size, 128-bit digest of the set, a key a band."""
     t = bands * rows
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,19 +113,15 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands
                 for r in range(rows):
                     keys = mix(keys ^ sketch[:, r::rows].astype("uint64"))
                 keys = mix(keys ^ np.arange(bands, dtype="uint64"))
-                flags = np.zeros((len(sets), 64 * BIT_WORDS), "uint8")
-                two = np.stack([sketch & 1, sketch >> 1 & 1], axis=2).reshape(len(sets), -1)[:, : 64 * BIT_WORDS]
-                flags[:, : two.shape[1]] = two
-                bits = np.packbits(flags, axis=1).view("<i8")
                 has = [bool(len(s)) for s in sets]
-                lists = lambda a: [list(map(int, r)) if ok else [] for r, ok in zip(a, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(lists(keys.view("int64")), schema[3].type), pa.array(lists(bits), schema[4].type)], schema=schema)
+                keys = [list(map(int, r)) if ok else [] for r, ok in zip(keys.view("int64"), has, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(keys, schema[3].type)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, set): every document's full shingle set."""
+    """(rep, set, bits): every document's full shingle set, and bits of a longer sketch of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,9 +130,11 @@ def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> D
                 sets = shingle_sets([(x or "").encode() for x in b.column(1).to_pylist()], shingle)
                 flat = np.concatenate(sets).view("int64") if sets else np.empty(0, "int64")
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype("int32")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "set"])
+                sketch = fast_similarity_sketch(sets, FINE)
+                bits = np.packbits(np.stack([sketch & 1, sketch >> 1 & 1], axis=2).astype("uint8").reshape(len(sets), -1), axis=1).view("<i8")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["rep", "set", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, set array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, set array<long>, bits array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,12 +145,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).select("src", "dst")
 
 
+def _reach(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, bits, size, able): set size and how many of its shingles another candidate has; only those that can link at all."""
+    own = sets.select("rep", F.explode("set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("_o")).filter("n = 1").groupBy("_o").agg(F.count(F.lit(1)).alias("_own"))
+    sized = sets.select("rep", "bits", F.size("set").alias("size")).dropDuplicates(["rep"]).join(own, F.col("rep") == F.col("_o"), "left")
+    return sized.select("rep", "bits", "size", (F.col("size") - F.coalesce("_own", F.lit(0))).alias("able")).filter(100 * F.col("able") >= percent * F.col("size"))
+
+
 def _labelled(member: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``member`` (key, rep) with the component of rep."""
+    """``member`` (key, rep, own) with the component of rep."""
     if links is None:
         return member.withColumn("comp", F.col("rep"))
     label = connected_components(links).select(F.col("id").alias("_id"), "component")
-    return member.join(label, F.col("rep") == F.col("_id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    return member.join(label, F.col("rep") == F.col("_id"), "left").select("key", "rep", "own", F.coalesce("component", "rep").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5, turns: int = 3) -> DataFrame:
@@ -155,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = materialize(sketched(docs, id_col=id_col, text_col=text_col, shingle=shingle, bands=bands, rows=rows))
     some = every.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = some.groupBy("digest").agg(F.min_by(F.struct("keys", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("rep", "s.keys", "s.bits")
+    reps = some.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep")).select("rep", "keys")
     reps = materialize(reps)
     banded = reps.select("rep", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_key"))
@@ -163,24 +173,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = member.select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id") == F.col("_rep"), "left_semi")
     sets = materialize(with_sets(texts, id_col="_id", text_col="_text", shingle=shingle))
+    reach = materialize(_reach(sets, percent))
+    central = reach.select(F.col("rep").alias("_r"), (1 - F.col("able") / F.col("size")).alias("own"))
+    member = materialize(member.join(central, F.col("rep") == F.col("_r")).drop("_r"))
 
     links: DataFrame | None = None
     for turn in range(turns):
         labelled = materialize(_labelled(member, links))
-        pivots = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")).alias("_p")).filter("_lo < _hi").select(F.col("key").alias("_k"), F.col("_p.rep").alias("dst"), F.col("_p.comp").alias("_pc"))
-        chosen = labelled.join(pivots, F.col("key") == F.col("_k")).filter(F.col("comp") != F.col("_pc")).groupBy("rep").agg(F.min_by("dst", F.xxhash64(F.lit(turn), "dst") if turn else F.col("dst")).alias("dst"))
+        first = lambda rep, own: F.struct(F.round(own, 1 if turn else 3), F.xxhash64(F.lit(turn), rep))  # noqa: B023, E731
+        pivots = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by(F.struct("rep", "comp", "own"), first("rep", F.col("own"))).alias("_p")).filter("_lo < _hi").select(F.col("key").alias("_k"), F.col("_p.rep").alias("dst"), F.col("_p.comp").alias("_pc"), F.col("_p.own").alias("_po"))
+        chosen = labelled.join(pivots, F.col("key") == F.col("_k")).filter(F.col("comp") != F.col("_pc")).groupBy("rep").agg(F.min_by("dst", first("dst", F.col("_po"))).alias("dst"))
         found = materialize(_linked(chosen.select(F.col("rep").alias("src"), "dst"), sets, percent))
         links = found if links is None else materialize(links.union(found))
 
     labelled = materialize(_labelled(member, links))
     undone = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select(F.col("key").alias("_k"))
-    left = labelled.join(undone, F.col("key") == F.col("_k"), "left_semi").join(reps.select(F.col("rep").alias("_r"), "keys", "bits"), F.col("rep") == F.col("_r")).select("key", "rep", "comp", "keys", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)])
-    left = materialize(left)
-    j, t = percent / 100, min(bands * rows, 32 * BIT_WORDS)
+    left = labelled.join(undone, F.col("key") == F.col("_k"), "left_semi").join(reps.select(F.col("rep").alias("_r"), "keys"), F.col("rep") == F.col("_r")).select("key", "rep", "comp", "keys")
+    of_left = reach.select(F.col("rep").alias("_r"), "size", "able", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)])
+    left = materialize(left.join(of_left, F.col("rep") == F.col("_r")).drop("_r"))
+    j, t = percent / 100, FINE
     differ = t * (1 - j) + 5.5 * (t * j * (1 - j) + t * (1 - j) / 2) ** 0.5
     x, y = left.alias("x"), left.alias("y")
     distance: Column = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (distance <= differ) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
+    most = F.least("x.able", "y.able")  # of common shingles
+    able = 100 * most >= percent * (F.col("x.size") + F.col("y.size") - most)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & able & (distance <= differ) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
     last = materialize(_linked(pairs.select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst")), sets, percent))
     component = connected_components(links.union(last)).select(F.col("id").alias("_id"), "component")
     of_class = classes.join(component, F.col("rep") == F.col("_id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
