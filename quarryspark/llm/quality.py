@@ -53,7 +53,7 @@ def text_statistics(texts: list[bytes]) -> np.ndarray:
         at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
         kinds = np.stack([np.add.reduceat(_KINDS[:, k][raw], at[:-1], dtype="float64") for k in range(8)], axis=1)
         size = np.array([len(t) for t in part], "float64")
-        solid = size - np.add.reduceat(SPACE[raw], at[:-1], dtype="float64") + 1
+        solid = np.maximum(size - np.add.reduceat(SPACE[raw], at[:-1], dtype="float64") + 1, 1)
         hashes, where = word_hashes(part)
         n = np.diff(where).astype("float64")
         lower, upper, digits, beyond, marks, signs, lines, ends = kinds.T
