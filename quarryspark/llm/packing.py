@@ -5,8 +5,9 @@ Documents are encoded once into pieces of at most ``capacity`` ids; from then on
 to partitions of about ``part_rows`` pieces; each partition packs its own by best-fit
 decreasing and computes a lower bound of its bin count from dual-feasible functions. A
 partition that meets its bound is certified: its sequences are final. In one with a gap,
-the full sequences are final and the pieces of all others go into the next round, where
-they are dealt anew among fewer partitions, so partitions with gaps exchange documents.
+the pieces of sequences with room left, and of as many full ones of the smallest pieces, go
+into the next round, where they are dealt anew among fewer partitions, so partitions with
+gaps exchange documents; its other sequences are final.
 Rounds end when nothing is open, when one partition has packed all that was left, when the
 total meets the bound over all pieces, or after ``rounds`` rounds.
 
@@ -108,12 +109,17 @@ def _round(capacity: int, turn: int, last: bool):
         bound = bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
         part = int(frame["_part"].iloc[0])
         gap = len(free) > bound and not last
-        return frame[names].assign(sequence_id=(turn << 58) + (part << 26) + bin_of, offset=offset, open=(free[bin_of] > 0) & gap, part=part, bins=len(free), bound=bound)
+        # with the bins that have room go as many full ones, those of the most and so the smallest pieces: they fill gaps
+        room = free > 0
+        pieces = np.where(room, 0, np.bincount(bin_of, minlength=len(free)))
+        helpers = np.argsort(-pieces, kind="stable")[: max(8, int(room.sum()))]
+        room[helpers[pieces[helpers] > 1]] = True
+        return frame[names].assign(sequence_id=(turn << 58) + (part << 26) + bin_of, offset=offset, open=room[bin_of] & gap, part=part, bins=len(free), bound=bound)
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, part_rows: int = 4096, rounds: int = 5) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, part_rows: int = 16_384, rounds: int = 5) -> DataFrame:
     """``pieces`` with sequence_id and offset; also open, part, bins, bound of the partition that placed them."""
     pieces = materialize(pieces)
     lengths = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
@@ -143,7 +149,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, part_rows: int = 409
     return out.withColumn("overall_bound", F.lit(overall).cast("long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, part_rows: int = 4096, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, part_rows: int = 16_384, **columns) -> DataFrame:
     """Encode, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset and the certificate columns."""
     packed = pack_pieces(token_pieces(docs, tokenizer, blanks=blanks, end_id=end_id, capacity=capacity, **columns), capacity=capacity, part_rows=part_rows)
     return packed.select(*[f.split(" ")[0] for f in PIECE.split(", ")], "sequence_id", "offset", "bins", "bound", "overall_bound")

@@ -44,7 +44,7 @@ SKIPPABLE, SEEKABLE, WITH_CHECKS = 0x184D2A5E, 0x8F92EAB1, 0x80
 class ShardWriter:
     """Collects documents and turns them into one shard's bytes."""
 
-    def __init__(self, frame_ids: int = 65_536, level: int = 3):
+    def __init__(self, frame_ids: int = 65_536, level: int = 1):
         import zstandard
 
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
@@ -119,7 +119,7 @@ class ShardReader:
         """(doc, start in the shard, ids) of all documents, a frame at a time."""
         k, ids = -1, np.empty(0, "<u4")
         for (doc, length), start in zip(self.docs.tolist(), self.doc_starts.tolist(), strict=False):
-            while start >= self.id_starts[k + 1]:
+            while length and start >= self.id_starts[k + 1]:
                 k += 1
                 ids = self.frame(k)
             begin = start - int(self.id_starts[k])

@@ -281,7 +281,7 @@ def test_seek_table(tmp_path):
     import zstandard
 
     r = np.random.default_rng(0)
-    docs = [(k, r.integers(0, 50_000, n, dtype="uint32").astype("<u4")) for k, n in enumerate([0, 5, 3000, 1, 0, 70, 900])]
+    docs = [(k, r.integers(0, 50_000, n, dtype="uint32").astype("<u4")) for k, n in enumerate([0, 5, 3000, 1, 0, 170, 900, 0])]
     w = token_files.ShardWriter(frame_ids=100)
     for d in docs:
         w.add(*d)
@@ -391,7 +391,7 @@ def test_packing(spark):
     r = random.Random(9)
     texts = [*ODD] + [prose(r, r.randrange(1, 60)) for _ in range(300)]
     d = documents(spark, [*texts, texts[20]], ids=[*range(len(texts)), 20])
-    rows = packing.pack_documents(d, P.path("word_bpe_49k.json"), blanks="dropped", capacity=64, part_rows=40).collect()
+    rows = packing.pack_documents(d, P.path("word_bpe_49k.json"), blanks="dropped", capacity=64, part_rows=100).collect()
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
     pieces = collections.defaultdict(list)
@@ -410,7 +410,7 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(bins) <= rows[0].overall_bound + 2 and len(bins) >= rows[0].overall_bound
+    assert len(bins) <= rows[0].overall_bound * 1.02 and len(bins) >= rows[0].overall_bound
     assert packing.pack_documents(documents(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
