@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark import sharedfs
-from quarryspark.llm.words import all_word_hashes, mix, window_hashes
+from quarryspark.llm.words import all_word_hashes, distinct_sorted, mix, window_hashes
 from quarryspark.runtime import materialize, other_columns, shared_folder
 
 RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
@@ -161,7 +161,7 @@ def _sketch_rows(folder: str, at_text: int, window: int, width: int, depth: int,
             for chunk in f["chunk"]:
                 h = Chunk(folder, chunk, at_text, window).hashes(0)
                 for row in range(depth):
-                    cells = np.unique(_cells(h, row, width))
+                    cells = distinct_sorted(_cells(h, row, width))
                     cuts = np.searchsorted(cells, np.arange(1, shards, dtype="uint64") * np.uint64(-(-width // shards)))
                     yield pd.DataFrame([(row * shards + k, chunk, len(p), encode_sorted(p)) for k, p in enumerate(np.split(cells, cuts)) if len(p)], columns=["shard", "chunk", "n", "entries"])
 
@@ -190,8 +190,7 @@ def _candidates(folder: str, at_text: int, window: int, width: int, depth: int,
             elsewhere = np.concatenate([bits.get(row * shards + k, np.empty(0, bool)) for k in range(shards)])
             maybe &= (elsewhere | (count > 1))[back]
         sharedfs.put(f"{folder}/maybe-{chunk}", np.packbits(maybe).tobytes())
-        keys = _exact_keys(c, maybe)
-        distinct = np.unique(keys)
+        distinct, _, _ = _exact_keys(c, maybe)
         shard = (distinct["a"] >> np.uint64(32)) % np.uint64(exact_shards)
         rows = [(int(k), chunk, int(m.sum()), distinct[m].tobytes()) for k in np.unique(shard) for m in [shard == k]]
         return pd.DataFrame(rows, columns=["shard", "chunk", "n", "entries"])
@@ -199,21 +198,38 @@ def _candidates(folder: str, at_text: int, window: int, width: int, depth: int,
     return run
 
 
-def _exact_keys(c: Chunk, maybe: np.ndarray) -> np.ndarray:
-    keys = np.empty(int(maybe.sum()), [("a", "<u8"), ("b", "<u8")])
-    keys["a"], keys["b"] = c.hashes(0)[maybe], c.hashes(1)[maybe]
-    return keys
+KEY = [("a", "<u8"), ("b", "<u8")]
+
+
+def _ranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts the keys, rank among the distinct keys of each in that order)."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, np.cumsum(new) - 1
+
+
+def _exact_keys(c: Chunk, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct 128-bit keys in order, which of them each place has, how many places have each)."""
+    a, b = c.hashes(0)[maybe], c.hashes(1)[maybe]
+    order, rank = _ranked(a, b)
+    first = np.flatnonzero(np.diff(rank, prepend=-1))
+    distinct = np.empty(len(first), KEY)
+    distinct["a"], distinct["b"] = a[order][first], b[order][first]
+    back = np.empty(len(rank), "int64")
+    back[order] = rank
+    return distinct, back, np.bincount(rank, minlength=len(first))
 
 
 def _answer_exact(f: pd.DataFrame) -> pd.DataFrame:
     """As for the sketch, on 128-bit keys: ranks of the distinct keys stand for them."""
-    entries = [np.frombuffer(b, [("a", "<u8"), ("b", "<u8")]) for b in f["entries"]]
+    entries = [np.frombuffer(b, KEY) for b in f["entries"]]
     everything = np.concatenate(entries)
-    order = np.lexsort((everything["b"], everything["a"]))
-    s = everything[order]
-    rank = np.empty(len(s), "uint64")
-    rank[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
-    bits = repeated_bits(np.split(rank, np.cumsum([len(e) for e in entries])[:-1]))
+    order, rank = _ranked(everything["a"], everything["b"])
+    number = np.empty(len(rank), "uint64")
+    number[order] = rank
+    bits = repeated_bits(np.split(number, np.cumsum([len(e) for e in entries])[:-1]))
     return pd.DataFrame({"chunk": f["chunk"], "shard": f["shard"], "n": f["n"], "bits": bits})
 
 
@@ -225,7 +241,7 @@ def _remove(folder: str, at_text: int, window: int, exact_shards: int, carried:
         gone = np.zeros(len(c.words) + 1, "int32")
         if bits:
             maybe = np.unpackbits(np.frombuffer(sharedfs.get(f"{folder}/maybe-{chunk}"), "uint8"), count=len(c.places)).astype(bool)
-            distinct, back, count = np.unique(_exact_keys(c, maybe), return_inverse=True, return_counts=True)
+            distinct, back, count = _exact_keys(c, maybe)
             shard = (distinct["a"] >> np.uint64(32)) % np.uint64(exact_shards)
             repeated = count > 1
             for k, b in bits.items():
