@@ -27,16 +27,17 @@ from quarryspark.runtime import materialize
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limit") -> Iterator[None]:
     """Spark jobs started inside are cancelled after ``seconds``; PipelineTimeout then."""
-    spark.addTag(tag)
-    over = threading.Event()
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
+    over, done = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        over.set()
-        spark.interruptTag(tag)
+    def watch() -> None:
+        if not done.wait(seconds):
+            over.set()
+        while not done.wait(0.2):  # jobs that start late are cancelled too
+            sc.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
-    timer.daemon = True
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         yield
     except Exception as e:
@@ -44,8 +45,8 @@ def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limi
             raise PipelineTimeout(f"timed out after {seconds} s") from e
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        sc.removeJobTag(tag)
 
 
 def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id") -> DataFrame:
