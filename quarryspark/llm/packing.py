@@ -30,19 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.llm.tokens import encoder, text_groups
+from quarryspark.llm.tokens import KNOWN_UNITS, encoder, text_groups
 from quarryspark.runtime import materialize
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long, open boolean, part long, bins long, bound long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, known_units: int = KNOWN_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece of each document's ids, end id included."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, blanks), np.array([end_id], dtype="<u4")
+        enc, end = encoder(tokenizer, blanks, known_units), np.array([end_id], dtype="<u4")
         for b in batches:
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in text_groups(texts):
