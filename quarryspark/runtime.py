@@ -7,15 +7,29 @@ own is set once per session.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough where workers see that path; a cluster that doesn't gets the package by ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, as tests and bench.py use it."""
-    return (
+    return share_code(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quarryspark")
         .config("spark.sql.shuffle.partitions", str(partitions))
