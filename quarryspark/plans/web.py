@@ -6,23 +6,27 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryspark.functions.failures import PipelineTimeout, fetch_error_message, tool_success
 from quarryspark.functions.text import is_blank
 from quarryspark.operators.dedup import deduplicate
-from quarryspark.operators.digest import format_digest
+from quarryspark.operators.digest import format_digest, items_of, pipeline_excerpts
 from quarryspark.operators.hits import join_pages
 from quarryspark.plans.config import DedupConfig, ModelConfig, PipelineConfig
 from quarryspark.plans.model import Model
 from quarryspark.plans.synthesis import synthesize
 from quarryspark.runtime import materialize
 
+log = logging.getLogger(__name__)
+
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limit") -> Iterator[None]:
@@ -58,12 +62,33 @@ def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: st
     return deduplicate(numbered, threshold=config.similarity_threshold, min_chars=config.min_paragraph_chars, extra_tracking=config.extra_tracking_params, scope=key)
 
 
+def dedup_or_all(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id") -> DataFrame:
+    """``dedup_hits``; where that fails or leaves nothing, all items as they are, each its own address."""
+    try:
+        kept = materialize(dedup_hits(items, config, key=key))
+        if not kept.isEmpty():
+            return kept
+    except PySparkException as e:
+        log.warning("deduplication failed, going on with all items: %s", e)
+    return items.select(
+        F.monotonically_increasing_id().alias("item_id"), "title", "url", "snippet", "score", "content", F.col("url").alias("normalized_url"),
+        F.array().cast("array<string>").alias("merged_sources"), F.lit(0).alias("fingerprint_count"), F.col("rank").cast("long").alias("first_pos"), key,
+    )
+
+
+def excerpts_after_timeout(items: DataFrame, *, key: str = "query_id", rank: str = "rank", most: int = 8000) -> DataFrame:
+    """(key, digest) of what was fetched before the time ran out; PipelineTimeout where that is nothing."""
+    if items.isEmpty():
+        raise PipelineTimeout("timed out before any page was fetched")
+    return items_of(items, key, rank).select(key, pipeline_excerpts("items", most).alias("digest"))
+
+
 def web_search(hits: DataFrame, pages: DataFrame, make_model: Callable[[], Model], *, model: ModelConfig = ModelConfig(), dedup: DedupConfig = DedupConfig()) -> DataFrame:
     """(query_id, outcome, digest, text, scraped, failed, items): hits are (query_id, query, rank, title, url, snippet, score), pages as ``scrape`` gives them."""
     usable = hits.filter(~is_blank("url"))
     items, failures = join_pages(usable, pages)
     items = materialize(items)
-    kept = dedup_hits(items, dedup)
+    kept = dedup_or_all(items, dedup)
     asked = items.select(F.col("query_id").alias("_q"), "query").distinct()
     kept = kept.join(asked, F.col("query_id") == F.col("_q")).drop("_q").withColumnRenamed("first_pos", "rank")
     digests = synthesize(kept, make_model, model)

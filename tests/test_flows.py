@@ -187,6 +187,17 @@ def test_web_flows(spark):
     assert f["https://a.com/"].outcome == "success" and f["https://gone.com/"].text == "The page returned 404 — verify the URL is correct (https://gone.com/)"
 
 
+def test_fallbacks(spark):
+    from quarryspark.functions.failures import PipelineTimeout
+
+    items = spark.createDataFrame([(1, "q", 0, "t", "no url", "", 1.0, "text. more")], "query_id int, query string, rank int, title string, url string, snippet string, score double, content string")
+    kept = web.dedup_or_all(items).collect()
+    assert [(r.normalized_url, r.merged_sources, r.fingerprint_count) for r in kept] == [("no url", [], 0)]
+    assert web.excerpts_after_timeout(items).first().digest.key_points == ["text."]
+    with pytest.raises(PipelineTimeout):
+        web.excerpts_after_timeout(items.limit(0))
+
+
 def test_time_limit(spark):
     from quarryspark.functions.failures import PipelineTimeout
 
