@@ -39,19 +39,20 @@ def collapse_white(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(F.length(js_trim(c)) == 0, F.lit(True))
+    return ~F.coalesce(_col(c).rlike(f"[^{WS}]"), F.lit(False))
 
 
 def segment_paragraphs(c: Column | str, min_chars: int = MIN_PARAGRAPH_CHARS) -> Column:
     """Paragraphs of at least ``min_chars``: break tags are one newline, two newlines part paragraphs."""
     least = min_chars if min_chars >= 1 else MIN_PARAGRAPH_CHARS
     lines = F.regexp_replace(F.regexp_replace(_col(c), r"(?i)<(?:br\s*/?|/p|/div)>", "\n"), "\r\n?", "\n")
-    cleaned = F.transform(F.split(lines, "\n{2,}"), lambda p: js_trim(collapse_white(p)))
+    # collapsed white space is plain spaces, so a plain trim does
+    cleaned = F.transform(F.split(lines, "\n{2,}"), lambda p: F.trim(collapse_white(p)))
     return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(F.filter(cleaned, lambda p: F.length(p) >= least))
 
 
 def normalize_paragraph(c: Column | str) -> Column:
-    return F.lower(js_trim(collapse_white(c)))
+    return F.lower(F.trim(collapse_white(c)))
 
 
 def fnv1a32(c: Column | str) -> Column:
@@ -66,8 +67,12 @@ def fnv1a32(c: Column | str) -> Column:
 
 
 def fingerprint_set(c: Column | str, min_chars: int = MIN_PARAGRAPH_CHARS) -> Column:
-    """Sorted distinct hashes of the normalized paragraphs."""
-    return F.array_sort(F.array_distinct(F.transform(segment_paragraphs(c, min_chars), lambda p: fnv1a32(normalize_paragraph(p)))))
+    """Sorted distinct hashes of the normalized paragraphs.
+
+    Paragraphs come trimmed and collapsed, so lower case is all that is left to do; it is done
+    in a step of its own, as a lambda's argument is computed once and an expression each time.
+    """
+    return F.array_sort(F.array_distinct(F.transform(F.transform(segment_paragraphs(c, min_chars), F.lower), fnv1a32)))
 
 
 def truncate_field(c: Column | str, most: int) -> Column:
