@@ -15,11 +15,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: rows in an Arrow batch, where a session allows more: rows hold whole texts, and batches are copied on both sides
+BATCH_ROWS = 2000
+
+
 def share_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound Arrow batches.
 
-    Enough where workers see that path; a cluster that doesn't gets the package by ``--py-files``.
+    The path is enough where workers see it; a cluster that doesn't gets the package by ``--py-files``.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -63,6 +70,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers are reused by later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh URI under the shared folder, for files that an operator writes itself."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
