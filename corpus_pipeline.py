@@ -15,11 +15,12 @@ from quarryspark.llm.mixing import apply_mix
 from quarryspark.llm.near_dedup import drop_near_duplicates
 from quarryspark.llm.packing import pack_documents
 from quarryspark.llm.substring_dedup import remove_repeated_passages
-from quarryspark.runtime import shared_folder
+from quarryspark.runtime import share_code, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters and ambiguous ones go."""
+    share_code(spark)
     model = train_language_id(docs, remainder("doc_id", 4) != 2)
     found = identify_language(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
     return found.select(*docs.columns)
@@ -27,11 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    share_code(spark)
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that 35-word windows found elsewhere cover; untouched texts stay as they are."""
+    share_code(spark)
     found = remove_repeated_passages(docs, window=35)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     new = {c: F.col(c) for c in docs.columns} | {"text": text, "n_chars": F.length(text).cast("long")}
@@ -40,14 +43,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the ones at a source's cut up to the cut."""
+    share_code(spark)
     return apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 2048 tokens; workers of a long run remember fewer units."""
+    """Pieces of documents and their places in sequences of 2048 tokens; workers drop the encoder after each task."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), blanks="dropped", end_id=0, known_units=250_000)
+    share_code(spark)
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), blanks="dropped", end_id=0, known_units=400_000, forget=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

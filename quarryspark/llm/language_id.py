@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.runtime import other_columns
+from quarryspark.runtime import give_back, other_columns
 
 UNDETERMINED = "und"
 _BLANKED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -105,7 +105,7 @@ def fit_languages(x: np.ndarray, langs: list[str], dims: int, steps: int = 250,
     return LanguageModel(names, codes, w, b, trust / trust.sum(1, keepdims=True), dims)
 
 
-def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dims: int = 8192, sample_rows: int = 2000) -> LanguageModel | None:
+def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dims: int = 8192, sample_rows: int = 1500) -> LanguageModel | None:
     """Fit on at most about ``sample_rows`` rows with a language for which ``trainable`` holds; None if there are none."""
     rows = docs.filter(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -121,16 +121,20 @@ def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "te
             pairs = [(t, lang) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if any(map(str.isalpha, t))]
             for at in range(0, len(pairs), 64):
                 part = pairs[at : at + 64]
-                x = ngram_features([t for t, _ in part], dims)
+                x = ngram_features([t for t, _ in part], dims).astype("float16")
                 yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x], "lang": [lang for _, lang in part]})
+        give_back()
 
     sample = chosen.mapInArrow(featured, "x binary, lang string").toArrow()
     if not sample.num_rows:
         return None
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), "float32").reshape(-1, dims)
-    langs = sample.column("lang").to_pylist()
-    order = np.lexsort((x[:, 0], x[:, 1], np.array(langs)))
-    return fit_languages(x[order], [langs[k] for k in order], dims)
+    langs, rows = sample.column("lang").to_pylist(), sample.column("x")
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], rows[k].as_buffer()[:256].to_pybytes()))
+    x = np.empty((len(langs), dims), "float32")
+    for at, k in enumerate(order):
+        x[at] = np.frombuffer(rows[k].as_buffer(), "float16")
+    del sample, rows
+    return fit_languages(x, [langs[k] for k in order], dims)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", sharpness: float = 6.0, ambiguity: float = 0.02) -> DataFrame:
@@ -154,6 +158,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, text_col:
                     pred[k], score[k], flag[k] = m.languages[best], row[best], len(least) > 1 and least[1] - least[0] < ambiguity
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred), pa.array(score), pa.array(flag)], names=[*names, "lang_pred", "score", "ambiguous"])
+        give_back()
 
     kept = docs.select(*names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string, score double, ambiguous boolean"])

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarryspark.llm.words import grouped, mix, window_hashes, word_hashes
 from quarryspark.operators.components import connected_components
-from quarryspark.runtime import materialize
+from quarryspark.runtime import give_back, materialize
 
 #: coordinates of the longer sketch that candidates get, two bits of each, in 64-bit words
 FINE = 1024
@@ -116,6 +116,7 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands
                 has = [bool(len(s)) for s in sets]
                 keys = [list(map(int, r)) if ok else [] for r, ok in zip(keys.view("int64"), has, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(keys, schema[3].type)], schema=schema)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
@@ -133,6 +134,7 @@ def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> D
                 sketch = fast_similarity_sketch(sets, FINE)
                 bits = np.packbits(np.stack([sketch & 1, sketch >> 1 & 1], axis=2).astype("uint8").reshape(len(sets), -1), axis=1).view("<i8")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["rep", "set", "bits"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, set array<long>, bits array<long>")
 

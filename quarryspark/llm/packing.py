@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark.llm.tokens import KNOWN_UNITS, encoder, text_groups
-from quarryspark.runtime import materialize
+from quarryspark.runtime import give_back, materialize
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long, open boolean, part long, bins long, bound long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, known_units: int = KNOWN_UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece of each document's ids, end id included."""
+def token_pieces(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, known_units: int = KNOWN_UNITS, forget: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a piece of each document's ids, end id included. ``forget``: workers drop the encoder after each task."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,6 +53,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, blanks: str | None = None,
                         part = ids[at : at + capacity]
                         rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if forget:
+            encoder.cache_clear()
+            del enc
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 
@@ -149,7 +153,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, part_rows: int = 16_
     return out.withColumn("overall_bound", F.lit(overall).cast("long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, part_rows: int = 16_384, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, blanks: str | None = None, end_id: int = 0, capacity: int = 2048, part_rows: int = 16_384, **options) -> DataFrame:
     """Encode, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset and the certificate columns."""
-    packed = pack_pieces(token_pieces(docs, tokenizer, blanks=blanks, end_id=end_id, capacity=capacity, **columns), capacity=capacity, part_rows=part_rows)
+    packed = pack_pieces(token_pieces(docs, tokenizer, blanks=blanks, end_id=end_id, capacity=capacity, **options), capacity=capacity, part_rows=part_rows)
     return packed.select(*[f.split(" ")[0] for f in PIECE.split(", ")], "sequence_id", "offset", "bins", "bound", "overall_bound")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quarryspark import sharedfs
 from quarryspark.llm.words import all_word_hashes, distinct_sorted, mix, window_hashes
-from quarryspark.runtime import materialize, other_columns, shared_folder
+from quarryspark.runtime import give_back, materialize, other_columns, shared_folder
 
 RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 
@@ -193,6 +193,8 @@ def _candidates(folder: str, at_text: int, window: int, width: int, depth: int,
         distinct, _, _ = _exact_keys(c, maybe)
         shard = (distinct["a"] >> np.uint64(32)) % np.uint64(exact_shards)
         rows = [(int(k), chunk, int(m.sum()), distinct[m].tobytes()) for k in np.unique(shard) for m in [shard == k]]
+        del c, h, maybe, distinct
+        give_back()
         return pd.DataFrame(rows, columns=["shard", "chunk", "n", "entries"])
 
     return run
@@ -265,7 +267,7 @@ def _remove(folder: str, at_text: int, window: int, exact_shards: int, carried:
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window: int = 35, chunk_bytes: int = 8_000_000, depth: int = 2, width_factor: int = 8, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window: int = 35, chunk_bytes: int = 8_000_000, depth: int = 2, width_factor: int = 8, shard_windows: int = 4_000_000, with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     spark = docs.sparkSession
     carried = other_columns(docs, RESULTS)
@@ -274,12 +276,12 @@ def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window:
     chunks = materialize(write_chunks(docs, folder, text_col, window, chunk_bytes))
     windows, n_chunks = chunks.agg(F.coalesce(F.sum("windows"), F.lit(0)), F.count(F.lit(1))).first()
     width = max(1 << 16, width_factor * windows)
-    shards = max(64, n_chunks)
+    shards = max(32, windows // shard_windows)
     place = (folder, at_text, window)
 
     sketch = chunks.mapInPandas(_sketch_rows(*place, width, depth, shards), "shard int, chunk long, n int, entries binary")
     # dealt by number: what travels is small, what each chunk costs is not, so tasks must not be merged by size
-    by_shard, by_chunk = (lambda d: d.repartition(shards, "shard").groupBy("shard")), (lambda d: d.repartition(2 * n_chunks + 1, "chunk").groupBy("chunk"))
+    by_shard, by_chunk = (lambda d: d.repartition(depth * shards, "shard").groupBy("shard")), (lambda d: d.repartition(2 * n_chunks + 1, "chunk").groupBy("chunk"))
     answers = by_shard(sketch).applyInPandas(_answer_sketch, "chunk long, shard int, n int, bits binary")
     wanted = by_chunk(answers).applyInPandas(_candidates(*place, width, depth, shards, shards), "shard int, chunk long, n int, entries binary")
     exact = by_shard(wanted).applyInPandas(_answer_exact, "chunk long, shard int, n int, bits binary")
@@ -290,6 +292,8 @@ def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window:
 
     def finish(t: pa.Table) -> pa.Table:
         f = t.to_pandas()
-        return remove(int(f["chunk"].iloc[0]), _bits_of(f[f["shard"] >= 0]))
+        out = remove(int(f["chunk"].iloc[0]), _bits_of(f[f["shard"] >= 0]))
+        give_back()
+        return out
 
     return by_chunk(exact.unionByName(everyone)).applyInArrow(finish, schema)
