@@ -52,8 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     share_code(spark)
-
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), blanks="dropped", end_id=0, known_units=400_000, forget=True)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), blanks="dropped", end_id=0, known_units=200_000, forget=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

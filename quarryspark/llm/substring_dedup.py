@@ -267,7 +267,7 @@ def _remove(folder: str, at_text: int, window: int, exact_shards: int, carried:
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window: int = 35, chunk_bytes: int = 8_000_000, depth: int = 2, width_factor: int = 8, shard_windows: int = 4_000_000, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window: int = 35, chunk_bytes: int = 5_000_000, depth: int = 2, width_factor: int = 8, shard_windows: int = 4_000_000, with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     spark = docs.sparkSession
     carried = other_columns(docs, RESULTS)

@@ -162,7 +162,7 @@ def encoder(path: str, blanks: str | None, known_units: int = KNOWN_UNITS) -> Un
     return UnitEncoder(path, blanks, known_units)
 
 
-def text_groups(texts: list[str | None], most: int = 4_000_000):
+def text_groups(texts: list[str | None], most: int = 1_000_000):
     """Ranges of ``texts`` of about ``most`` characters, so that what is held at once is bounded."""
     begin = held = 0
     for k, t in enumerate(texts):
