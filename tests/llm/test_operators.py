@@ -241,6 +241,32 @@ def test_search(spark, shard):
     assert topk_search.search_top_k(documents(spark, []), q).count() == 0
 
 
+@pytest.mark.parametrize("short", [0, 8, 10**9])
+def test_long_queries(spark, short):
+    """Whole texts as queries, with groups of exact copies, by either way of searching."""
+    r = random.Random(6)
+    texts = [*ODD] + [prose(r, r.randrange(1, 300), r.choice([5, 60, 4000])) for _ in range(250)]
+    texts += [texts[20]] * 30
+    d = documents(spark, texts).repartition(3)
+    for shard in (3000, 10**9):
+        got = collections.defaultdict(list)
+        for x in sorted(topk_search.search_top_k(d, d.filter("doc_id % 7 = 0 or doc_id = 20"), k=6, query_id_col="doc_id", shard_bytes=shard, short_terms=short).collect(), key=lambda x: x["rank"]):
+            got[x.query_id].append((round(x.score, 9), -x.doc_id))
+        asked = [(k, t) for k, t in enumerate(texts) if k % 7 == 0 or k == 20]
+        assert dict(got) == {k: v for k, v in _bm25(list(enumerate(texts)), asked, 6).items() if v}
+
+
+def test_registered_search_asks_every_twentieth_document(spark):
+    from quarryspark.llm.queries import QUERIES
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    asked = sorted(r for r in rows if r[0] % 20 == 0)[:3]
+    found = QUERIES["op5_topk_search"](spark, SF).collect()
+    assert {x.query_id for x in found} == {i for i, t in rows if i % 20 == 0 and re.search(r"[A-Za-z0-9\x80-\U0010ffff]", t or "")}
+    got = {i: [(round(x.score, 9), -x.doc_id) for x in sorted(found, key=lambda x: x["rank"]) if x.query_id == i] for i, _ in asked}
+    assert got == {i: v for i, v in _bm25(rows, asked, 10).items() if v}
+
+
 # --- 6 tokens
 
 
