@@ -67,6 +67,16 @@ def test_language(spark):
     assert language_id.identify_language(documents(spark, ["any"]), one).first().lang_pred == "en"
 
 
+def test_language_sample_is_not_cut(spark, monkeypatch):
+    """The fit sees about 4000 rows where there are more."""
+    seen = []
+    monkeypatch.setattr(language_id, "fit_languages", lambda x, langs, dims: seen.append((x.shape, collections.Counter(langs))))
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('some words ', id) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+    language_id.train_language_id(docs, F.lit(True), dims=64)
+    ((rows, _), langs), = seen
+    assert abs(rows - 4000) < 300 and abs(langs["a"] - 2000) < 200 and sum(langs.values()) == rows
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 7, 8, 20])
 def test_codewords(k):
     c = language_id.codewords(k)
