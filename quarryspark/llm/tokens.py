@@ -13,6 +13,9 @@ space at an end or with white space of other kinds are encoded whole.
 ``blanks=None``: any other kind; texts are encoded whole.
 In the first two kinds letters or digits and the punctuation after them are different
 pre-tokens, so punctuation at a unit's end is encoded on its own.
+
+Added tokens such as ``<|endoftext|>`` are one id wherever a text holds their content, as by
+the library's defaults. They might reach over a cut, so texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
@@ -89,7 +92,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # by any case, as the normalizer may change it before added tokens are looked for
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda t: None
         self.blanks, self.known_units = blanks, known_units
         self.numbers, self.known = _Numbers(), _Ragged()
 
@@ -140,7 +145,8 @@ class UnitEncoder:
             self._forget()
         leading = self.blanks == "leading"
         # a space is put before every newline, so that a split at spaces leaves newlines with what follows
-        split = [[] if uneven(t) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts] if leading else [t.replace("\n", " ").split(" ") for t in texts]
+        apart = [self.added(t) is not None for t in texts]
+        split = [[] if a or uneven(t) else ("\0" + t).replace("\n", " \n").split(" ") for t, a in zip(texts, apart, strict=True)] if leading else [[] if a else t.replace("\n", " ").split(" ") for t, a in zip(texts, apart, strict=True)]
         counts = np.array([len(s) for s in split], "int64")
         numbers = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(split)), "int64", int(counts.sum()))
         self._learn()

@@ -297,6 +297,16 @@ def _encoder(name, blanks):
     return _made[name, blanks]
 
 
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", None), ("word_bpe_49k.json", None)])
+def test_added_tokens_are_one_id(name, blanks):
+    plain = Tokenizer.from_file(P.path(name))
+    texts = ["<|endoftext|>", "some words <|endoftext|> and more, some words", "joined<|endoftext|>words.<|startoftext|>!", "(<|endoftext|>) <|EndOfText|>", "a <|startoftext|>\n<|endoftext|>\nb", "<|endof text|> <|end", "some words, plain"]
+    e = UnitEncoder(P.path(name), blanks)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert plain.token_to_id("<|endoftext|>") in want[1]
+    assert [x.tolist() for x in e.encode(texts)] == [x.tolist() for x in e.whole(texts)] == want
+
+
 def test_token_files(spark, tmp_path):
     texts = [*ODD, "some words " * 500, "end"]
     ids = [7, 3, None, 9, 3, 1, 12, 40, 5, 2, 100]
