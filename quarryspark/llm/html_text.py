@@ -13,8 +13,9 @@ Text is put out as blocks: character references decoded, white space inside a bl
 one space, blocks joined by one newline in page order. Nothing is cut off.
 
 Cases: null, empty and text-less pages give empty text; unclosed elements end with the
-container around them, an unclosed script or comment with the page; pages of any length are
-parsed whole; repeated rows are extracted alike; columns that clash with ``text`` or
+container around them, an unclosed script or comment with the page; a head without a closing
+tag ends at the first body, other flow element or text; a self-closed svg or math is empty;
+pages of any length are parsed whole; repeated rows are extracted alike; columns that clash with ``text`` or
 ``n_chars`` are left out.
 """
 
@@ -33,9 +34,16 @@ from pyspark.sql import functions as F
 
 from quarryspark.runtime import other_columns
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: what a head holds, item by item
+_HEAD_ITEMS = "|".join(
+    [r"\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>", rf"</?(?:meta|link|base|basefont|bgsound)\b{_ATTRIBUTES}>"]
+    + [rf"<{n}\b{_ATTRIBUTES}>.*?(?:</{n}\s*>|\Z)" for n in ("title", "script", "style", "noscript", "template", "noframes")]
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|object|head|button|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|(?P<head><head(?=[\s/>]){_ATTRIBUTES}>(?:(?:{_HEAD_ITEMS})*+</head\s*>|(?:(?!<(?:body|head)[\s/>]).)*?</head\s*>|(?:{_HEAD_ITEMS})*+))"
+    rf"|(?!<(?:svg|math)\b{_ATTRIBUTES}/>)<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|object|button|canvas|audio|video)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -83,8 +91,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
             yield "t", m["text"], "article" if heading and key == "header" and any(k.partition(".")[0] in ("article", "main") for _, k in stack) else key
-        elif m["raw"]:
-            yield "o", m["raw"].lower(), key
+        elif m["raw"] or m["head"]:
+            yield "o", (m["raw"] or "head").lower(), key
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:

@@ -364,6 +364,25 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0), html_text.learn_weights(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><style>p {}</style><body><p>All of it.</p></body></html>", "All of it."),
+        ("<head><title>T</title><script>a('<body>')</script><link rel=x>\n<article><p>All of it.</p></article>", "All of it."),
+        ("<head lang=en><!-- <p>no</p> --><title>T</title>All of it.", "All of it."),
+        ("<head><title>T</title></head><body><p>All of it.</p><p>And more.</p>", "All of it.\nAnd more."),
+        ("<head><script>a('<body></head>')</script><title>T</title></head><p>All of it.</p>", "All of it."),
+        ("<head><title>T</title><body><p>All of it.</p><code>&lt;/head></code>", "All of it.\n</head>"),
+        ("<head><title>T</title>", ""),
+        ("<body><p>Before <svg class='i' href=\"a>b\" /> after.</p><p>And more.</p>", "Before\nafter.\nAnd more."),
+        ("<body><p>One.</p><math/><p>Two.</p><svg><text>no</text></svg><p>Three.</p>", "One.\nTwo.\nThree."),
+        ("<body><p>One.</p><svg><path d='x'/><text>no</text></svg><p>Two.</p>", "One.\nTwo."),
+    ],
+)
+def test_open_heads_and_empty_foreign_elements(page, text):
+    assert html_text.main_text(page, html_text.PageWeights()) == text
+
+
 def test_pages_hold_their_articles(spark):
     import html
 
