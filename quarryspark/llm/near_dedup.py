@@ -15,12 +15,17 @@ MinHashes.
    one with few shingles of its own, and every document is compared with one pivot of its
    buckets, on full sets; what links becomes one component, and a bucket within one
    component is done with.
-5. What is left are pairs of different components that share a bucket. They are joined
-   under three conditions: the bound of step 3, for the two sets; their sketches' bits
-   differ in no more places than a linked pair's do up to 5.5 standard deviations; and the
-   bucket is the first that they share. These pairs are compared on full sets too.
+5. What is left are pairs of different components that share a bucket. The documents of
+   such buckets, and no others, get a longer sketch of one bit a coordinate. Pairs are
+   joined under three conditions: the bound of step 3, for the two sets; their bits differ
+   in no more places than a linked pair's do up to 5.5 standard deviations; and the bucket
+   is the first that they share. These pairs are compared on full sets too.
 6. Components of the links; a document's component is the least id it reaches.
 
+A shingle stands as one 64-bit hash of its words (see ``words``), so two different shingles
+of a compared pair are taken for one with a chance of 2**-64; no candidate is dropped but by
+the chances named in 2 and 5.
+
 Cases: texts without words, null ones included, have no shingles and stay on their own;
 with fewer words than a shingle the whole sequence is the one shingle; rows that share an
 id share a component; a null id is never linked and stays; an empty table gives no rows.
@@ -41,9 +46,9 @@ from quarryspark.llm.words import grouped, mix, window_hashes, word_hashes
 from quarryspark.operators.components import connected_components
 from quarryspark.runtime import give_back, materialize
 
-#: coordinates of the longer sketch that candidates get, two bits of each, in 64-bit words
-FINE = 1024
-BIT_WORDS = 2 * FINE // 64
+#: coordinates of the longer sketch of what pivots leave, one bit of each, in 64-bit words
+FINE = 4096
+BIT_WORDS = FINE // 64
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -122,7 +127,7 @@ def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands
 
 
 def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, set, bits): every document's full shingle set, and bits of a longer sketch of it."""
+    """(rep, set): every document's full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,12 +136,26 @@ def with_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> D
                 sets = shingle_sets([(x or "").encode() for x in b.column(1).to_pylist()], shingle)
                 flat = np.concatenate(sets).view("int64") if sets else np.empty(0, "int64")
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype("int32")
-                sketch = fast_similarity_sketch(sets, FINE)
-                bits = np.packbits(np.stack([sketch & 1, sketch >> 1 & 1], axis=2).astype("uint8").reshape(len(sets), -1), axis=1).view("<i8")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["rep", "set", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "set"])
+        give_back()
+
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, set array<long>")
+
+
+def with_bits(sets: DataFrame) -> DataFrame:
+    """(rep, bits): a bit of each coordinate of a longer sketch of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                flat, cuts = b.column(1).flatten().to_numpy().view("uint64"), b.column(1).value_lengths().to_numpy().cumsum()[:-1]
+                sketch = fast_similarity_sketch(np.split(flat, cuts), FINE)
+                bits = np.packbits((sketch & 1).astype("uint8"), axis=1).view("<i8")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["rep", "bits"])
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, set array<long>, bits array<long>")
+    return sets.select("rep", "set").mapInArrow(run, "rep long, bits array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,10 +167,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _reach(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, bits, size, able): set size and how many of its shingles another candidate has; only those that can link at all."""
+    """(rep, size, able): set size and how many of its shingles another candidate has; only those that can link at all."""
     own = sets.select("rep", F.explode("set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("_o")).filter("n = 1").groupBy("_o").agg(F.count(F.lit(1)).alias("_own"))
-    sized = sets.select("rep", "bits", F.size("set").alias("size")).dropDuplicates(["rep"]).join(own, F.col("rep") == F.col("_o"), "left")
-    return sized.select("rep", "bits", "size", (F.col("size") - F.coalesce("_own", F.lit(0))).alias("able")).filter(100 * F.col("able") >= percent * F.col("size"))
+    sized = sets.select("rep", F.size("set").alias("size")).dropDuplicates(["rep"]).join(own, F.col("rep") == F.col("_o"), "left")
+    return sized.select("rep", "size", (F.col("size") - F.coalesce("_own", F.lit(0))).alias("able")).filter(100 * F.col("able") >= percent * F.col("size"))
 
 
 def _labelled(member: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -190,11 +209,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     labelled = materialize(_labelled(member, links))
     undone = labelled.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select(F.col("key").alias("_k"))
-    left = labelled.join(undone, F.col("key") == F.col("_k"), "left_semi").join(reps.select(F.col("rep").alias("_r"), "keys"), F.col("rep") == F.col("_r")).select("key", "rep", "comp", "keys")
-    of_left = reach.select(F.col("rep").alias("_r"), "size", "able", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)])
-    left = materialize(left.join(of_left, F.col("rep") == F.col("_r")).drop("_r"))
+    open_ = materialize(labelled.join(undone, F.col("key") == F.col("_k"), "left_semi"))
+    finer = with_bits(sets.dropDuplicates(["rep"]).join(open_.select(F.col("rep").alias("_r")).distinct(), F.col("rep") == F.col("_r"), "left_semi"))
+    of_open = finer.select("rep", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)]).join(reach.select(F.col("rep").alias("_r"), "size", "able"), F.col("rep") == F.col("_r")).drop("_r").join(reps.select(F.col("rep").alias("_r"), "keys"), F.col("rep") == F.col("_r")).drop("rep")
+    left = materialize(open_.select("key", "rep", "comp").join(of_open, F.col("rep") == F.col("_r")).drop("_r"))
     j, t = percent / 100, FINE
-    differ = t * (1 - j) + 5.5 * (t * j * (1 - j) + t * (1 - j) / 2) ** 0.5
+    differ = t * (1 - j) / 2 + 5.5 * (t * (1 - j) / 2 * (1 + j) / 2) ** 0.5
     x, y = left.alias("x"), left.alias("y")
     distance: Column = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
     most = F.least("x.able", "y.able")  # of common shingles
@@ -208,7 +228,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the least id."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group the ones with the least id."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -2,24 +2,26 @@
 
 A window is ``window`` consecutive words; every word is removed that lies in a window whose
 word sequence starts anywhere else too. Whole corpora have about as many windows as words,
-so windows themselves are never shuffled:
-
-1. *Chunks.* Documents are cut into chunks of about ``chunk_bytes`` of text, kept in the
-   shared folder as compressed Arrow files; one row a chunk travels.
-2. *Sketch.* Each chunk hashes its windows into ``depth`` rows of a count-min sketch whose
-   width is a multiple of the number of all windows, so its error is the same at every
-   size. A partition's sketch is sparse and sent as such: the occupied cells, sorted,
-   delta-coded and compressed (about 1.4 bytes each), cut into shards by cell. Counts
-   saturate at two, so a set of cells is enough; cells hit twice in a chunk are known there.
-3. *Merge.* A shard adds up the chunks' sketches and answers each chunk with one bit per
-   cell: more than one chunk has it. A window's estimated count is the least over the rows;
-   the sketch overestimates only, so a window with an estimate of one occurs once.
+so windows themselves are never shuffled one by one:
+
+1. *Units.* Each task puts its documents into the shared folder as compressed Arrow files of
+   about ``unit_bytes`` of text (a thousandth of all text, between 4 and 256 MB), made of
+   record batches of about ``batch_bytes``, which is what later passes hold at a time.
+2. *Sketch.* A unit hashes its windows into ``depth`` rows of a count-min sketch whose width
+   is a multiple of the number of all windows, so its error is the same at every size. A
+   unit's sketch is sparse: its occupied cells, sorted, with a bit for those hit twice,
+   delta-coded and compressed (about 1.4 bytes each), cut by cell range into shards.
+3. *Merge.* A shard adds the units' sketches up in a table of counters that saturate at two,
+   the only threshold there is, and tells each unit which of its cells reach two. The sketch
+   overestimates only, so a window with a lower estimate occurs once.
 4. *Exact pass.* Windows estimated to repeat (all of those that do, and a percent or two
-   that don't) are grouped by a 128-bit hash, each chunk sending its distinct ones, again
-   cut into shards, answered by one bit each.
-5. *Removal.* Each chunk marks the words covered by repeated windows and writes its rows.
+   that don't) are grouped by two independent 64-bit lanes, each unit sending its distinct
+   ones, cut by range; a unit is told which of its windows repeat.
+5. *Removal.* Each unit marks the words covered by repeated windows and writes its rows.
 
-A window that a third of all documents share is one entry a chunk in steps 2 and 4.
+Shuffled rows are one for each unit and shard that meet, as in any shuffle of ranges; units
+and shards grow with the corpus, so at 100 TB a row still carries many windows. A window
+that a third of all documents share is one entry a unit in steps 2 and 4.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing;
 repeated rows are each other's copies; an empty table gives no rows. All input columns are
@@ -30,81 +32,115 @@ kept_sha256 and kept_text (words left, one space between them).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark import sharedfs
-from quarryspark.llm.words import all_word_hashes, distinct_sorted, mix, window_hashes
+from quarryspark.llm.words import distinct_sorted, grouped, mix, window_hashes, word_hashes, word_lanes
 from quarryspark.runtime import give_back, materialize, other_columns, shared_folder
 
 RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-
-
-# --- chunks
-
-
-def write_chunks(docs: DataFrame, folder: str, text_col: str, window: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, windows): one row for each chunk file written."""
+#: ranges of cells that a unit merges one after another, to hold one at a time unpacked
+RANGES = 16
+#: most partitions of a shuffle
+MOST_PARTS = 20_000
+
+
+def text_windows(texts: list[bytes], size: int, both: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """(first lane, second lane or None, places, offsets) of the windows that lie within a text.
+
+    A window's place is that of its first word among all words; ``offsets`` says where each
+    text's words begin, and the end.
+    """
+    first, second, places, offsets, total = [], [], [], [np.zeros(1, "int64")], 0
+    for lo, hi in grouped(texts):
+        if both:
+            a, b, at = word_lanes(texts[lo:hi])
+        else:
+            (a, at), b = word_hashes(texts[lo:hi]), None
+        spot = np.flatnonzero(np.repeat(at[1:], np.diff(at)) - np.arange(len(a)) >= size)
+        first.append(window_hashes(a, size)[spot])
+        if both:
+            second.append(window_hashes(b, size)[spot])
+        places.append(spot + total)
+        offsets.append(at[1:] + total)
+        total += len(a)
+    flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    return flat(first, "uint64"), flat(second, "uint64") if both else None, flat(places, "int64"), np.concatenate(offsets)
+
+
+# --- units
+
+
+def write_units(docs: DataFrame, folder: str, text_col: str, window: int, unit_bytes: int, batch_bytes: int) -> DataFrame:
+    """(unit, windows): one row for each file written."""
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quarryspark.llm.words import grouped, word_hashes
+        unit, out = TaskContext.get().partitionId() << 20, []
+        held, size, written, windows, sink, file = [], 0, 0, 0, None, None
 
-        chunk, out, held, size = TaskContext.get().partitionId() << 20, [], [], 0
+        def flush():
+            """Put what is held into the file as one record batch."""
+            nonlocal held, size, written, windows, sink, file
+            if held:
+                part = pa.Table.from_batches(held).combine_chunks()
+                if file is None:
+                    sink = pa.BufferOutputStream()
+                    file = pa.ipc.new_file(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                file.write_table(part)
+                texts = (len((t or "").encode().split()) for t in part.column(at_text).to_pylist())
+                windows += sum(max(0, n - window + 1) for n in texts)
+                held, written, size = [], written + size, 0
 
         def close():
-            nonlocal chunk, held, size
-            if held:
-                table = pa.Table.from_batches(held)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(table)
-                sharedfs.put(f"{folder}/chunk-{chunk}.arrow", sink.getvalue().to_pybytes())
-                texts = [(t or "").encode() for t in table.column(at_text).to_pylist()]
-                n = 0
-                for lo, hi in grouped(texts):
-                    n += int(np.maximum(np.diff(word_hashes(texts[lo:hi])[1]) - window + 1, 0).sum())
-                out.append((chunk, n))
-                chunk, held, size = chunk + 1, [], 0
+            nonlocal unit, written, windows, sink, file
+            flush()
+            if file is not None:
+                file.close()
+                sharedfs.put(f"{folder}/unit-{unit}.arrow", sink.getvalue())
+                out.append((unit, windows))
+                unit, written, windows, sink, file = unit + 1, 0, 0, None, None
 
         for b in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(at_text)), 0).to_numpy(zero_copy_only=False)
             begin = 0
             for k, n in enumerate(lengths.tolist()):
                 size += n + 8
-                if size >= chunk_bytes:
+                if size >= batch_bytes:
                     held.append(b.slice(begin, k + 1 - begin))
                     begin = k + 1
-                    close()
+                    flush()
+                    if written >= unit_bytes:
+                        close()
             if begin < b.num_rows:
                 held.append(b.slice(begin))
         close()
-        yield pa.RecordBatch.from_pydict({"chunk": [c for c, _ in out], "windows": [n for _, n in out]}, schema=pa.schema([("chunk", pa.int64()), ("windows", pa.int64())]))
+        give_back()
+        yield pa.RecordBatch.from_pydict({"unit": [u for u, _ in out], "windows": [n for _, n in out]}, schema=pa.schema([("unit", pa.int64()), ("windows", pa.int64())]))
 
-    return docs.mapInArrow(run, "chunk long, windows long")
+    return docs.mapInArrow(run, "unit long, windows long")
 
 
-class Chunk:
-    """A chunk's texts, word hashes and windows."""
+def unit_batches(folder: str, unit: int, at_text: int, all_columns: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A unit's record batches with their texts as bytes."""
+    reader = pa.ipc.open_file(pa.BufferReader(sharedfs.get(f"{folder}/unit-{unit}.arrow")), options=pa.ipc.IpcReadOptions(included_fields=None if all_columns else [at_text]))
+    for k in range(reader.num_record_batches):
+        b = reader.get_batch(k)
+        yield b, [(t or "").encode() for t in b.column(at_text if all_columns else 0).to_pylist()]
 
-    def __init__(self, folder: str, chunk: int, at_text: int, window: int, all_columns: bool = False):
-        reader = pa.ipc.open_file(pa.BufferReader(sharedfs.get(f"{folder}/chunk-{chunk}.arrow")), options=pa.ipc.IpcReadOptions(included_fields=None if all_columns else [at_text]))
-        self.table = reader.read_all()
-        self.texts = [(t or "").encode() for t in self.table.column(at_text if all_columns else 0).to_pylist()]
-        self.words, self.offsets = all_word_hashes(self.texts)
-        # a window's place is that of its first word; those that cross texts are none
-        last = np.repeat(self.offsets[1:], np.diff(self.offsets)) - np.arange(len(self.words))
-        self.places = np.flatnonzero(last >= window)
-        self.window = window
 
-    def hashes(self, which: int) -> np.ndarray:
-        return window_hashes(self.words, self.window, which)[self.places]
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows without it) of rows that come sorted by their first column."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, found in itertools.groupby(rows, key=lambda r: r[0]):
+        yield key, [r[1:] for r in found]
 
 
 # --- sets of numbers, coded
@@ -133,18 +169,11 @@ def decode_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel(), dtype="uint64")
 
 
-def repeated_bits(entries: list[np.ndarray]) -> list[bytes]:
-    """For each sorted array of distinct entries: a bit an entry, set where another array has it too."""
-    everything = np.concatenate(entries)
-    order = np.argsort(everything, kind="stable")
-    s = everything[order]
-    twice = np.zeros(len(s), bool)
-    twice[:-1] |= s[1:] == s[:-1]
-    twice[1:] |= s[1:] == s[:-1]
-    bits = np.empty(len(s), bool)
-    bits[order] = twice
-    cuts = np.cumsum([len(e) for e in entries])[:-1]
-    return [np.packbits(p).tobytes() for p in np.split(bits, cuts)]
+def with_counts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, whether each occurs more than once) of all parts together."""
+    s = np.sort(np.concatenate(parts)) if parts else np.empty(0, "uint64")
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, "int64")
+    return s[first], np.diff(first, append=len(s)) > 1
 
 
 # --- the passes
@@ -155,145 +184,205 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return mix(hashes ^ np.uint64((row + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) % np.uint64(width)
 
 
-def _sketch_rows(folder: str, at_text: int, window: int, width: int, depth: int, shards: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for chunk in f["chunk"]:
-                h = Chunk(folder, chunk, at_text, window).hashes(0)
+BLOBS = pa.schema([("key", pa.int64()), ("unit", pa.int64()), ("entries", pa.binary()), ("twice", pa.binary())])
+BLOBS_SQL = "key long, unit long, entries binary, twice binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), BLOBS, strict=True)] if rows else [pa.array([], t.type) for t in BLOBS], schema=BLOBS)
+
+
+def _sketch(folder: str, at_text: int, window: int, width: int, depth: int, shards: int):
+    """From units to their cells by shard; a shard's key is row * shards + its number."""
+    across = -(-width // shards)  # cells a shard
+    per_range = -(-shards // RANGES)  # shards a range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in (u for b in batches for u in b.column(0).to_pylist()):
+            packed: list[list[list[tuple[bytes, bytes]]]] = [[[] for _ in range(RANGES)] for _ in range(depth)]
+            for _, texts in unit_batches(folder, unit, at_text):
+                h = text_windows(texts, window, False)[0]
                 for row in range(depth):
-                    cells = distinct_sorted(_cells(h, row, width))
-                    cuts = np.searchsorted(cells, np.arange(1, shards, dtype="uint64") * np.uint64(-(-width // shards)))
-                    yield pd.DataFrame([(row * shards + k, chunk, len(p), encode_sorted(p)) for k, p in enumerate(np.split(cells, cuts)) if len(p)], columns=["shard", "chunk", "n", "entries"])
+                    cells, twice = with_counts([_cells(h, row, width)])
+                    cuts = np.searchsorted(cells, np.arange(1, RANGES, dtype="uint64") * np.uint64(per_range * across))
+                    for kept, c, t in zip(packed[row], np.split(cells, cuts), np.split(twice, cuts), strict=True):
+                        kept.append((encode_sorted(c), encode_sorted(c[t])))
+            for row in range(depth):
+                for r in range(RANGES):
+                    # a cell hit twice in a batch comes in both lists
+                    cells, twice = with_counts([decode_sorted(x) for pair in packed[row][r] for x in pair])
+                    low = r * per_range
+                    cuts = np.searchsorted(cells, np.arange(low + 1, low + per_range, dtype="uint64") * np.uint64(across))
+                    found = zip(range(low, low + per_range), np.split(cells, cuts), np.split(twice, cuts), strict=True)
+                    yield _rows([(row * shards + k, unit, encode_sorted(c - np.uint64(k * across)), np.packbits(t).tobytes()) for k, c, t in found if len(c)])
+        give_back()
 
     return run
 
 
-def _answer_sketch(f: pd.DataFrame) -> pd.DataFrame:
-    bits = repeated_bits([decode_sorted(b) for b in f["entries"]])
-    return pd.DataFrame({"chunk": f["chunk"], "shard": f["shard"], "n": f["n"], "bits": bits})
+def _answer_sketch(width: int, shards: int):
+    """Adds up a shard's cells; what goes back to a unit are those of its cells that reach two."""
+    across = -(-width // shards)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in groups(batches):
+            count = np.zeros(across, "uint8")
+            for _, entries, twice in rows:
+                cells = decode_sorted(entries)
+                count[cells] = np.minimum(count[cells] + 1 + np.unpackbits(np.frombuffer(twice, "uint8"), count=len(cells)), 2)
+            found = ((unit, cells[count[cells] == 2]) for unit, entries, _ in rows for cells in [decode_sorted(entries)])
+            yield _rows([(unit, shard, encode_sorted(c), None) for unit, c in found if len(c)])
+        give_back()
 
-def _bits_of(f: pd.DataFrame) -> dict[int, np.ndarray]:
-    return {s: np.unpackbits(np.frombuffer(b, "uint8"), count=n).astype(bool) for s, n, b in zip(f["shard"], f["n"], f["bits"], strict=True)}
+    return run
 
 
-def _candidates(folder: str, at_text: int, window: int, width: int, depth: int, shards: int, exact_shards: int):
-    """From the sketch's answers to one chunk: its windows estimated to repeat, and which places those are."""
+def _candidates(folder: str, at_text: int, window: int, width: int, depth: int, shards: int):
+    """From the sketch's answers to a unit: its distinct windows estimated to repeat, by shard."""
+    across = -(-width // shards)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        chunk, bits = int(f["chunk"].iloc[0]), _bits_of(f)
-        c = Chunk(folder, chunk, at_text, window)
-        h = c.hashes(0)
-        maybe = np.ones(len(h), bool)
-        for row in range(depth):
-            cells, back, count = np.unique(_cells(h, row, width), return_inverse=True, return_counts=True)
-            elsewhere = np.concatenate([bits.get(row * shards + k, np.empty(0, bool)) for k in range(shards)])
-            maybe &= (elsewhere | (count > 1))[back]
-        sharedfs.put(f"{folder}/maybe-{chunk}", np.packbits(maybe).tobytes())
-        distinct, _, _ = _exact_keys(c, maybe)
-        shard = (distinct["a"] >> np.uint64(32)) % np.uint64(exact_shards)
-        rows = [(int(k), chunk, int(m.sum()), distinct[m].tobytes()) for k in np.unique(shard) for m in [shard == k]]
-        del c, h, maybe, distinct
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in groups(batches):
+            full: list[np.ndarray] = []
+            for row in range(depth):
+                mine = sorted((shard - row * shards, entries) for shard, entries, _ in rows if shard // shards == row)
+                full.append(np.concatenate([decode_sorted(e) + np.uint64(k * across) for k, e in mine]) if mine else np.empty(0, "uint64"))
+            del rows
+            first, second = [], []
+            for _, texts in unit_batches(folder, unit, at_text):
+                a, b, _, _ = text_windows(texts, window, True)
+                for row in range(depth):
+                    keep = _among(full[row], _cells(a, row, width))
+                    a, b = a[keep], b[keep]
+                first.append(a)
+                second.append(b)
+            keys, twice = _distinct_keys(np.concatenate(first), np.concatenate(second))
+            del full, first, second
+            cuts = np.searchsorted(keys["a"], _bounds(shards))
+            yield _rows([(k, unit, e.tobytes(), np.packbits(t).tobytes()) for k, (e, t) in enumerate(zip(np.split(keys, cuts), np.split(twice, cuts), strict=True)) if len(e)])
         give_back()
-        return pd.DataFrame(rows, columns=["shard", "chunk", "n", "entries"])
 
     return run
 
 
-KEY = [("a", "<u8"), ("b", "<u8")]
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _bounds(shards: int) -> np.ndarray:
+    """First lanes at which the second and later of ``shards`` even ranges begin."""
+    return np.array([(k << 64) // shards for k in range(1, shards)], "uint64")
+
+
+def _among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array."""
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(sorted_values, values)
+    at[at == len(sorted_values)] = 0
+    return sorted_values[at] == values
+
 
+def _keys_among(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each window is among ``keys``, which are sorted by both lanes."""
+    hit = np.zeros(len(a), bool)
+    if not len(keys):
+        return hit
+    ka, kb = np.ascontiguousarray(keys["a"]), np.ascontiguousarray(keys["b"])
+    left, at = np.arange(len(a)), np.searchsorted(ka, a)
+    while len(left):  # once, unless different windows agree in the first lane
+        ok = at < len(ka)
+        left, at = left[ok], at[ok]
+        ok = ka[at] == a[left]
+        left, at = left[ok], at[ok]
+        same = kb[at] == b[left]
+        hit[left[same]] = True
+        left, at = left[~same], at[~same] + 1
+    return hit
 
-def _ranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts the keys, rank among the distinct keys of each in that order)."""
+
+def _distinct_keys(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct windows sorted by both lanes, whether each counts two or more)."""
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
-    new = np.ones(len(order), bool)
+    new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return order, np.cumsum(new) - 1
-
-
-def _exact_keys(c: Chunk, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct 128-bit keys in order, which of them each place has, how many places have each)."""
-    a, b = c.hashes(0)[maybe], c.hashes(1)[maybe]
-    order, rank = _ranked(a, b)
-    first = np.flatnonzero(np.diff(rank, prepend=-1))
-    distinct = np.empty(len(first), KEY)
-    distinct["a"], distinct["b"] = a[order][first], b[order][first]
-    back = np.empty(len(rank), "int64")
-    back[order] = rank
-    return distinct, back, np.bincount(rank, minlength=len(first))
-
-
-def _answer_exact(f: pd.DataFrame) -> pd.DataFrame:
-    """As for the sketch, on 128-bit keys: ranks of the distinct keys stand for them."""
-    entries = [np.frombuffer(b, KEY) for b in f["entries"]]
-    everything = np.concatenate(entries)
-    order, rank = _ranked(everything["a"], everything["b"])
-    number = np.empty(len(rank), "uint64")
-    number[order] = rank
-    bits = repeated_bits(np.split(number, np.cumsum([len(e) for e in entries])[:-1]))
-    return pd.DataFrame({"chunk": f["chunk"], "shard": f["shard"], "n": f["n"], "bits": bits})
-
-
-def _remove(folder: str, at_text: int, window: int, exact_shards: int, carried: list[str], with_text: bool):
-    """From the exact answers to one chunk (or none): its rows with the results."""
-
-    def run(chunk: int, bits: dict[int, np.ndarray]) -> pa.Table:
-        c = Chunk(folder, chunk, at_text, window, all_columns=True)
-        gone = np.zeros(len(c.words) + 1, "int32")
-        if bits:
-            maybe = np.unpackbits(np.frombuffer(sharedfs.get(f"{folder}/maybe-{chunk}"), "uint8"), count=len(c.places)).astype(bool)
-            distinct, back, count = _exact_keys(c, maybe)
-            shard = (distinct["a"] >> np.uint64(32)) % np.uint64(exact_shards)
-            repeated = count > 1
-            for k, b in bits.items():
-                repeated[shard == k] |= b
-            starts = c.places[maybe][repeated[back]]
-            np.add.at(gone, starts, 1)
-            np.subtract.at(gone, starts + window, 1)
-        gone = np.cumsum(gone)[:-1] > 0
-        n, removed, digest, kept_text = np.diff(c.offsets), np.zeros(len(c.texts), "int64"), [], []
-        for k, t in enumerate(c.texts):
-            g = gone[c.offsets[k] : c.offsets[k + 1]]
-            removed[k] = g.sum()
-            words = t.split()
-            kept = b" ".join(words if not removed[k] else [words[i] for i in np.flatnonzero(~g)])
-            digest.append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                kept_text.append(kept.decode())
-        columns = [c.table.column(name) for name in carried] + [pa.array(n.astype("int64")), pa.array(removed), pa.array(digest)] + ([pa.array(kept_text, pa.string())] if with_text else [])
-        return pa.table(columns, names=carried + RESULTS[: 3 + with_text])
+    first = np.flatnonzero(new)
+    keys = np.empty(len(first), KEY)
+    keys["a"], keys["b"] = x[first], y[first]
+    if weight is None:
+        return keys, np.diff(first, append=len(x)) > 1
+    return keys, (np.add.reduceat(weight[order], first) if len(first) else np.empty(0, "int64")) > 1
+
+
+def _answer_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes back to a unit are those of its windows that repeat anywhere."""
+    for shard, rows in groups(batches):
+        entries = [np.frombuffer(e, KEY) for _, e, _ in rows]
+        weight = np.concatenate([1 + np.unpackbits(np.frombuffer(t, "uint8"), count=len(e)).astype("int64") for e, (_, _, t) in zip(entries, rows, strict=True)])
+        every = np.concatenate(entries)
+        keys, repeated = _distinct_keys(np.ascontiguousarray(every["a"]), np.ascontiguousarray(every["b"]), weight)
+        keys = keys[repeated]
+        del every, weight
+        found = ((unit, e[_keys_among(keys, e["a"], e["b"])]) for (unit, _, _), e in zip(rows, entries, strict=True))
+        yield _rows([(unit, shard, e.tobytes(), None) for unit, e in found if len(e)])
+    give_back()
+
+
+def _remove(folder: str, at_text: int, window: int, carried: list[str], with_text: bool):
+    """From the exact answers to a unit (or none): its rows with the results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, rows in groups(batches):
+            # shards are ranges of the first lane, so the parts of a unit in their order are sorted
+            keys = np.concatenate([np.frombuffer(e, KEY) for _, e in sorted((shard, e) for shard, e, _ in rows)])
+            for b, texts in unit_batches(folder, unit, at_text, all_columns=True):
+                x, y, places, offsets = text_windows(texts, window, True)
+                starts = places[_keys_among(keys, x, y)]
+                gone = np.zeros(offsets[-1] + 1, "int32")
+                np.add.at(gone, starts, 1)
+                np.subtract.at(gone, starts + window, 1)
+                gone = np.cumsum(gone)[:-1] > 0
+                removed, digest, kept_text = np.zeros(len(texts), "int64"), [], []
+                for k, t in enumerate(texts):
+                    g = gone[offsets[k] : offsets[k + 1]]
+                    removed[k] = g.sum()
+                    words = t.split()
+                    kept = b" ".join(words if not removed[k] else list(itertools.compress(words, (~g).tolist())))
+                    digest.append(hashlib.sha256(kept).hexdigest())
+                    if with_text:
+                        kept_text.append(kept.decode())
+                columns = [b.column(b.schema.get_field_index(name)) for name in carried] + [pa.array(np.diff(offsets)), pa.array(removed), pa.array(digest, pa.string())] + ([pa.array(kept_text, pa.string())] if with_text else [])
+                yield pa.RecordBatch.from_arrays(columns, names=carried + RESULTS[: 3 + with_text])
+        give_back()
 
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, *, text_col: str = "text", window: int = 35, chunk_bytes: int = 5_000_000, depth: int = 2, width_factor: int = 8, shard_windows: int = 4_000_000, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(
+    docs: DataFrame, *, text_col: str = "text", window: int = 35, unit_bytes: int | None = None, batch_bytes: int = 4_000_000, depth: int = 2, width_factor: int = 8, shard_windows: int | None = None, with_text: bool = True
+) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     spark = docs.sparkSession
     carried = other_columns(docs, RESULTS)
     docs = docs.select(*dict.fromkeys([*carried, text_col]))
     at_text, folder = docs.columns.index(text_col), shared_folder(spark, "passages")
-    chunks = materialize(write_chunks(docs, folder, text_col, window, chunk_bytes))
-    windows, n_chunks = chunks.agg(F.coalesce(F.sum("windows"), F.lit(0)), F.count(F.lit(1))).first()
+    if unit_bytes is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        unit_bytes = min(256_000_000, max(4_000_000, total // 1000))
+    units = materialize(write_units(docs, folder, text_col, window, unit_bytes, min(batch_bytes, unit_bytes)))
+    windows, n_units = units.agg(F.coalesce(F.sum("windows"), F.lit(0)), F.count(F.lit(1))).first()
     width = max(1 << 16, width_factor * windows)
-    shards = max(32, windows // shard_windows)
+    if shard_windows is None:
+        shard_windows = min(32_000_000, max(1_000_000, windows // 2000))
+    shards = max(RANGES, -(-windows // shard_windows))
     place = (folder, at_text, window)
 
-    sketch = chunks.mapInPandas(_sketch_rows(*place, width, depth, shards), "shard int, chunk long, n int, entries binary")
-    # dealt by number: what travels is small, what each chunk costs is not, so tasks must not be merged by size
-    by_shard, by_chunk = (lambda d: d.repartition(depth * shards, "shard").groupBy("shard")), (lambda d: d.repartition(2 * n_chunks + 1, "chunk").groupBy("chunk"))
-    answers = by_shard(sketch).applyInPandas(_answer_sketch, "chunk long, shard int, n int, bits binary")
-    wanted = by_chunk(answers).applyInPandas(_candidates(*place, width, depth, shards, shards), "shard int, chunk long, n int, entries binary")
-    exact = by_shard(wanted).applyInPandas(_answer_exact, "chunk long, shard int, n int, bits binary")
-
-    everyone = chunks.select("chunk", F.lit(-1).alias("shard"), F.lit(0).alias("n"), F.lit(b"").alias("bits"))
+    # dealt by number: what travels is small, what each unit or shard costs is not, so tasks must not be merged by size
+    deal = lambda d, n: d.repartition(min(MOST_PARTS, n), "key").sortWithinPartitions("key")
+    sketch = units.select("unit").repartition(min(MOST_PARTS, max(1, n_units))).mapInArrow(_sketch(*place, width, depth, shards), BLOBS_SQL)
+    answers = deal(sketch, depth * shards).mapInArrow(_answer_sketch(width, shards), BLOBS_SQL)
+    wanted = deal(answers, 2 * n_units + 1).mapInArrow(_candidates(*place, width, depth, shards), BLOBS_SQL)
+    exact = deal(wanted, shards).mapInArrow(_answer_exact, BLOBS_SQL)
+    everyone = units.select(F.col("unit").alias("key"), F.lit(0).cast("long").alias("unit"), F.lit(b"").alias("entries"), F.lit(None).cast("binary").alias("twice"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * with_text)
-    remove = _remove(*place, shards, carried, with_text)
-
-    def finish(t: pa.Table) -> pa.Table:
-        f = t.to_pandas()
-        out = remove(int(f["chunk"].iloc[0]), _bits_of(f[f["shard"] >= 0]))
-        give_back()
-        return out
-
-    return by_chunk(exact.unionByName(everyone)).applyInArrow(finish, schema)
+    return deal(exact.unionByName(everyone), 2 * n_units + 1).mapInArrow(_remove(*place, carried, with_text), schema)

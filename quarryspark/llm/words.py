@@ -1,23 +1,31 @@
 """Hashing the words of many texts at once, with numpy over their UTF-8 bytes.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the same as a
-run of such characters. Its hash is a polynomial of its bytes (through a table of random
-64-bit values), read off prefix sums modulo 2**64 and mixed with its length; windows of
-words are hashed the same way from the word hashes.
+A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the same as a run
+of such characters. It stands as two independent 64-bit lanes, each by tabulation: the sum
+of one random number for every (place, byte) of the word, mixed with its length, so two
+different words agree in a lane with a chance of 2**-64 whatever they have in common; words
+of more than ``PLACES`` bytes are hashed by BLAKE2b, one by one. A window's hash combines its
+words' hashes pairwise, level by level, with a non-linear mix after each step, so no
+arithmetic relation between words carries over to windows. Lanes stay apart: two different
+windows agree in both with a chance of about 2**-128.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, other bytes as they are
 LOWER = np.arange(256, dtype="uint8")
 LOWER[65:91] += 32
+#: bytes of a word that have numbers of their own
+PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,41 +39,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, at_least: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(at_least + 1, b, "uint64")
-        p[0] = 1
-        out.append(np.cumprod(p, dtype="uint64"))
-    return out[0], out[1]
+@functools.lru_cache(maxsize=2)
+def _numbers(lane: int) -> np.ndarray:
+    """A lane's random numbers, by place * 256 + byte."""
+    return np.random.default_rng([20, lane]).integers(0, 2**64, PLACES * 256, "uint64")
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i = 0..n at least; base is odd."""
-    return _powers(base, 1 << max(20, (n - 1).bit_length()))
-
-
-_BYTE_BASE, _WORD_BASES = 0xD6E8FEB86659FD93, (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-_TABLE = mix(np.arange(1, 257, dtype="uint64"))
-
-
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, one text after another, and where each text's words begin (one more entry than texts)."""
+def _lanes(texts: list[bytes], lower: bool, lanes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", "uint8")
-    n = len(raw)
+    if lower:
+        raw = LOWER[raw]
     space = SPACE[raw]
-    before = np.empty(n, bool)
+    before = np.empty(len(raw), bool)
     before[0], before[1:] = True, space[:-1]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    up, down = powers(_BYTE_BASE, n)
-    sums = np.empty(n + 1, "uint64")
-    sums[0] = 0
-    np.cumsum((_TABLE[LOWER] if lower else _TABLE)[raw] * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = mix(h ^ ((ends - starts).astype("uint64") * _GOLDEN))
-    lengths = np.fromiter(map(len, texts), "int64", len(texts)) + 1
-    return h, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+    place = np.zeros(len(raw), "int32")
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(raw), dtype="int32"), place, out=place)
+    np.minimum(place, PLACES - 1, out=place)
+    place <<= 8
+    place |= raw
+    lengths, out = ends - starts, []
+    long = np.flatnonzero(lengths > PLACES).tolist()
+    digests = [hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=16).digest() for k in long]
+    for lane in lanes:
+        value = _numbers(lane)[place]
+        first = value[starts]
+        sums = np.cumsum(value, out=value)
+        h = mix((sums[ends - 1] - sums[starts] + first) ^ (lengths.astype("uint64") * _GOLDEN))
+        if long:
+            h[long] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)[:, lane]
+        out.append(h)
+    sizes = np.fromiter(map(len, texts), "int64", len(texts)) + 1
+    return out, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def word_lanes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lanes of all words, one text after another, and where each text's words begin (one more entry than texts)."""
+    (a, b), at = _lanes(texts, lower, (0, 1))
+    return a, b, at
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As word_lanes, the first lane alone."""
+    (a,), at = _lanes(texts, lower, (0,))
+    return a, at
 
 
 def grouped(texts: list[bytes], most: int = 400_000):
@@ -91,16 +110,25 @@ def all_word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray
     return np.concatenate(hashes) if hashes else np.empty(0, "uint64"), np.concatenate(offsets)
 
 
-def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Hash of every window of ``size`` consecutive words; ``which`` (0, 1) picks one of two independent ones."""
-    n = len(words)
-    if n < size:
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences ``a`` followed by sequences ``b``."""
+    return mix(a * _LEFT + b * _RIGHT)
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` consecutive words, from one lane of the words' hashes."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.empty(0, "uint64")
-    up, down = powers(_WORD_BASES[which], n)
-    sums = np.empty(n + 1, "uint64")
-    sums[0] = 0
-    np.cumsum((words if which == 0 else mix(words)) * up[:n], out=sums[1:])
-    return mix((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1])
+    power, span, whole, covered = words, 1, None, 0  # hashes of windows of ``span`` and ``covered`` words
+    while True:
+        if size & span:
+            whole = power if whole is None else _joined(whole[:n], power[covered : covered + n])
+            covered += span
+        if covered == size:
+            return mix(whole[:n])
+        power = _joined(power[:-span], power[span:])
+        span *= 2
 
 
 def distinct_sorted(x: np.ndarray) -> np.ndarray:
