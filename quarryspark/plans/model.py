@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from quarryspark.functions.failures import NETWORK_CODES, AuthError, CorpusError, FetchTimeout, HttpError, NetworkError, ParseError
 from quarryspark.plans.config import ModelConfig
+from quarryspark.runtime import extended
 
 
 class Model(Protocol):
@@ -99,5 +100,4 @@ def answer_prompts(prompts: DataFrame, make_model: Callable[[], Model], config:
                 answers = list(pool.map(one, zip(f[system], f[user], strict=True)))
                 yield f.assign(answer=[a for a, _ in answers], error=[e for _, e in answers])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{fields}, answer string, error string")
+    return prompts.mapInPandas(run, extended(prompts.schema, "answer string, error string"))

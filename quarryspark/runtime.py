@@ -13,6 +13,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 #: rows in an Arrow batch, where a session allows more: rows hold whole texts, and batches are copied on both sides
@@ -94,3 +95,13 @@ def other_columns(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of ``df`` that don't clash, case aside, with the names in ``taken``."""
     names = {t.lower() for t in taken}
     return [c for c in df.columns if c.lower() not in names]
+
+
+def extended(schema: StructType, more: str) -> StructType:
+    """``schema`` and after it the fields of a DDL string; names may hold any character."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as references that hold for any character."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]

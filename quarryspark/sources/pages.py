@@ -26,6 +26,7 @@ from quarryspark.functions.failures import TRANSIENT_FETCH_CODES, error_category
 from quarryspark.functions.text import truncate_at_word
 from quarryspark.functions.urls import PRIVATE_ADDRESS, fetch_error
 from quarryspark.plans.config import ScrapeConfig
+from quarryspark.runtime import extended
 
 #: fixed value: statuses whose Location is followed
 REDIRECTS = (301, 302, 307, 308)
@@ -135,8 +136,7 @@ def fetch_pages(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, trans
                 got = list(pool.map(one, f["url"]))
                 yield f.assign(**{name: [getattr(g, name) for g in got] for name in ("status", "status_text", "content_type", "body", "final_url", "redirects", "error")})
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in urls.schema)
-    return urls.mapInPandas(run, f"{fields}, status int, status_text string, content_type string, body binary, final_url string, redirects int, error string")
+    return urls.mapInPandas(run, extended(urls.schema, "status int, status_text string, content_type string, body binary, final_url string, redirects int, error string"))
 
 
 Renderer = Callable[[str], str | None]
@@ -157,8 +157,7 @@ def render_pages(pages: DataFrame, renderer: Renderer | None) -> DataFrame:
         for f in frames:
             yield f.assign(rendered=[one(u) for u in f["url"]])
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pages.schema)
-    return pages.mapInPandas(run, f"{fields}, rendered string")
+    return pages.mapInPandas(run, extended(pages.schema, "rendered string"))
 
 
 SCRAPED = ("url", "success", "title", "content", "method", "truncated", "content_length", "error", "category")
