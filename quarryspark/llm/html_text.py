@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.runtime import other_columns
+from quarryspark.runtime import extended, other_columns, quoted
 
 _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 #: what a head holds, item by item
@@ -231,5 +231,4 @@ def extract_main_text(pages: DataFrame, weights: PageWeights, *, html_col: str =
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*names).schema] + ["text string, n_chars long"])
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(run, extended(pages.select(*quoted(names)).schema, "text string, n_chars long"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.runtime import give_back, other_columns
+from quarryspark.runtime import extended, give_back, other_columns, quoted
 
 UNDETERMINED = "und"
 _BLANKED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -157,11 +157,11 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, text_col:
                 for k, row, best, least in zip(part, p, losses.argmin(1), two, strict=True):
                     pred[k], score[k], flag[k] = m.languages[best], row[best], len(least) > 1 and least[1] - least[0] < ambiguity
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred), pa.array(score), pa.array(flag)], names=[*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.array(flag)], names=[*names, "lang_pred", "score", "ambiguous"])
         give_back()
 
-    kept = docs.select(*names)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string, score double, ambiguous boolean"])
+    kept = docs.select(*quoted(list(dict.fromkeys([*names, text_col]))))
+    schema = extended(kept.select(*quoted(names)).schema, "lang_pred string, score double, ambiguous boolean")
     return kept.mapInArrow(run, schema)
 
 

@@ -9,15 +9,17 @@
 2. Every document gets a hash-random key (md5 of seed and id). Within a source, documents
    are range-partitioned by that key into buckets of about ``bucket_rows`` rows; keys are
    uniform, so buckets are even however large the source is.
-3. Prefix sums: bucket totals (pre-aggregated before the shuffle), a running sum over the
-   bucket totals of a source, and a running sum inside each bucket.
+3. Prefix sums: bucket totals (pre-aggregated before the shuffle), running sums over them in
+   two levels (runs of ``RUN`` buckets, then the runs of a source), and a running sum inside
+   each bucket.
 4. The budget is the rounded target. Whole epochs come first; the remainder is cut exactly
    where the running sum reaches it, inside a document if need be.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; a source
-of size 0 has target 0 and nothing is taken from it; rows with equal ids are ordered by
-size and otherwise interchangeable; an empty table gives no rows.
-Only the id, text and source columns are read, so other columns can have any names.
+of size 0 has target 0 and nothing is taken from it; a null id is keyed by its text, so that
+rows without ids spread; rows with equal ids are ordered by size, then by text, and equal
+ones may stand for each other; an empty table gives no rows. Only the id, text and source
+columns are read; ``apply_mix`` carries all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.runtime import materialize
+from quarryspark.runtime import materialize, quoted
 
 #: fixed value: a word is a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,53 +54,68 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return levels.select("source", "source_size", "weight", F.when(F.col("_ratio") < F.col("_level"), full).otherwise(F.least(full, F.col("_level") * F.col("weight"))).alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3),
-    cap: int = 3,
-    seed: str = "mix",
-    bucket_rows: int = 2_000,
-) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken, and epochs/partial that make up taken."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    sized = materialize(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    targets = materialize(source_targets(totals.select("source", "source_size"), weights, cap).join(totals.select(F.col("source").alias("_s"), F.greatest(F.lit(1), F.ceil(F.col("_rows") / bucket_rows)).alias("_buckets")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight"))
-    spot = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / F.lit(4294967296)
-    t = targets.withColumnRenamed("source", "_s")
-    placed = sized.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_bucket", F.floor(spot * F.col("_buckets")))
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
-    ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_in_bucket").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("source", "_bucket").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    running = placed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = running.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+#: buckets in a run of the two-level running sum
+RUN = 1024
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """(id, source, size, key) and ``more``."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), named)).alias("key"), *more)
+
+
+def _bucketed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(4294967296)
+    t = targets.withColumnRenamed("source", "of")
+    return rows.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.floor(spot * F.col("buckets")))
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], cap: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(targets, words ahead of each bucket) from (source, size, key)."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    buckets = totals.select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).alias("buckets"))
+    targets = materialize(source_targets(totals.select("source", "source_size"), weights, cap).join(buckets, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight"))
+    sums = materialize(_bucketed(rows, targets).groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("bucket") / RUN)))
+    before = lambda by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("source", "run").agg(F.sum("words").alias("words")).select(F.col("source").alias("of"), F.col("run").alias("in_run"), before(["source"], "run").alias("run_ahead"))
+    ahead = sums.withColumn("own_ahead", before(["source", "run"], "bucket")).join(runs, F.col("source").eqNullSafe(F.col("of")) & (F.col("run") == F.col("in_run")))
+    return targets, ahead.select(F.col("source").alias("of"), F.col("bucket").alias("in_bucket"), (F.col("own_ahead") + F.col("run_ahead")).alias("ahead"))
+
+
+def _cut(rows: DataFrame, targets: DataFrame, ahead: DataFrame, *ties: str) -> DataFrame:
+    """``rows`` with source_size, target, epochs and the words of the partial epoch."""
+    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    running = _bucketed(rows, targets).withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = running.join(ahead, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_ahead") - F.col("_within")))
-    return joined.select(id_col, "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("epochs"), part.alias("partial"))
+    return joined.withColumns({"epochs": epochs, "partial": F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("within")))})
 
 
-def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", bucket_rows: int = 2_000
+) -> DataFrame:
+    """One row a document: id, source, size, source_size, target, taken, and epochs/partial that make up taken."""
+    rows = materialize(_keyed(docs, id_col, text_col, source_col, seed))
+    cut = _cut(rows, *_plan(rows, weights, cap, bucket_rows))
+    return cut.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"), "epochs", "partial")
+
+
+def apply_mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", bucket_rows: int = 2_000
+) -> DataFrame:
     """The mixed rows: a document once per whole epoch, and the one at the cut with its words up to the cut.
 
-    Same columns as ``docs``. Rows that share an id are told apart by size; among equal ones
-    any may stand for another.
+    Same columns as ``docs``; ``n_chars``, if there, is that of the text.
     """
-    names, key = docs.columns, lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options).select(key(id_col).alias("_id"), F.col("size").alias("_size"), "epochs", "partial")
-    mixed = mixed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_size")))
-    numbered = docs.withColumn("_key", key(id_col)).withColumn("_words_in", word_count(F.col(text_col)))
-    numbered = numbered.withColumn("_nth_in", F.row_number().over(Window.partitionBy("_key").orderBy("_words_in")))
-    both = numbered.join(mixed, (F.col("_key") == F.col("_id")) & (F.col("_nth") - F.col("_nth_in") == 0))
-    pieces = F.concat(F.transform(F.sequence(F.lit(0), F.col("epochs")), lambda _: F.col("_size")), F.array("partial"))
-    out = both.withColumn("_words", F.explode(F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda n: n > 0)))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(first)
-    kept = {c: F.col(c) for c in names} | {text_col: text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in names else {})
-    return out.select(*[kept[c].alias(c) for c in names])
+    plan = _plan(materialize(_keyed(docs, id_col, text_col, source_col, seed)), weights, cap, bucket_rows)
+    rows = _keyed(docs, id_col, text_col, source_col, seed, F.md5(F.col(text_col)).alias("tie"), F.struct(*quoted(docs.columns)).alias("row"))
+    cut = _cut(rows, *plan, "tie")
+    pieces = F.concat(F.transform(F.sequence(F.lit(0), F.col("epochs")), lambda _: F.col("size")), F.array("partial"))
+    out = cut.withColumn("words", F.explode(F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda n: n > 0)))
+    own = F.col("row").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("size"), own).otherwise(first)
+    new = {text_col: text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

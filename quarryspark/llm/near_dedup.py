@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quarryspark.llm.words import grouped, mix, window_hashes, word_hashes
 from quarryspark.operators.components import connected_components
-from quarryspark.runtime import give_back, materialize
+from quarryspark.runtime import give_back, materialize, quoted
 
 #: coordinates of the longer sketch of what pivots leave, one bit of each, in 64-bit words
 FINE = 4096
@@ -231,5 +231,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the ones with the least id."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*quoted(docs.columns)).alias("row"))
     return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quarryspark import sharedfs
 from quarryspark.llm.words import distinct_sorted, grouped, mix, window_hashes, word_hashes, word_lanes
-from quarryspark.runtime import give_back, materialize, other_columns, shared_folder
+from quarryspark.runtime import extended, give_back, materialize, other_columns, quoted, shared_folder
 
 RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
 #: ranges of cells that a unit merges one after another, to hold one at a time unpacked
@@ -364,7 +364,7 @@ def remove_repeated_passages(
     """``docs`` with n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     spark = docs.sparkSession
     carried = other_columns(docs, RESULTS)
-    docs = docs.select(*dict.fromkeys([*carried, text_col]))
+    docs = docs.select(*quoted(list(dict.fromkeys([*carried, text_col]))))
     at_text, folder = docs.columns.index(text_col), shared_folder(spark, "passages")
     if unit_bytes is None:
         total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -384,5 +384,5 @@ def remove_repeated_passages(
     wanted = deal(answers, 2 * n_units + 1).mapInArrow(_candidates(*place, width, depth, shards), BLOBS_SQL)
     exact = deal(wanted, shards).mapInArrow(_answer_exact, BLOBS_SQL)
     everyone = units.select(F.col("unit").alias("key"), F.lit(0).cast("long").alias("unit"), F.lit(b"").alias("entries"), F.lit(None).cast("binary").alias("twice"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema] + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * with_text)
+    schema = extended(docs.select(*quoted(carried)).schema, "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     return deal(exact.unionByName(everyone), 2 * n_units + 1).mapInArrow(_remove(*place, carried, with_text), schema)

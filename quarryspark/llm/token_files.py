@@ -6,18 +6,18 @@ its own) and ends with zstandard's content checksum. After the frames comes the
 in a skippable frame, so any zstandard reader still reads the ids::
 
     u32 0x184D2A5E   u32 size of what follows
-    per frame:  u32 compressed size, u32 decompressed size, u32 xxh32-style check (crc32 of the ids)
+    per frame:  u32 compressed size, u32 decompressed size, u32 check (low half of XXH64 of the ids)
     u32 number of frames   u8 descriptor 0x80 (entries have checks)   u32 0x8F92EAB1
 
-Next to it lies an index frame (skippable too, before the seek table) with the documents:
-ids and lengths. A reader takes the last bytes, then the tables, then only the frames that
+Before it lies an index in a skippable frame of another kind (0x184D2A50) with the documents:
+ids and lengths, as 64-bit integers; the length of a document without id is stored as -1 - length. A reader takes the last bytes, then the tables, then only the frames that
 hold the documents it is asked for, and checks each against its entry.
 
 Writing: documents are range-partitioned by id, each range is encoded in id order and put
 into the shared folder as numbered shards; a shard's row says how many ids it holds. The
 starts of shards are a running sum over one row a shard. Reading maps over the shards.
 
-Cases: null texts are empty and get the end id alone; rows with equal ids stay, ordered by
+Cases: ids are whole numbers; null texts are empty and get the end id alone; rows with equal ids stay, ordered by
 text; null ids come first; an empty table gives no file and no rows.
 """
 
@@ -39,6 +39,15 @@ from quarryspark.runtime import materialize, shared_folder
 
 #: fixed values of the seekable zstandard format
 SKIPPABLE, SEEKABLE, WITH_CHECKS = 0x184D2A5E, 0x8F92EAB1, 0x80
+#: our own index, another of the skippable kinds
+INDEX = 0x184D2A50
+
+
+def frame_check(raw: bytes) -> int:
+    """The format's check of a frame's content."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
 class ShardWriter:
@@ -54,7 +63,7 @@ class ShardWriter:
         self.docs: list[tuple[int, int]] = []
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append((-(2**63) if doc is None else doc, len(ids)))
+        self.docs.append((0, -1 - len(ids)) if doc is None else (doc, len(ids)))
         self.open.append(ids)
         self.held += len(ids)
         self.total += len(ids)
@@ -66,7 +75,7 @@ class ShardWriter:
             raw = np.concatenate(self.open).astype("<u4", copy=False).tobytes()
             frame = self.compress(raw)
             self.frames.append(frame)
-            self.entries.append((len(frame), len(raw), zlib.crc32(raw)))
+            self.entries.append((len(frame), len(raw), frame_check(raw)))
             self.bytes += len(frame)
             self.open, self.held = [], 0
 
@@ -74,8 +83,8 @@ class ShardWriter:
         self.close_frame()
         index = self.compress(np.array(self.docs, dtype="<i8").reshape(-1, 2).tobytes())
         table = b"".join(struct.pack("<III", *e) for e in self.entries) + struct.pack("<IBI", len(self.entries), WITH_CHECKS, SEEKABLE)
-        wrap = lambda body: struct.pack("<II", SKIPPABLE, len(body)) + body
-        return [*self.frames, wrap(index), wrap(table)]
+        wrap = lambda magic, body: struct.pack("<II", magic, len(body)) + body
+        return [*self.frames, wrap(INDEX, index), wrap(SKIPPABLE, table)]
 
 
 class ShardReader:
@@ -94,8 +103,12 @@ class ShardReader:
         self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0])])
         self.id_starts = np.concatenate([[0], np.cumsum(self.entries[:, 1] // 4)])
         index_at = int(self.starts[-1])
-        _, length = struct.unpack("<II", self._at(index_at, 8))
-        self.docs = np.frombuffer(self.expand(self._at(index_at + 8, length)), dtype="<i8").reshape(-1, 2)
+        kind, length = struct.unpack("<II", self._at(index_at, 8))
+        if kind != INDEX:
+            raise ValueError("no index before the seek table")
+        self.docs = np.frombuffer(self.expand(self._at(index_at + 8, length)), dtype="<i8").reshape(-1, 2).copy()
+        self.no_id = self.docs[:, 1] < 0
+        self.docs[self.no_id, 1] = -1 - self.docs[self.no_id, 1]
         self.doc_starts = np.concatenate([[0], np.cumsum(self.docs[:, 1])])
 
     def _at(self, offset: int, length: int) -> bytes:
@@ -104,7 +117,7 @@ class ShardReader:
 
     def frame(self, k: int) -> np.ndarray:
         raw = self.expand(self._at(int(self.starts[k]), int(self.entries[k, 0])), max_output_size=int(self.entries[k, 1]))
-        if zlib.crc32(raw) != self.entries[k, 2] or len(raw) != self.entries[k, 1]:
+        if frame_check(raw) != self.entries[k, 2] or len(raw) != self.entries[k, 1]:
             raise ValueError(f"frame {k} fails its check")
         return np.frombuffer(raw, dtype="<u4")
 
@@ -118,12 +131,12 @@ class ShardReader:
     def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc, start in the shard, ids) of all documents, a frame at a time."""
         k, ids = -1, np.empty(0, "<u4")
-        for (doc, length), start in zip(self.docs.tolist(), self.doc_starts.tolist(), strict=False):
+        for (doc, length), no_id, start in zip(self.docs.tolist(), self.no_id.tolist(), self.doc_starts[:-1].tolist(), strict=True):
             while length and start >= self.id_starts[k + 1]:
                 k += 1
                 ids = self.frame(k)
             begin = start - int(self.id_starts[k])
-            yield (None if doc == -(2**63) else doc), start, ids[begin : begin + length]
+            yield (None if no_id else doc), start, ids[begin : begin + length]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, blanks: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 16_000_000, frame_ids: int = 65_536, partitions: int | None = None) -> DataFrame:

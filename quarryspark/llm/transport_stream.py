@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryspark.runtime import other_columns
+from quarryspark.runtime import extended, other_columns, quoted
 
 #: fixed values of the format
 PACKET, SYNC, PAT_PID, PRIVATE_STREAM, PRIVATE_TYPE = 188, 0x47, 0x0000, 0xBD, 0x06
@@ -266,9 +266,8 @@ def _mapped(df: DataFrame, source: str, add: dict[str, pa.DataType], spark_types
                 columns = [b.column(b.schema.get_field_index(c)) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), add.values(), strict=True))], names=[*names, *add])
 
-    kept = df.select(*dict.fromkeys([*names, source]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema] + [spark_types])
-    return kept.mapInArrow(run, schema)
+    kept = df.select(*quoted(list(dict.fromkeys([*names, source]))))
+    return kept.mapInArrow(run, extended(df.select(*quoted(names)).schema, spark_types))
 
 
 def stored(text: str | None, unit_bytes: int = 8192) -> tuple[int, bytes]:

@@ -22,6 +22,8 @@ from quarryspark.llm.tokens import UnitEncoder
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: two different words of equal letters at places that polynomials modulo 2**64 can't tell apart
+TWINS = ["".join("ab"[bin(k).count("1") % 2 ^ flip] for k in range(1024)) for flip in (0, 1)]
 ODD = ["", " ", None, "a", "a a a", "tab\tand  two \n\nspaces", "Ünïcode wörds ÄÖ", "x" * 3000, "\x1c odd \xa0 blanks　"]
 
 
@@ -108,14 +110,27 @@ def test_substrings(spark):
     texts = [*ODD, passage, f"before {passage} after", prose(r, 50, 3), "same same " * 30, prose(r, 200), prose(r, 7)] + [prose(r, 30, 4) for _ in range(15)]
     texts += [texts[-1], texts[10]]
     d = documents(spark, texts, ids=[5 if k < 2 else k for k in range(len(texts))]).withColumn("N_words", F.lit("clash")).withColumn("at", F.monotonically_increasing_id()).repartition(3)
-    for chunk in (200, 1_000_000):
-        got = substring_dedup.remove_repeated_passages(d, window=6, chunk_bytes=chunk)
+    for unit, batch in ((200, 100), (1000, 200), (1_000_000, 1_000_000)):
+        got = substring_dedup.remove_repeated_passages(d, window=6, unit_bytes=unit, batch_bytes=batch, shard_windows=30)
         assert [c.lower() for c in got.columns].count("n_words") == 1
         rows = sorted(got.collect(), key=lambda r: r.at)
         assert sorted((x.n_words, x.n_removed, x.kept_sha256, x.kept_text) for x in rows) == sorted(_removed(texts, 6))
     assert substring_dedup.remove_repeated_passages(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("word", [TWINS, [w[:32] for w in TWINS], ["x" * 64 + "a", "x" * 64 + "b"]])
+def test_different_words_stay_different(spark, word):
+    rest = " ".join(f"w{k}" for k in range(34))
+    apart = documents(spark, [f"{w} {rest}" for w in word])
+    assert [x.n_removed for x in substring_dedup.remove_repeated_passages(apart, window=35).collect()] == [0, 0]
+    # the same as words of a text: windows of 32 words from two letters
+    spelt = [" ".join(w[:32]) + f" end{k}" for k, w in enumerate(TWINS)]
+    assert [x.n_removed for x in substring_dedup.remove_repeated_passages(documents(spark, spelt), window=32).collect()] == [0, 0]
+    near = near_dedup.near_duplicates(documents(spark, word)).collect()
+    assert all(x.kept and x.n_shingles == 1 for x in near)
+    assert len(set(words.word_hashes([w.encode() for w in word])[0].tolist())) == 2
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
 @settings(max_examples=50, deadline=None)
 def test_sorted_numbers_round_trip(xs):
@@ -308,10 +323,9 @@ def test_added_tokens_are_one_id(name, blanks):
 
 
 def test_token_files(spark, tmp_path):
-    texts = [*ODD, "some words " * 500, "end"]
-    ids = [7, 3, None, 9, 3, 1, 12, 40, 5, 2, 100]
+    texts = [*ODD, "some words " * 500, "a <|endoftext|> b"]
+    ids = [7, 3, None, 9, 3, 1, 12, 40, 5, 2, -(2**63)]
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     order = sorted(range(len(texts)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] is not None, (texts[k] or "").encode()))
     start, want = 0, []
     for k in order:
@@ -337,6 +351,9 @@ def test_seek_table(tmp_path):
         assert len(reader.entries) > 2
         assert [(d, ids.tolist()) for d, _, ids in reader] == [(d, ids.tolist()) for d, ids in docs]
         assert all(reader.document(k).tolist() == ids.tolist() for k, ids in docs if len(ids))
+        import xxhash
+
+        assert [int(c) for c in reader.entries[:, 2]] == [xxhash.xxh64_intdigest(reader.frame(k).tobytes()) % 2**32 for k in range(len(reader.entries))]
     everything = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert everything[: 4 * sum(len(i) for _, i in docs)] == b"".join(i.tobytes() for _, i in docs)
     bad = bytearray(raw)
@@ -454,11 +471,10 @@ def test_best_fit_and_bound(sizes):
 
 def test_packing(spark):
     r = random.Random(9)
-    texts = [*ODD] + [prose(r, r.randrange(1, 60)) for _ in range(300)]
+    texts = [*ODD, "a <|startoftext|> b <|EndOfText|>"] + [prose(r, r.randrange(1, 60)) for _ in range(300)]
     d = documents(spark, [*texts, texts[20]], ids=[*range(len(texts)), 20])
     rows = packing.pack_documents(d, P.path("word_bpe_49k.json"), blanks="dropped", capacity=64, part_rows=100).collect()
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     pieces = collections.defaultdict(list)
     for x in rows:
         pieces[x.doc_id].append(x)
