@@ -78,8 +78,12 @@ def text_windows(texts: list[bytes], size: int, both: bool) -> tuple[np.ndarray,
 # --- units
 
 
+def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def write_units(docs: DataFrame, folder: str, text_col: str, window: int, unit_bytes: int, batch_bytes: int) -> DataFrame:
-    """(unit, windows): one row for each file written."""
+    """(unit, windows): one row for each file written, with its number of windows as blanks tell it."""
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +99,7 @@ def write_units(docs: DataFrame, folder: str, text_col: str, window: int, unit_b
                     sink = pa.BufferOutputStream()
                     file = pa.ipc.new_file(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                 file.write_table(part)
-                texts = (len((t or "").encode().split()) for t in part.column(at_text).to_pylist())
-                windows += sum(max(0, n - window + 1) for n in texts)
+                windows += sum(max(0, t.count(b" ") + t.count(b"\n") + 2 - window) for t in as_bytes(part.column(at_text)))
                 held, written, size = [], written + size, 0
 
         def close():
@@ -133,7 +136,7 @@ def unit_batches(folder: str, unit: int, at_text: int, all_columns: bool = False
     reader = pa.ipc.open_file(pa.BufferReader(sharedfs.get(f"{folder}/unit-{unit}.arrow")), options=pa.ipc.IpcReadOptions(included_fields=None if all_columns else [at_text]))
     for k in range(reader.num_record_batches):
         b = reader.get_batch(k)
-        yield b, [(t or "").encode() for t in b.column(at_text if all_columns else 0).to_pylist()]
+        yield b, as_bytes(b.column(at_text if all_columns else 0))
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -243,16 +246,16 @@ def _candidates(folder: str, at_text: int, window: int, width: int, depth: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, rows in groups(batches):
-            full: list[np.ndarray] = []
+            full: list[Members] = []
             for row in range(depth):
                 mine = sorted((shard - row * shards, entries) for shard, entries, _ in rows if shard // shards == row)
-                full.append(np.concatenate([decode_sorted(e) + np.uint64(k * across) for k, e in mine]) if mine else np.empty(0, "uint64"))
+                full.append(Members(np.concatenate([decode_sorted(e) + np.uint64(k * across) for k, e in mine]) if mine else np.empty(0, "uint64")))
             del rows
             first, second = [], []
             for _, texts in unit_batches(folder, unit, at_text):
                 a, b, _, _ = text_windows(texts, window, True)
                 for row in range(depth):
-                    keep = _among(full[row], _cells(a, row, width))
+                    keep, _ = full[row].where(_cells(a, row, width))
                     a, b = a[keep], b[keep]
                 first.append(a)
                 second.append(b)
@@ -273,37 +276,55 @@ def _bounds(shards: int) -> np.ndarray:
     return np.array([(k << 64) // shards for k in range(1, shards)], "uint64")
 
 
-def _among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array."""
-    if not len(sorted_values):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(sorted_values, values)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == values
-
-
-def _keys_among(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each window is among ``keys``, which are sorted by both lanes."""
-    hit = np.zeros(len(a), bool)
-    if not len(keys):
-        return hit
-    ka, kb = np.ascontiguousarray(keys["a"]), np.ascontiguousarray(keys["b"])
-    left, at = np.arange(len(a)), np.searchsorted(ka, a)
-    while len(left):  # once, unless different windows agree in the first lane
-        ok = at < len(ka)
-        left, at = left[ok], at[ok]
-        ok = ka[at] == a[left]
-        left, at = left[ok], at[ok]
-        same = kb[at] == b[left]
-        hit[left[same]] = True
-        left, at = left[~same], at[~same] + 1
-    return hit
+class Members:
+    """Which values are in a sorted array: a table of hashed bits rules most others out before the search."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        bits = min(26, max(12, (8 * len(values)).bit_length()))
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.table[self._spot(values)] = True
+
+    def _spot(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def where(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``x`` are members, the first place of each in the sorted array)."""
+        some = np.flatnonzero(self.table[self._spot(x)])
+        at = np.searchsorted(self.values, x[some])
+        at[at == len(self.values)] = 0
+        ok = self.values[at] == x[some] if len(self.values) else np.zeros(0, bool)
+        return some[ok], at[ok]
+
+
+class KeyMembers:
+    """As Members, for windows by both lanes; ``keys`` are sorted by both."""
+
+    def __init__(self, keys: np.ndarray):
+        self.first, self.second = Members(np.ascontiguousarray(keys["a"])), np.ascontiguousarray(keys["b"])
+
+    def where(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which windows are members."""
+        left, at = self.first.where(a)
+        found = []
+        while len(left):  # once, unless different windows agree in the first lane
+            same = self.second[at] == b[left]
+            found.append(left[same])
+            left, at = left[~same], at[~same] + 1
+            ok = at < len(self.second)
+            left, at = left[ok], at[ok]
+            ok = self.first.values[at] == a[left]
+            left, at = left[ok], at[ok]
+        return np.sort(np.concatenate(found)) if found else np.empty(0, "int64")
 
 
 def _distinct_keys(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct windows sorted by both lanes, whether each counts two or more)."""
-    order = np.lexsort((b, a))
+    order = np.argsort(a)
     x, y = a[order], b[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():  # different windows agree in the first lane
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     first = np.flatnonzero(new)
@@ -321,9 +342,9 @@ def _answer_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         weight = np.concatenate([1 + np.unpackbits(np.frombuffer(t, "uint8"), count=len(e)).astype("int64") for e, (_, _, t) in zip(entries, rows, strict=True)])
         every = np.concatenate(entries)
         keys, repeated = _distinct_keys(np.ascontiguousarray(every["a"]), np.ascontiguousarray(every["b"]), weight)
-        keys = keys[repeated]
-        del every, weight
-        found = ((unit, e[_keys_among(keys, e["a"], e["b"])]) for (unit, _, _), e in zip(rows, entries, strict=True))
+        known = KeyMembers(keys[repeated])
+        del every, weight, keys
+        found = ((unit, e[known.where(np.ascontiguousarray(e["a"]), np.ascontiguousarray(e["b"]))]) for (unit, _, _), e in zip(rows, entries, strict=True))
         yield _rows([(unit, shard, e.tobytes(), None) for unit, e in found if len(e)])
     give_back()
 
@@ -334,13 +355,13 @@ def _remove(folder: str, at_text: int, window: int, carried: list[str], with_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, rows in groups(batches):
             # shards are ranges of the first lane, so the parts of a unit in their order are sorted
-            keys = np.concatenate([np.frombuffer(e, KEY) for _, e in sorted((shard, e) for shard, e, _ in rows)])
+            known = KeyMembers(np.concatenate([np.frombuffer(e, KEY) for _, e in sorted((shard, e) for shard, e, _ in rows)]))
             for b, texts in unit_batches(folder, unit, at_text, all_columns=True):
                 x, y, places, offsets = text_windows(texts, window, True)
-                starts = places[_keys_among(keys, x, y)]
+                starts = places[known.where(x, y)]  # each once, in order
                 gone = np.zeros(offsets[-1] + 1, "int32")
-                np.add.at(gone, starts, 1)
-                np.subtract.at(gone, starts + window, 1)
+                gone[starts] += 1
+                gone[starts + window] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 removed, digest, kept_text = np.zeros(len(texts), "int64"), [], []
                 for k, t in enumerate(texts):
