@@ -367,7 +367,7 @@ def test_seek_table(tmp_path):
 
 def test_main_text(spark):
     learned = html_text.learn_weights(spark.read.parquet(f"{SF}/pages.parquet"))
-    assert learned.words["article"] > 0 > learned.words["nav"] and all(v < 0 for v in learned.tags.values())
+    assert learned.signs["<article"] > 1 and learned.signs["<nav"] < -2 and learned.signs["ad"] < -2 and all(v < 0 for v in learned.tags.values())
     page = '<html><head><title>no</title></head><body><div class="cookie-notice">We use <p>cookies</p></div><header><h1>Site</h1></header><nav><a>x</a></nav>{}<h2>Title</h2><p>Hello <a href=x>wor<b>ld</b></a>&nbsp;and\n all &amp; &lt;</p><script>var t="</p>";</script><aside>see also</aside><!-- c --><p>More text here.<p>Open{}<div class="comments"><p>I like it very much</p></div><form>name</form><footer>bye</footer>'
     want = "Title\nHello world and all & <\nMore text here.\nOpen"
     for w in (learned, html_text.PageWeights()):
@@ -411,6 +411,55 @@ def test_pages_hold_their_articles(spark):
         assert got[r.page_id] == "\n".join(x for x in want if x)
 
 
+_SAID = ["It rained all day long.", "Then the sun came out again, and people went for walks.", "Nobody had thought of it."]
+_PROSE = "".join(f"<p>{x}</p>" for x in _SAID)
+_LINKS = "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(9))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id=top><ul class=menu>{_LINKS}</ul></div><div id=content>{_PROSE}</div><div id=sidebar><h3>Latest</h3><p>Something else entirely, at some length, to read.</p></div><div id=footer>All rights reserved by us.</div>",
+        f"<table class=layout><tr><td><table class=nav><tr><td><a href=a>Home</a><td><a href=b>News</a></table><td><div class=story>{_PROSE}</div><td><div class='ad-slot'>Buy these shoes now, they are very cheap today.</div></table>",
+        f"<header><p>The Daily Page</p></header><div role=main><section>{_PROSE}</section></div><section class='comments-section'><p>First! I like this a lot, thank you very much.</p></section><form><p>Your name</p></form>",
+        f"<div class=cookie-banner><p>We use cookies to make this site better for you.</p></div><div class='blog-post'>{_PROSE}<div class=share-buttons><a href=x>Share this</a></div></div><div class='comment-list'><p>I do not agree with any of this at all.</p></div>",
+        f"<nav><ul>{_LINKS}</ul></nav>{_PROSE}<footer><p>Written by somebody who lives somewhere far away.</p></footer>",
+        f"<div class=wrapper><div class=site-header><h1>Site</h1></div><div class=row><div class='col main-col'>{_PROSE}</div><aside><p>Read our other stories, of which there are many.</p></aside></div></div>",
+    ],
+)
+def test_templates_without_an_article(spark, page):
+    assert html_text.main_text(page, html_text.PageWeights()) == "\n".join(_SAID)
+    learned = html_text.learn_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>", learned) == "\n".join(_SAID)
+
+
+def test_class_words_are_priors_only():
+    page = '<article><div class="text-header">Lead paragraph of it.</div><div class="search-results-explained">How results are found.</div><div class="ad">Buy this.</div><p>The end.</p></article>'
+    assert html_text.main_text(page, html_text.PageWeights()) == "Lead paragraph of it.\nHow results are found.\nThe end."
+    # pages whose articles live in what a word calls a widget outweigh the word
+    counts = collections.Counter()
+    for k in range(30):
+        html_text.count_page(f"<body><nav>Home</nav><div class=widget><article><p>Text {k} of it.</p></article></div><div class=story>Buy this.</div></body>", counts)
+        html_text.count_page(f"<body><div class=story>Buy that.</div><article><div class=widget>Some {k} words.</div></article></body>", counts)
+    learned = html_text.weights_of(counts)
+    assert learned.sign("widget") > html_text.prior("widget") and learned.sign("widget") > 0 > -1 > learned.sign("story")
+    assert html_text.main_text("<div class=widget><p>Text of a page, and more.</p></div><div class=story>Buy this now.</div>", learned) == "Text of a page, and more."
+
+
+@pytest.mark.parametrize("unit", ["<nav>", "</nav>", "<div><nav></div>", "<div class=a>x", "</article>", "<p>word </p>", "<b", "<a '", "<!--", "&amp;"])
+def test_long_pages_take_linear_time(unit):
+    import time
+
+    weights = html_text.PageWeights()
+    took = []
+    for size in (100_000, 1_000_000):
+        page = unit * (size // len(unit))
+        began = time.perf_counter()
+        html_text.main_text(page, weights)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
 # --- 8 mixing
 
 
