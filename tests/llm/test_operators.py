@@ -266,21 +266,46 @@ def test_search(spark, shard):
     assert topk_search.search_top_k(documents(spark, []), q).count() == 0
 
 
-@pytest.mark.parametrize("short", [0, 8, 10**9])
-def test_long_queries(spark, short):
-    """Whole texts as queries, with groups of exact copies, by either way of searching."""
+@pytest.mark.parametrize("passes", [(64, 8, 1), (4, 1), (1,)])
+def test_long_queries(spark, passes):
+    """Whole texts as queries, with groups of exact copies, over any passes."""
     r = random.Random(6)
     texts = [*ODD] + [prose(r, r.randrange(1, 300), r.choice([5, 60, 4000])) for _ in range(250)]
     texts += [texts[20]] * 30
     d = documents(spark, texts).repartition(3)
     for shard in (3000, 10**9):
         got = collections.defaultdict(list)
-        for x in sorted(topk_search.search_top_k(d, d.filter("doc_id % 7 = 0 or doc_id = 20"), k=6, query_id_col="doc_id", shard_bytes=shard, short_terms=short).collect(), key=lambda x: x["rank"]):
+        for x in sorted(topk_search.search_top_k(d, d.filter("doc_id % 7 = 0 or doc_id = 20"), k=6, query_id_col="doc_id", shard_bytes=shard, passes=passes).collect(), key=lambda x: x["rank"]):
             got[x.query_id].append((round(x.score, 9), -x.doc_id))
         asked = [(k, t) for k, t in enumerate(texts) if k % 7 == 0 or k == 20]
         assert dict(got) == {k: v for k, v in _bm25(list(enumerate(texts)), asked, 6).items() if v}
 
 
+def test_blocks_are_skipped_and_nothing_is_lost():
+    """Documents of four vocabularies: bounds rule most out, and what is found is what scoring all finds."""
+    r = random.Random(7)
+    texts = [" ".join(f"{'abcd'[k % 4]}{min(r.randrange(1, 400), r.randrange(1, 400))}" for _ in range(r.randrange(20, 90))) for k in range(1200)]
+    hashes, at = topk_search.terms_of(texts)
+    terms = words.distinct_sorted(hashes)
+    df = collections.Counter(t for lo, hi in zip(at, at[1:], strict=False) for t in set(hashes[lo:hi].tolist()))
+    stats = topk_search.Statistics(len(texts), len(hashes) / len(texts), np.array([math.log1p((len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()]))
+    index = topk_search.ShardIndex(np.arange(len(texts)), texts, stats)
+    which = list(range(0, 1200, 40))
+    runs = [np.unique(hashes[at[q] : at[q + 1]], return_counts=True) for q in which]
+    asked = topk_search.QueryTerms(np.array(which), np.cumsum([0] + [len(t) for t, _ in runs]), np.searchsorted(terms, np.concatenate([t for t, _ in runs])), np.concatenate([c for _, c in runs]), terms)
+    q, docs, score = index.answer(asked, stats.idf, np.zeros(len(which)), 10)
+    want = _bm25(list(enumerate(texts)), [(k, texts[k]) for k in which], 10)
+    got = {k: [(round(s, 9), -d) for s, d in zip(score[q == k].tolist(), docs[q == k].tolist(), strict=True)] for k in which}
+    assert got == want
+    floor = np.array([want[k][-1][0] for k in which]) - 1e-9
+    again = index.answer(asked, stats.idf, floor, 10)
+    assert all((x == y).all() for x, y in zip((q, docs, score), again, strict=True))
+    assert len(index.answer(asked, stats.idf, floor * 3, 10)[0]) < len(q) / 2
+    # few blocks hold more than one vocabulary
+    mixed = [len({texts[d][0] for d in index.ids[b : b + 32]}) for b in range(0, 1200, 32)]
+    assert sum(m > 1 for m in mixed) < len(mixed) / 2
+
+
 def test_registered_search_asks_every_twentieth_document(spark):
     from quarryspark.llm.queries import QUERIES
 
