@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +21,8 @@ TRANSIENT_FETCH_CODES = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "EAI_AGAIN")
 RESPONSE_CHARS, RESPONSE_SUFFIX = 25_000, "\n\n[Response truncated due to length]"
 TIMED_OUT = "Research timed out. Please try reducing max_results or try again later."
 
-#: the first that matches names the category; order matters
+#: fixed values: words by category; the first that matches names it, as messages such as
+#: "connection timed out" or "HTTP 500: parse error" fit several
 _CLASSES = (
     ("timeout", "timeout|timed out"),
     ("network", "dns|econnrefused|enotfound|network|unreachable|connection"),
@@ -87,6 +92,19 @@ def retry_after_ms(header: Column | str, now: Column | None = None, *, most: int
     return F.coalesce(wait if most is None else F.when(wait > most, F.lit(most).cast("long")).otherwise(wait), F.lit(default).cast("long"))
 
 
+def seconds_to_wait(header: str | None, now: datetime | None = None) -> float | None:
+    """The same for a client: seconds from a number or an HTTP date, None for nothing or nonsense."""
+    text = (header or "").strip()
+    if re.fullmatch("[0-9]+", text):
+        return float(text)
+    try:
+        until = parsedate_to_datetime(text)
+    except (TypeError, ValueError):
+        return None
+    until = until if until.tzinfo else until.replace(tzinfo=UTC)
+    return max(0.0, (until - (now or datetime.now(UTC))).total_seconds())
+
+
 def backoff_ms(attempt: Column | str, base: int = 500, retry_after: Column | None = None, jitter: Column | float = 0.0, most: int = 10_000) -> Column:
     """base * 2**attempt, with a jitter share in [-0.2, 0.2]; a server's own wish comes first."""
     j = jitter if isinstance(jitter, Column) else F.lit(jitter)

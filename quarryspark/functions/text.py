@@ -1,4 +1,4 @@
-"""Text functions as column expressions: no Python runs on the executors.
+"""Text functions as column expressions; only ``fnv1a32`` and what is built on it runs in an Arrow function.
 
 Lengths and positions count characters (code points). ``fnv1a32`` hashes UTF-16 code units.
 White space is the set that web scripts mean by it, spelled out in ``WS``, as Spark's own
@@ -7,13 +7,29 @@ White space is the set that web scripts mean by it, spelled out in ``WS``, as Sp
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: fixed value: white space, as the inside of a character class
-WS = "\t\n\x0b\x0c\r    -     　﻿"
-#: fixed value: characters that count as 1.5 to a token, as the inside of a character class
-CJK = "ᄀ-ᇿ　-ヿ㐀-䶿一-鿿가-힯豈-﫿＀-￯\U00020000-\U0002ffff"
+WS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: fixed values: ranges of characters that count as 1.5 to a token
+CJK_RANGES = (
+    (0x3000, 0x303F),
+    (0x3040, 0x309F),
+    (0x30A0, 0x30FF),
+    (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF),
+    (0x1100, 0x11FF),
+    (0xAC00, 0xD7AF),
+    (0xF900, 0xFAFF),
+    (0xFF00, 0xFFEF),
+    (0x20000, 0x2FFFF),
+)
+#: the same as the inside of a character class
+CJK = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in CJK_RANGES)
 #: fixed values: FNV-1a, 32 bits
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -55,15 +71,44 @@ def normalize_paragraph(c: Column | str) -> Column:
     return F.lower(F.trim(collapse_white(c)))
 
 
+def fnv_hashes(texts: pa.StringArray) -> np.ndarray:
+    """FNV-1a, 32 bits, over the UTF-16 code units of every text: all texts step together, the last few long ones alone."""
+    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts.to_pylist()]
+    lengths = np.fromiter(map(len, units), "int64", len(units))
+    order = np.argsort(-lengths, kind="stable")
+    flat = np.concatenate([units[k] for k in order]).astype("uint32") if len(units) else np.empty(0, "uint32")
+    begin = np.concatenate([[0], np.cumsum(lengths[order])])
+    h, prime = np.full(len(units), FNV_OFFSET, "uint32"), np.uint32(FNV_PRIME)
+    upto = int(lengths[order[15]]) if len(units) > 16 else 0
+    alive = np.searchsorted(-lengths[order], -np.arange(1, upto + 1), "right")  # texts of at least so many units
+    for at in range(upto):
+        n = alive[at]
+        h[:n] = (h[:n] ^ flat[begin[:n] + at]) * prime
+    for k in range(int(np.count_nonzero(lengths > upto))):
+        x = int(h[k])
+        for u in flat[begin[k] + upto : begin[k + 1]].tolist():
+            x = (x ^ u) * FNV_PRIME & 0xFFFFFFFF
+        h[k] = x
+    out = np.empty(len(units), "int64")
+    out[order] = h
+    return out
+
+
+@F.arrow_udf(LongType())
+def _fnv(texts: pa.Array) -> pa.Array:
+    return pa.array(fnv_hashes(texts), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _fnv_of_lists(lists: pa.Array) -> pa.Array:
+    sizes = pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    hashes = pa.array(fnv_hashes(lists.flatten()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False)), hashes)
+
+
 def fnv1a32(c: Column | str) -> Column:
     """FNV-1a over UTF-16 code units, 0..2**32-1."""
-    text = _col(c)
-    step = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF))
-    start = F.lit(FNV_OFFSET).cast("long")
-    narrow = F.aggregate(F.split(text, ""), start, lambda h, ch: step(h, F.ascii(ch).cast("long")))
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
-    wide = F.aggregate(units, start, lambda h, u: step(h, F.conv(u, 16, 10).cast("long")))
-    return F.when(F.length(text) == 0, start).when(F.octet_length(F.encode(text, "UTF-16BE")) == 2 * F.length(text), narrow).otherwise(wide)
+    return _fnv(_col(c))
 
 
 def fingerprint_set(c: Column | str, min_chars: int = MIN_PARAGRAPH_CHARS) -> Column:
@@ -72,7 +117,7 @@ def fingerprint_set(c: Column | str, min_chars: int = MIN_PARAGRAPH_CHARS) -> Co
     Paragraphs come trimmed and collapsed, so lower case is all that is left to do; it is done
     in a step of its own, as a lambda's argument is computed once and an expression each time.
     """
-    return F.array_sort(F.array_distinct(F.transform(F.transform(segment_paragraphs(c, min_chars), F.lower), fnv1a32)))
+    return F.array_sort(F.array_distinct(_fnv_of_lists(F.transform(segment_paragraphs(c, min_chars), F.lower))))
 
 
 def truncate_field(c: Column | str, most: int) -> Column:
@@ -109,13 +154,18 @@ def key_point_sentence(c: Column | str, most: int = 200) -> Column:
 
 
 def cjk_count(c: Column | str) -> Column:
-    return F.length(F.regexp_replace(_col(c), f"[^{CJK}]", ""))
+    """How many characters are in CJK_RANGES: what lies below all ranges goes in runs, the rest one by one."""
+    t = _col(c)
+    below = chr(min(lo for lo, _ in CJK_RANGES) - 1)
+    return F.when(F.octet_length(t) == F.length(t), F.lit(0)).otherwise(F.length(F.regexp_replace(F.regexp_replace(t, f"[\\x00-{below}]++", ""), f"[^{CJK}]", "")))
 
 
 def estimate_tokens(c: Column | str) -> Column:
     """ceil(cjk / 1.5 + other / 4); 0 for blank text."""
-    cjk = cjk_count(c)
-    return F.when(is_blank(c), F.lit(0).cast("long")).otherwise(F.ceil(cjk / F.lit(1.5) + (F.length(_col(c)) - cjk) / F.lit(4.0)))
+    length = F.length(_col(c))
+    # a lambda's argument is computed once, an expression each time it stands
+    tokens = F.transform(F.array(cjk_count(c)), lambda cjk: F.ceil(cjk / F.lit(1.5) + (length - cjk) / F.lit(4.0)))[0]
+    return F.when(is_blank(c), F.lit(0).cast("long")).otherwise(tokens)
 
 
 def token_threshold(context: int, ratio: float) -> int:

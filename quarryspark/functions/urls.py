@@ -1,8 +1,8 @@
 """URL functions as column expressions.
 
-``normalize_url`` covers absolute URLs with an authority; other schemes pass with their
-fragment dropped, as do hosts in their given spelling but for case (no IDNA) and paths
-with dot segments. Anything that is no URL gives null.
+``normalize_url`` covers absolute URLs with an authority, with hosts beyond ASCII in their
+ASCII form and dot segments of paths resolved; other schemes pass with their fragment
+dropped. Anything that is no URL gives null.
 """
 
 from __future__ import annotations
@@ -26,6 +26,20 @@ def _part(c: Column, n: int) -> Column:
     return F.regexp_extract(c, _SPECIAL, n)
 
 
+def _ascii_host(host: Column) -> Column:
+    """Lower case, and the ASCII form of what is beyond it where there is one."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)), F.lower(host))).otherwise(F.lower(host))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    step = lambda done, s: F.when(F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(F.lower(s).isin(".", "%2e"), done).otherwise(F.concat(done, F.array(s)))
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    open_end = F.lower(F.element_at(segments, -1)).isin(".", "..", "%2e", ".%2e", "%2e.", "%2e%2e")
+    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"), F.when(open_end, F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e)"), F.regexp_replace(joined, r"\A//\z", "/")).otherwise(path)
+
+
 def is_url(c: Column | str) -> Column:
     """Whether a URL parser accepts the text: an authority for web schemes, anything after other schemes."""
     t = js_trim(c)
@@ -43,6 +57,7 @@ def normalize_url(c: Column | str, extra: tuple[str, ...] = ()) -> Column:
     """https, lower-case host, no default port, fragment, tracking parameters or one trailing slash; parameters sorted by name."""
     t = js_trim(c)
     scheme, user, host, port, path, query = (_part(t, n) for n in range(1, 7))
+    path = _without_dots(path)
     scheme = F.lower(scheme)
     secure = F.when(scheme == "http", F.lit("https")).otherwise(scheme)
     usual = (scheme.isin("http", "ws") & (port == "80")) | (secure.isin("https", "wss") & (port == "443")) | ((scheme == "ftp") & (port == "21"))
@@ -56,7 +71,7 @@ def normalize_url(c: Column | str, extra: tuple[str, ...] = ()) -> Column:
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.array_contains(dropped, F.lower(p["k"]))))
     joined = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
     shown_query = F.when(F.coalesce(query, F.lit("")) == "", F.lit("")).when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
-    web = F.concat(secure, F.lit("://"), shown_user, F.lower(host), shown_port, shown_path, shown_query)
+    web = F.concat(secure, F.lit("://"), shown_user, _ascii_host(host), shown_port, shown_path, shown_query)
     return F.when(is_url(c), F.when(t.rlike(_SPECIAL), web).otherwise(F.substring_index(t, "#", 1)))
 
 

@@ -1,7 +1,8 @@
 """Three-stage deduplication of content items: by address, by exact content, by similarity.
 
 Items are (item_id, title, url, snippet, score, content). Stages run one after another on
-the winners of the one before. The best score wins, then the least item_id; the addresses
+the winners of the one before, on ids, scores, addresses and fingerprints alone; titles and
+contents are joined to the winners once, at the end. The best score wins, then the least item_id; the addresses
 of the others are the winner's ``merged_sources``. Items whose paragraphs are all too short
 have an empty fingerprint set and count as equal content (``collapse_empty``). A threshold
 of 0 merges everything. With ``scope``, a column of the items, all stages work within its
@@ -10,16 +11,21 @@ values.
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark.functions.text import MIN_PARAGRAPH_CHARS, fingerprint_set, is_blank
 from quarryspark.functions.urls import normalize_url
 from quarryspark.operators.components import connected_components
-from quarryspark.operators.simjoin import similar_pairs
+from quarryspark.operators.simjoin import similar_pairs, warn_high_pairwise_cost
 from quarryspark.runtime import materialize
 
-ITEM = ("item_id", "title", "url", "snippet", "score", "content", "normalized_url", "fingerprints")
+log = logging.getLogger(__name__)
+#: what the stages leave aside
+HEAVY = ("title", "snippet", "content")
 
 
 def prepare_items(items: DataFrame, *, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = ()) -> DataFrame:
@@ -32,14 +38,22 @@ def prepare_items(items: DataFrame, *, min_chars: int = MIN_PARAGRAPH_CHARS, ext
 
 def keep_best(items: DataFrame, by: list[Column], scope: str | None = None) -> DataFrame:
     """One row a group: the winner's columns, ``first_pos`` and all addresses in ``urls``."""
-    columns = ITEM if scope is None else (*ITEM, scope)
     by = by if scope is None else [*by, F.col(scope)]
     if "urls" not in items.columns:
         items = items.withColumn("urls", F.array("url")).withColumn("first_pos", F.col("item_id"))
+    heavy = [c for c in HEAVY if c in items.columns]
+    light = [c for c in items.columns if c not in (*heavy, "urls", "first_pos")]
     keys = [k.alias(f"_k{n}") for n, k in enumerate(by)]
-    grouped = items.select(*keys, "first_pos", "urls", F.struct(*columns).alias("_item")).groupBy(*[f"_k{n}" for n in range(len(by))])
-    best = grouped.agg(F.max_by("_item", F.struct(F.col("_item.score"), -F.col("_item.item_id"))).alias("_item"), F.min("first_pos").alias("first_pos"), F.array_distinct(F.flatten(F.collect_list("urls"))).alias("urls"))
-    return best.select("_item.*", "first_pos", "urls")
+    grouped = items.select(*keys, "first_pos", "urls", F.struct(*light).alias("_item")).groupBy(*[f"_k{n}" for n in range(len(by))])
+    best = grouped.agg(F.max_by("_item", F.struct(F.col("_item.score"), -F.col("_item.item_id"))).alias("_item"), F.min("first_pos").alias("first_pos"), F.array_distinct(F.flatten(F.collect_set("urls"))).alias("urls"))
+    return _with_heavy(best.select("_item.*", "first_pos", "urls"), items, heavy)
+
+
+def _with_heavy(best: DataFrame, items: DataFrame, heavy: list[str]) -> DataFrame:
+    """``best`` with the columns of ``items`` that the stages left aside."""
+    if not heavy:
+        return best
+    return best.join(items.select(F.col("item_id").alias("_of"), *heavy), F.col("item_id") == F.col("_of")).drop("_of")
 
 
 def dedup_by_url(items: DataFrame, *, scope: str | None = None) -> DataFrame:
@@ -56,7 +70,8 @@ def dedup_by_similarity(items: DataFrame, threshold: float = 0.85, *, scope: str
         return keep_best(items, [F.lit(0)], scope)
     items = materialize(items)
     sets = items if scope is None else items.withColumn("fingerprints", F.transform("fingerprints", lambda f: F.xxhash64(F.col(scope), f)))
-    pairs = similar_pairs(sets, threshold)
+    pairs = materialize(similar_pairs(sets, threshold))
+    warn_high_pairwise_cost(items.count(), pairs.count())
     component = connected_components(pairs).select(F.col("id").alias("_id"), "component")
     labelled = items.join(component, F.col("item_id") == F.col("_id"), "left").withColumn("_group", F.coalesce("component", "item_id")).drop("_id", "component")
     return keep_best(labelled, [F.col("_group")], scope)
@@ -69,19 +84,32 @@ def finish(items: DataFrame, *, scope: str | None = None) -> DataFrame:
 
 
 def deduplicate(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = (), collapse_empty: bool = True, scope: str | None = None) -> DataFrame:
-    good = prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).filter("state = 'ok'")
-    return finish(dedup_by_similarity(dedup_by_content(dedup_by_url(good, scope=scope), collapse_empty=collapse_empty, scope=scope), threshold, scope=scope), scope=scope)
+    good = materialize(prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).filter("state = 'ok'").drop("state", *HEAVY))
+    best = dedup_by_similarity(dedup_by_content(dedup_by_url(good, scope=scope), collapse_empty=collapse_empty, scope=scope), threshold, scope=scope)
+    return finish(_with_heavy(best, items, list(HEAVY)), scope=scope)
 
 
 def deduplicate_with_stats(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(result, one row of counts by stage)."""
-    prepared = materialize(prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking))
-    by_url = materialize(dedup_by_url(prepared.filter("state = 'ok'")))
-    by_content = materialize(dedup_by_content(by_url))
-    out = materialize(finish(dedup_by_similarity(by_content, threshold)))
+    prepared = materialize(prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).drop(*HEAVY))
+    began = time.monotonic()
+
+    def stage(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+        nonlocal began
+        after = materialize(after)
+        now = time.monotonic()
+        log.info("stage=%s in=%d out=%d ms=%d", name, before.count(), after.count(), (now - began) * 1000)
+        began = now
+        return after
+
+    good = prepared.filter("state = 'ok'").drop("state")
+    by_url = stage("url", good, dedup_by_url(good))
+    by_content = stage("content", by_url, dedup_by_content(by_url))
+    best = stage("similarity", by_content, dedup_by_similarity(by_content, threshold))
+    out = finish(_with_heavy(best, items, list(HEAVY)))
     n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
     first = prepared.agg(F.count(F.lit(1)).alias("input_items"), F.count_if(F.col("state") == "empty").alias("empty_removed"), F.count_if(F.col("state") == "bad_url").alias("error_removed"))
     # four single rows, so these joins multiply nothing
-    counts = first.join(n(by_url, "after_url")).join(n(by_content, "after_content")).join(n(out, "output_items"))
+    counts = first.join(n(by_url, "after_url")).join(n(by_content, "after_content")).join(n(best, "output_items"))
     ok = F.col("input_items") - F.col("empty_removed") - F.col("error_removed")
     return out, counts.select("input_items", "empty_removed", "error_removed", (ok - F.col("after_url")).alias("url_duplicates"), (F.col("after_url") - F.col("after_content")).alias("content_duplicates"), (F.col("after_content") - F.col("output_items")).alias("near_duplicates"), "output_items")

@@ -18,36 +18,86 @@ EXCERPT_NOTICE = "[Note: LLM synthesis unavailable; showing truncated raw conten
 PIPELINE_NOTICE = "[Note: LLM synthesis was unavailable. The content below is raw concatenated excerpts from scraped pages.]"
 EXCERPT_CHARS, EXCERPT_POINTS = 2000, 10
 
-#: fixed values: how a section starts, as a heading and as a word at a line's start
-_HEADINGS = {"answer": r"(?i)\A#{1,3}\s+Answer\b", "key_points": r"(?i)\A#{1,3}\s+Key\s*Points?\b", "sources": r"(?i)\A#{1,3}\s+Sources?\b"}
-_WORDS = {k: r"(?i)\A[ \t]*(?:\*{1,2})?[ \t]*" + w + r"(?:\*{1,2})?[ \t]*[:\-–—]?[ \t]*" for k, w in {"answer": "Answer", "key_points": r"Key[ \t]*Points?", "sources": "Sources?"}.items()}
-
-
-def _sections(text: Column, patterns: dict[str, str], inline: bool) -> dict[str, Column]:
-    """Text of each section, null where it is missing or empty."""
-    lines = F.split(text, "\n")
-    first = lambda p: F.array_position(F.transform(lines, lambda x: x.rlike(p)), True).cast("int")
-    at = {k: first(p) for k, p in patterns.items()}
-    out = {}
-    for k, start in at.items():
-        later = [F.when(o > start, o) for n, o in at.items() if n != k]
-        end = F.coalesce(F.least(*later), F.size(lines) + 1)
+#: fixed values: how the lines that open a section begin, their words put together
+SECTIONS = {"answer": ("answer",), "key_points": ("keypoints", "keypoint"), "sources": ("sources", "source")}
+#: fixed values: what may stand between a section's name and its text in one line
+DASHES = (":", "-", "–", "—")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda's argument, and not wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _opened(body: Column, whole_word: bool) -> Column:
+    """struct(name, rest): the section whose name ``body`` begins with, '' for none, and what follows the name."""
+    spaced = F.regexp_extract(F.lower(body), r"\Akey([ \t]*)point", 1)  # "key points" may be two words
+
+    def named(low: Column) -> Column:
+        out = F.struct(F.lit("").alias("name"), F.lit("").alias("rest"))
+        for section, spelt in reversed(SECTIONS.items()):
+            for word in reversed(spelt):
+                gap = F.length(spaced) if section == "key_points" else F.lit(0)
+                fits = low.startswith(word)
+                if whole_word:
+                    fits = fits & ~F.substr(low, F.lit(len(word) + 1), F.lit(1)).rlike("[a-z0-9_]")
+                out = F.when(fits, F.struct(F.lit(section).alias("name"), F.substr(body, len(word) + 1 + gap).alias("rest"))).otherwise(out)
+        return out
+
+    low = F.lower(body)
+    return _let(F.when(spaced != "", F.concat(F.lit("key"), F.substr(low, 4 + F.length(spaced)))).otherwise(low), named)
+
+
+def _heading(line: Column) -> Column:
+    """As _opened, of a line of one to three number signs, white space and a section's name."""
+    none = F.struct(F.lit("").alias("name"), F.lit("").alias("rest"))
+    return F.when(line.rlike(f"\\A#{{1,3}}[{WS}]"), _let(js_trim(F.ltrim(line, F.lit("#"))), lambda body: _opened(body, True))).otherwise(none)
+
+
+def _word(line: Column) -> Column:
+    """As _opened, of a line that begins with a section's name, maybe in bold."""
+    return _let(F.ltrim(_unbold(F.ltrim(line, F.lit(" \t"))), F.lit(" \t")), lambda body: _opened(body, False))
+
+
+def _unbold(text: Column) -> Column:
+    """Without one bold or italic mark at the start."""
+    return F.when(text.startswith("**"), F.substr(text, F.lit(3))).when(text.startswith("*"), F.substr(text, F.lit(2))).otherwise(text)
+
+
+def _inline(rest: Column) -> Column:
+    """What a line holds after a section's name, its marks left out."""
+    return _let(F.ltrim(_unbold(rest), F.lit(" \t")), lambda t: js_trim(F.when(F.left(t, F.lit(1)).isin(*DASHES), F.substr(t, F.lit(2))).otherwise(t)))
+
+
+def _sections(text: Column, inline: bool) -> Column:
+    """struct(answer, key_points, sources): text of each section, null where it is missing or empty; a section's first line counts."""
+    open_line = _word if inline else _heading
+
+    def cut(lines: Column) -> Column:
+        return _let(F.transform(lines, open_line), lambda opened: _let(F.transform(opened, lambda o: o["name"]), lambda names: of_names(lines, opened, names)))
+
+    def of_names(lines: Column, opened: Column, names: Column) -> Column:
+        return _let(F.struct(*[F.array_position(names, k).cast("int").alias(k) for k in SECTIONS]), lambda at: F.struct(*[section(lines, opened, at, k).alias(k) for k in SECTIONS]))
+
+    def section(lines: Column, opened: Column, at: Column, k: str) -> Column:
+        start = at[k]
+        end = F.coalesce(F.least(*[F.when(at[n] > start, at[n]) for n in SECTIONS if n != k]), F.size(lines) + 1)
         body = js_trim(F.array_join(F.slice(lines, start + 1, end - start - 1), "\n"))
         if inline:
-            rest = js_trim(F.regexp_replace(F.try_element_at(lines, start), patterns[k], ""))
-            body = F.array_join(F.filter(F.array(rest, body), lambda s: s != ""), "\n")
-        out[k] = F.when(start > 0, F.nullif(body, F.lit("")))
-    return out
+            body = F.array_join(F.filter(F.array(_inline(F.try_element_at(opened, start)["rest"]), body), lambda s: s != ""), "\n")
+        return F.when(start > 0, F.nullif(body, F.lit("")))
+
+    return _let(F.split(text, "\n"), cut)
 
 
 def heading_sections(c: Column | str) -> Column:
     """struct(answer, key_points, sources) by Markdown headings."""
-    return F.struct(*[v.alias(k) for k, v in _sections(_col(c), _HEADINGS, False).items()])
+    return _sections(_col(c), False)
 
 
 def keyword_sections(c: Column | str) -> Column:
     """struct(answer, key_points, sources) by words at the start of lines."""
-    return F.struct(*[v.alias(k) for k, v in _sections(_col(c), _WORDS, True).items()])
+    return _sections(_col(c), True)
 
 
 def key_points(c: Column | str) -> Column:
@@ -83,11 +133,14 @@ def first_by_url(sources: Column) -> Column:
 def parse_digest(c: Column | str) -> Column:
     """struct(answer, key_points, sources): headings, else words, else the whole text is the answer."""
     text = _col(c)
-    h, w = heading_sections(text), keyword_sections(text)
-    pick = lambda k: F.when(h["answer"].isNotNull(), h[k]).otherwise(w[k])
-    whole = h["answer"].isNull() & w["answer"].isNull()
-    points = F.when(whole, F.array().cast("array<string>")).otherwise(key_points(pick("key_points")))
-    return F.struct(F.coalesce(pick("answer"), js_trim(text)).alias("answer"), points.alias("key_points"), source_list(pick("sources")).alias("sources"))
+
+    def parsed(x: Column) -> Column:
+        answer = F.coalesce(x["answer"], js_trim(text))
+        points = F.when(x["answer"].isNull(), F.array().cast("array<string>")).otherwise(key_points(x["key_points"]))
+        return F.struct(answer.alias("answer"), points.alias("key_points"), source_list(x["sources"]).alias("sources"))
+
+    by_heading = heading_sections(text)
+    return _let(_let(by_heading, lambda h: F.when(h["answer"].isNotNull(), h).otherwise(keyword_sections(text))), parsed)
 
 
 def reconcile_sources(parsed: Column | str, known: Column | str) -> Column:
@@ -104,11 +157,14 @@ def format_digest(answer: Column | str, points: Column | str, sources: Column |
     return F.array_join(F.concat(F.array(_col(answer)), listed, cited), "\n")
 
 
-def batch_as_item(number: Column | str, answer: Column | str) -> Column:
-    """A batch's digest as a content item of the next merging round."""
+def batch_as_item(number: Column | str, digest: Column) -> Column:
+    """A batch's digest (answer, sources) as a content item of the next merging round."""
     n = _col(number)
-    shown = F.concat(F.lit("Batch "), (n + 1).cast("string"))
-    return F.struct(n.cast("long").alias("pos"), shown.alias("title"), F.concat(F.lit("digest://batch-"), n.cast("string")).alias("url"), (1.0 - n * 0.01).alias("score"), _col(answer).alias("content"))
+    cited = F.array_join(F.transform(digest["sources"], lambda s: F.concat(F.lit("- "), s["url"], F.lit(" ("), s["title"], F.lit(")"))), "\n")
+    return F.struct(
+        n.cast("long").alias("pos"), F.concat(F.lit("Digest "), (n + 1).cast("string")).alias("title"), F.concat(F.lit("digest://batch-"), (n + 1).cast("string")).alias("url"),
+        F.greatest(F.lit(0.0), 1.0 - n * 0.01).alias("score"), F.concat(digest["answer"], F.lit("\n\nSources:\n"), cited).alias("content"),
+    )
 
 
 def items_of(items: DataFrame, key: str, pos: str) -> DataFrame:

@@ -59,9 +59,11 @@ def top_hits(hits: DataFrame, k: int, *, key: str = "query_id", pos: str = "pos"
 def join_pages(hits: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(content items, failures): hits with what was fetched for their address.
 
-    ``pages``: url, success, title, content, error, category; one row an address is used.
+    ``pages``: url, success, title, content, error, category; of several rows an address, a
+    fetched one is used, the first by title and content.
     """
-    one = pages.dropDuplicates(["url"]).select("url", "success", F.col("title").alias("_title"), "content", "error", "category")
+    first = F.min(F.struct((~F.col("success")).alias("lost"), "title", "content", "error", "category")).alias("p")
+    one = pages.groupBy("url").agg(first).select("url", (~F.col("p.lost")).alias("success"), F.col("p.title").alias("_title"), "p.content", "p.error", "p.category")
     both = hits.join(one, "url")
     items = both.filter("success").select(*[c for c in hits.columns if c != "title"], F.coalesce(F.nullif("_title", F.lit("")), "title").alias("title"), "content")
     failures = both.filter("NOT success").select("url", "category", "error")

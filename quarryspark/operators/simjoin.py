@@ -1,19 +1,38 @@
-"""Exact set-similarity self-join with prefix, length and position-free counting.
+"""Exact set-similarity self-join with prefix, length and position filters.
 
-For a threshold t > 0, two sets with Jaccard >= t share an element among the first
-|x| - ceil(t |x|) + 1 of each in any fixed global order (Chaudhuri et al. 2006; Bayardo et
-al. 2007). Elements are ordered by rising document frequency, so very common ones are
-hardly ever in a prefix and the join on prefix elements stays small. Candidates are
-verified on the full sets.
+For a threshold t > 0, two sets x and y with Jaccard >= t share at least
+t / (1 + t) * (|x| + |y|) elements. So with all elements in one global order, the smaller set
+has one of those that both hold among its first |x| - ceil(2t / (1 + t) |x|) + 1, and the
+larger one has it among its first |y| - ceil(t |y|) + 1 (Bayardo et al. 2007, Xiao et al.
+2008). Elements are ordered by rising document frequency, so very common ones are hardly
+ever in a prefix, least of all in the smaller set's. A shared element also bounds what can
+follow it in both sets (position filter). Elements in very many prefixes are dealt to
+several tasks: the larger sets of such an element by a hash, the smaller ones to all of
+these. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark.runtime import materialize
 
+log = logging.getLogger(__name__)
+#: sets of one element that a task compares, about
+SPLIT = 5_000
+#: fixed value: items to compare with each other from which on a warning is due
+MANY_ITEMS = 50
+
+
+def warn_high_pairwise_cost(items: int, candidates: int) -> bool:
+    """Log that many items are compared, with the pairs that the filters left of all; True if it did."""
+    if items > MANY_ITEMS:
+        log.warning("high pairwise cost: items=%d max=%d pairs=%d candidates=%d", items, MANY_ITEMS, items * (items - 1) // 2, candidates)
+    return items > MANY_ITEMS
+
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """|a n b| / |a u b| of arrays of distinct values; 0 for two empty ones."""
@@ -30,14 +49,21 @@ def similar_pairs(sets: DataFrame, threshold: float, *, id_col: str = "item_id",
     base = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).filter(F.size("s") > 0)
     elements = base.select("id", F.explode("s").alias("e"), F.size("s").alias("n"))
     frequency = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("e").alias("_e"), "df")
-    # elements of one set only can't be shared, yet they take their place in the prefix
+    # elements of one set only can't be shared, yet they take their place in the order
     ordered = elements.join(frequency, F.col("e") == F.col("_e"), "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("o"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.filter(F.slice("o", F.lit(1), length), lambda x: x["df"] > 1)).alias("x")).select("id", "n", "x.e")
-    prefix = materialize(prefix)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    candidates = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    both = 2 * threshold / (1 + threshold)
+    length = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9).cast("int") + 1
+    placed = F.filter(F.transform(F.slice("o", F.lit(1), length(threshold)), lambda x, at: F.struct(x["df"].alias("df"), x["e"].alias("e"), at.alias("at"))), lambda x: x["df"] > 1)
+    prefix = ordered.select("id", "n", length(both).alias("short"), F.explode(placed).alias("x")).select("id", "n", "short", "x.*")
+    prefix = materialize(prefix.withColumn("tasks", F.ceil(F.col("df") / SPLIT).cast("int")))
+    small = prefix.filter("at < short").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("a")
+    large = prefix.withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1 + F.least("a.at", "b.at")
+    near = smaller & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed)
+    pairs = small.join(large, (F.col("a.e") == F.col("b.e")) & (F.col("a.task") == F.col("b.task")) & near)
+    candidates = pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
     left, right = base.select(F.col("id").alias("src"), F.col("s").alias("_x")), base.select(F.col("id").alias("dst"), F.col("s").alias("_y"))
     verified = candidates.join(left, "src").join(right, "dst").select("src", "dst", jaccard("_x", "_y").alias("similarity"))
     return verified.filter(F.col("similarity") >= threshold)

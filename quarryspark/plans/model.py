@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
@@ -23,6 +26,39 @@ class Model(Protocol):
     def complete(self, system: str, user: str, *, temperature: float, max_tokens: int, timeout_s: float) -> str: ...
 
 
+@dataclass(frozen=True)
+class ChatModel:
+    """A client of an endpoint that speaks the chat completions protocol; it neither retries nor shows its key."""
+
+    base_url: str
+    name: str
+    key: str = field(repr=False)
+
+    @classmethod
+    def of(cls, config: ModelConfig) -> ChatModel:
+        """ConfigError without a key."""
+        config.require_key()
+        return cls(config.base_url, config.model, config.api_key)
+
+    def complete(self, system: str, user: str, *, temperature: float, max_tokens: int, timeout_s: float) -> str:
+        said = {"model": self.name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": temperature, "max_tokens": max_tokens}
+        asked = urllib.request.Request(self.base_url.rstrip("/") + "/chat/completions", json.dumps(said).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        try:
+            with urllib.request.urlopen(asked, timeout=timeout_s) as r:  # noqa: S310
+                answer = json.load(r)
+            return answer["choices"][0]["message"]["content"] or ""
+        except urllib.error.HTTPError as e:
+            raise (AuthError if e.code in (401, 403) else HttpError)(f"HTTP {e.code}: {e.reason}", status=e.code) from e
+        except (ValueError, LookupError, TypeError) as e:
+            raise ParseError("the endpoint's answer holds no message") from e
+        except TimeoutError as e:
+            raise FetchTimeout("the model timed out") from e
+        except OSError as e:
+            if isinstance(getattr(e, "reason", None), TimeoutError):
+                raise FetchTimeout("the model timed out") from e
+            raise NetworkError(f"model endpoint not reached: {getattr(e, 'reason', e)}") from e
+
+
 @dataclass(frozen=True)
 class RetryPolicy:
     transient: int = 3

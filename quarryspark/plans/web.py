@@ -1,24 +1,25 @@
 """The two composite flows over DataFrames: many queries or pages at once.
 
 ``web_search``: hits with scraped pages, deduplicated, digested, one row a query.
-``web_fetch``: one digest a page. Every row says how it went: success, partial or failed.
+``web_fetch``: one digest a page. Every row says how it went.
 """
 
 from __future__ import annotations
 
 import logging
 import threading
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryspark.functions.failures import PipelineTimeout, fetch_error_message, tool_success
 from quarryspark.functions.text import is_blank
 from quarryspark.operators.dedup import deduplicate
-from quarryspark.operators.digest import format_digest, items_of, pipeline_excerpts
+from quarryspark.operators.digest import format_digest, items_of, page_excerpt, pipeline_excerpts
 from quarryspark.operators.hits import join_pages
 from quarryspark.plans.config import DedupConfig, ModelConfig, PipelineConfig
 from quarryspark.plans.model import Model
@@ -53,12 +54,13 @@ def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limi
         sc.removeJobTag(tag)
 
 
-def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id") -> DataFrame:
+def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id", rank: str = "rank") -> DataFrame:
     """Content items deduplicated within each query: addresses and contents of different queries never meet.
 
-    One plan serves all queries: the query is part of every stage's key.
+    One plan serves all queries: the query is part of every stage's key. Items are numbered
+    in the order of their rank, which decides ties and where a merged item stands.
     """
-    numbered = materialize(items.withColumn("item_id", F.monotonically_increasing_id()))
+    numbered = materialize(items.repartition(key).sortWithinPartitions(key, rank).withColumn("item_id", F.monotonically_increasing_id()))
     return deduplicate(numbered, threshold=config.similarity_threshold, min_chars=config.min_paragraph_chars, extra_tracking=config.extra_tracking_params, scope=key)
 
 
@@ -83,32 +85,96 @@ def excerpts_after_timeout(items: DataFrame, *, key: str = "query_id", rank: str
     return items_of(items, key, rank).select(key, pipeline_excerpts("items", most).alias("digest"))
 
 
-def web_search(hits: DataFrame, pages: DataFrame, make_model: Callable[[], Model], *, model: ModelConfig = ModelConfig(), dedup: DedupConfig = DedupConfig()) -> DataFrame:
-    """(query_id, outcome, digest, text, scraped, failed, items): hits are (query_id, query, rank, title, url, snippet, score), pages as ``scrape`` gives them."""
+#: fixed values: why a search has no digest
+NO_USABLE = "No usable search results found (all results had invalid or empty URLs)."
+
+
+def _within[T](spark: SparkSession, deadline: float | None, step: Callable[[], T]) -> T:
+    """What ``step`` gives; PipelineTimeout where the deadline passes first."""
+    if deadline is None:
+        return step()
+    left = deadline - time.monotonic()
+    if left <= 0:
+        raise PipelineTimeout("the time ran out")
+    with time_limit(spark, left):
+        return step()
+
+
+def _focus(focus: str | None) -> Column | None:
+    return None if focus is None else F.lit(focus)
+
+
+def web_search(
+    hits: DataFrame,
+    pages: DataFrame,
+    make_model: Callable[[], Model],
+    *,
+    model: ModelConfig = ModelConfig(),
+    dedup: DedupConfig = DedupConfig(),
+    config: PipelineConfig = PipelineConfig(),
+    max_results: int | None = 5,
+    focus: str | None = None,
+    seconds: float | None = None,
+) -> DataFrame:
+    """(query_id, query, outcome, digest, text, scraped, failed, items): hits are (query_id, query, rank, title, url, snippet, score), pages as ``scrape`` gives them.
+
+    Of each query the best ``max_results`` hits with an address count. Outcomes: success;
+    partial, where some pages were not to be had; degraded, where the digest is of excerpts
+    because ``seconds`` ran out; failed, where ``text`` says why there is no digest.
+    PipelineTimeout is raised where the time runs out before any page is there.
+    """
+    spark, began = hits.sparkSession, time.monotonic()
+    deadline = None if seconds is None else began + seconds
+    best = Window.partitionBy("query_id").orderBy("rank", "url")
     usable = hits.filter(~is_blank("url"))
+    if max_results is not None:
+        usable = usable.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= max_results).drop("_nth")
     items, failures = join_pages(usable, pages)
-    items = materialize(items)
-    kept = dedup_or_all(items, dedup)
-    asked = items.select(F.col("query_id").alias("_q"), "query").distinct()
-    kept = kept.join(asked, F.col("query_id") == F.col("_q")).drop("_q").withColumnRenamed("first_pos", "rank")
-    digests = synthesize(kept, make_model, model)
-    n = lambda d, name: d.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("query_id", "_q")
-    lost = usable.join(failures.select("url").distinct(), "url", "left_semi")
-    out = hits.select("query_id", "query").distinct()
-    for d, name in ((n(items, "scraped"), "scraped"), (n(lost, "failed"), "failed"), (n(kept, "items"), "items")):
-        out = out.join(d, F.col("query_id") == F.col("_q"), "left").drop("_q").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    out = out.join(digests.select(F.col("query_id").alias("_q"), "digest", "route"), F.col("query_id") == F.col("_q"), "left").drop("_q")
-    outcome = F.when(F.col("digest").isNull(), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
-    return out.select("query_id", "query", outcome.alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"), "scraped", "failed", "items")
+    items = _within(spark, deadline, lambda: materialize(items))
+    log.info("stage=scrape items=%d ms=%d", items.count(), (time.monotonic() - began) * 1000)
+    counts = lambda d, name: d.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("query_id", "_q")
 
+    def condensed() -> tuple[DataFrame, DataFrame]:
+        kept = dedup_or_all(items, dedup)
+        log.info("stage=deduplicate items=%d ms=%d", kept.count(), (time.monotonic() - began) * 1000)
+        asked = items.select(F.col("query_id").alias("_q"), "query").distinct()
+        kept = kept.join(asked, F.col("query_id") == F.col("_q")).drop("_q").withColumnRenamed("first_pos", "rank")
+        return kept, materialize(synthesize(kept, make_model, model, focus=_focus(focus)).select("query_id", "digest").withColumn("late", F.lit(False)))
 
-def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: PipelineConfig = PipelineConfig(), model: ModelConfig = ModelConfig()) -> DataFrame:
-    """(url, outcome, digest, text): a digest a page, or why there is none."""
-    pages = materialize(pages)
+    try:
+        kept, digests = _within(spark, deadline, condensed)
+    except PipelineTimeout as e:
+        log.warning("%s, going on with excerpts", e)
+        late = excerpts_after_timeout(items, most=config.max_content_chars)
+        digest = F.struct("digest.answer", "digest.key_points", "digest.sources", F.lit(True).alias("degraded"))
+        kept, digests = items, late.select("query_id", digest.alias("digest"), F.lit(True).alias("late"))
+    lost = usable.select("query_id", "rank", "url").join(failures.select("url", "error").distinct(), "url")
+    said = lost.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("  - "), F.col("url"), F.lit(": "), F.col("error")).alias("line")))).alias("lines")).select(F.col("query_id").alias("_q"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("why"))
+    out = hits.select("query_id", "query").distinct()
+    for d, name in ((counts(items, "scraped"), "scraped"), (counts(lost, "failed"), "failed"), (counts(kept, "items"), "items")):
+        out = out.join(d, F.col("query_id") == F.col("_q"), "left").drop("_q").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    out = out.join(digests.withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("_q"), "left").drop("_q").join(said, F.col("query_id") == F.col("_q"), "left").drop("_q")
+    none = F.when(F.col("failed") > 0, F.concat(F.lit("All "), F.col("failed").cast("string"), F.lit(" URL(s) failed to scrape:\n"), F.col("why"))).otherwise(F.lit(NO_USABLE))
+    text = F.when(F.col("digest").isNull(), none).otherwise(tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")))
+    outcome = F.when(F.col("digest").isNull(), "failed").when(F.col("late"), "degraded").when(F.col("failed") > 0, "partial").otherwise("success")
+    return out.select("query_id", "query", outcome.alias("outcome"), "digest", text.alias("text"), "scraped", "failed", "items")
+
+
+def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: PipelineConfig = PipelineConfig(), model: ModelConfig = ModelConfig(), focus: str | None = None, seconds: float | None = None) -> DataFrame:
+    """(url, outcome, digest, text): a digest a page, or why there is none; an excerpt where ``seconds`` run out."""
+    spark = pages.sparkSession
+    deadline = None if seconds is None else time.monotonic() + seconds
+    pages = _within(spark, deadline, lambda: materialize(pages))
     good = F.col("success") & (F.length("content") >= 1)
     items = pages.filter(good).select(F.col("url").alias("query_id"), F.col("url").alias("query"), F.lit(0).cast("long").alias("rank"), "title", "url", F.lit(1.0).alias("score"), "content")
-    digests = synthesize(items, make_model, model)
-    done = digests.select(F.col("query_id").alias("url"), F.lit("success").alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"))
+    try:
+        digests = _within(spark, deadline, lambda: materialize(synthesize(items, make_model, model, focus=_focus(focus))))
+        done = digests.select(F.col("query_id").alias("url"), F.lit("success").alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"))
+    except PipelineTimeout as e:
+        log.warning("%s, going on with excerpts", e)
+        shown = page_excerpt("url", "title", "content", config.max_content_chars)
+        digest = F.struct(shown.alias("answer"), F.array().cast("array<string>").alias("key_points"), F.array(F.struct("url", "title")).alias("sources"), F.lit(True).alias("degraded"))
+        done = items.select("url", F.lit("degraded").alias("outcome"), digest.alias("digest"), tool_success(shown).alias("text"))
     why = F.when(F.col("success"), F.concat(F.lit("The page at "), F.col("url"), F.lit(" has no readable content"))).otherwise(fetch_error_message("url", "error", config.scrape_timeout_ms))
-    lost = pages.filter(~F.coalesce(good, F.lit(False))).select("url", F.lit("failed").alias("outcome"), F.lit(None).cast(digests.schema["digest"].dataType).alias("digest"), why.alias("text"))
+    lost = pages.filter(~F.coalesce(good, F.lit(False))).select("url", F.lit("failed").alias("outcome"), F.lit(None).cast(done.schema["digest"].dataType).alias("digest"), why.alias("text"))
     return done.unionByName(lost)

@@ -92,9 +92,10 @@ def _s_tokens(x: str) -> str:
 
 # --- URLs
 
-_S_NORMAL = """(SELECT CASE WHEN q = '' THEN base ELSE base || '?' || q END FROM (SELECT
+TRACKING = ", ".join(f"'{p}'" for p in U.TRACKING_PARAMETERS)
+_S_NORMAL = f"""(SELECT CASE WHEN q = '' THEN base ELSE base || '?' || q END FROM (SELECT
   'https://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || CASE WHEN path = '' THEN '/' WHEN length(path) > 1 AND path[-1] = '/' THEN left(path, length(path) - 1) ELSE path END AS base,
-  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_content', 'utm_term', 'gclid', 'fbclid', 'mc_cid', 'mc_eid', 'ref', '_hsenc', '_hsmi', 'igshid', 'si'], lower(split_part(p, '=', 1))))), '&') AS q
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains([{TRACKING}], lower(split_part(p, '=', 1))))), '&') AS q
   FROM (SELECT regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path)))"""
 
 _projection("url_normalize", "pages", {"page_id": F.col, "normalized_url": lambda: U.normalize_url("url")} | {"page_id": lambda: F.col("page_id")}, {"page_id": "page_id", "normalized_url": _S_NORMAL})
@@ -139,20 +140,25 @@ _projection(
         "private_v6": "doc_id % 16 IN (12, 13, 14)",
     },
 )
-_projection("search_url", "benchmark", {"item_id": lambda: F.col("item_id"), "address": lambda: U.search_url(F.lit("https://s.example.org/x//"), F.regexp_replace(F.left("text", F.lit(40)), "[^A-Za-z ]", ""))}, {"item_id": "item_id", "address": "'https://s.example.org/x/search?q=' || replace(regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g'), ' ', '+') || '&format=json&safesearch=1'"})
+_projection("search_url", "documents", {"doc_id": lambda: F.col("doc_id"), "address": lambda: U.search_url(F.lit("https://s.example.org/x//"), "text")}, {"doc_id": "doc_id", "address": "'https://s.example.org/x/search?q=' || replace(replace(replace(url_encode(text), '%20', '+'), '%2A', '*'), '~', '%7E') || '&format=json&safesearch=1'"})
 
 # --- text
 
 _D = {"doc_id": lambda: F.col("doc_id")}
 _projection("paragraph_segments", "documents", _D | {"paragraphs": lambda: T.segment_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))}, {"doc_id": "doc_id", "paragraphs": _s_paragraphs("replace(text, chr(10), chr(10) || chr(10))")})
 _projection("paragraph_normalize", "documents", _D | {"normalized": lambda: T.normalize_paragraph("text")}, {"doc_id": "doc_id", "normalized": "lower(" + _s_trim(f"regexp_replace(text, '[{_WS}]+', ' ', 'g')") + ")"})
-_projection("fnv1a32", "benchmark", {"item_id": lambda: F.col("item_id"), "hash": lambda: T.fnv1a32("text")}, {"item_id": "item_id", "hash": _s_fnv("text")})
+_projection("fnv1a32", "documents", _D | {"hash": lambda: T.fnv1a32("text")}, {"doc_id": "doc_id", "hash": f"CASE WHEN text = '' THEN {T.FNV_OFFSET} ELSE {_s_fnv('text')} END"})
 _projection("fingerprint_set", "documents", _D | {"fingerprints": lambda: T.fingerprint_set(F.replace("text", F.lit("\n"), F.lit("\n\n")))}, {"doc_id": "doc_id", "fingerprints": _s_fingerprints("replace(text, chr(10), chr(10) || chr(10))")})
 _projection("truncate_field", "documents", _D | {"title": lambda: T.truncate_field("text", 500), "snippet": lambda: T.truncate_field("text", 1000)}, {"doc_id": "doc_id", "title": "CASE WHEN length(text) > 500 THEN left(text, 497) || '...' ELSE text END", "snippet": "CASE WHEN length(text) > 1000 THEN left(text, 997) || '...' ELSE text END"})
 _projection("truncate_word", "documents", _D | {"cut": lambda: T.truncate_at_word("text", 800), "cut_short": lambda: T.truncate_at_word("text", 300, "…"), "hard": lambda: T.hard_cut("text", 100)}, {"doc_id": "doc_id", "cut": _s_word_cut("text", 800, "…[truncated]"), "cut_short": _s_word_cut("text", 300, "…"), "hard": f"CASE WHEN length(text) > 100 THEN {_s_end('left(text, 100)')} || '…' ELSE text END"})
 _projection("first_sentence", "conversations", {"conv_id": lambda: F.col("conv_id"), "turn": lambda: F.col("turn"), "sentence": lambda: T.first_sentence("text"), "point": lambda: T.key_point_sentence("text")}, {"conv_id": "conv_id", "turn": "turn", "sentence": _s_period("text", _s_trim("text")), "point": _s_period("text", f"left({_s_trim('text')}, 200)")})
-_projection("token_estimate", "documents", _D | {"tokens": lambda: T.estimate_tokens("text"), "fits": lambda: T.within_budget("text", 1000, 0.8)}, {"doc_id": "doc_id", "tokens": _s_tokens("text"), "fits": f"({_s_tokens('text')}) <= 800"})
-_projection("clean_title", "documents", _D | {"title": lambda: T.clean_title(F.concat(F.lit("- "), (F.col("doc_id") % 9).cast("string"), F.lit(". **"), F.regexp_replace(F.left("text", F.lit(30)), r"[*:,;–—\-\s]", ""), F.lit("** "))), "log_query": lambda: T.query_for_log("text")}, {"doc_id": "doc_id", "title": r"regexp_replace(left(text, 30), '[*:,;–—\-\s]', '', 'g')", "log_query": "left(text, 80)"})
+@_query("token_estimate", f"SELECT doc_id, {_s_tokens('text')} AS tokens, ({_s_tokens('text')}) <= 800 AS fits FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens("text").alias("tokens")).withColumn("fits", F.col("tokens") <= T.token_threshold(1000, 0.8))
+
+
+
+_projection("clean_title", "documents", _D | {"title": lambda: T.clean_title(F.concat(F.lit("- "), (F.col("doc_id") % 9).cast("string"), F.lit(". **"), F.regexp_replace("text", r"[*:,;–—\-\s]", ""), F.lit("** "))), "log_query": lambda: T.query_for_log("text")}, {"doc_id": "doc_id", "title": r"regexp_replace(text, '[*:,;–—\-\s]', '', 'g')", "log_query": "left(text, 80)"})
 
 # --- content types, failures
 
@@ -166,8 +172,8 @@ def _case_type() -> Column:
 _projection(
     "content_sniff",
     "pages",
-    {"page_id": lambda: F.col("page_id"), "primary_type": lambda: C.primary_type(_case_type()), "is_binary": lambda: C.is_binary_type(C.primary_type(_case_type())), "sniffed": lambda: C.sniff_type(F.substring("html", 200, 2000)), "kind": lambda: C.content_kind(_case_type(), F.col("html"))},
-    {"page_id": "page_id", "primary_type": f"coalesce(lower(trim(split_part({_TYPES}, ';', 1))), '')", "is_binary": "page_id % 8 IN (1, 7)", "sniffed": "CASE WHEN regexp_matches(lower(left(substr(html, 200, 2000), 512)), '<html|<!doctype|<body') THEN 'html' WHEN prefix(ltrim(substr(html, 200, 512)), '<?xml') THEN 'xml' WHEN left(ltrim(substr(html, 200, 512)), 1) IN ('{', '[') THEN 'json' ELSE 'text' END", "kind": "['html', 'binary', 'json', 'html', 'html', 'text', 'xml', 'binary'][page_id % 8 + 1]"},
+    {"page_id": lambda: F.col("page_id"), "primary_type": lambda: C.primary_type(_case_type()), "is_binary": lambda: C.is_binary_type(C.primary_type(_case_type())), "sniffed": lambda: C.sniff_type("html"), "kind": lambda: C.content_kind(_case_type(), F.col("html"))},
+    {"page_id": "page_id", "primary_type": f"coalesce(lower(trim(split_part({_TYPES}, ';', 1))), '')", "is_binary": "page_id % 8 IN (1, 7)", "sniffed": "CASE WHEN regexp_matches(lower(left(html, 512)), '<html|<!doctype|<body') THEN 'html' WHEN prefix(ltrim(left(html, 512)), '<?xml') THEN 'xml' WHEN left(ltrim(left(html, 512)), 1) IN ('{', '[') THEN 'json' ELSE 'text' END", "kind": "['html', 'binary', 'json', 'html', 'html', 'text', 'xml', 'binary'][page_id % 8 + 1]"},
 )
 _projection("charset_detect", "pages", {"page_id": lambda: F.col("page_id"), "charset": lambda: C.detect_charset(F.when(F.col("page_id") % 3 == 0, F.lit('text/html; charset="Shift_JIS"')), F.encode("html", "UTF-8")), "decoded": lambda: C.decode_bytes(F.encode("html", "UTF-8"), F.lit("utf-8"))}, {"page_id": "page_id", "charset": "CASE WHEN page_id % 3 = 0 THEN 'shift_jis' ELSE 'utf-8' END", "decoded": "html"})
 _projection("replacement_share", "documents", _D | {"share": lambda: C.replacement_share(F.replace("text", F.lit("e"), F.lit("�")))}, {"doc_id": "doc_id", "share": "CASE WHEN length(text) > 0 THEN (length(text) - length(replace(text, 'e', ''))) / length(text) ELSE 0.0 END"})
@@ -196,7 +202,7 @@ def query_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select("item_id", (~T.is_blank("text") & (F.length("text") <= 500)).alias("valid"))
 
 
-@_query("json_format")
+@_query("json_format", "SELECT event_id, replace(json_pretty(props::JSON), '    ', '  ') AS pretty FROM events")
 def json_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", C.format_json("props").alias("pretty"))
 
@@ -219,11 +225,11 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "x.title", "x.text", "x.method")
 
 
-@_query("xml_strip", "SELECT item_id, trim(text || item_id || '<a>') AS stripped FROM benchmark")
+@_query("xml_strip", f"SELECT doc_id, {_s_trim("text || doc_id || '<a>'")} AS stripped FROM documents")
 def xml_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _read(spark, sf_dir, "benchmark")
+    b = _read(spark, sf_dir, "documents")
     safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    return b.select("item_id", C.strip_xml(F.concat(F.lit("<?xml version='1.0'?><doc xmlns='x'><t>"), safe, F.lit("</t><n>"), F.col("item_id").cast("string"), F.lit("</n><![CDATA[<a>]]></doc>"))).alias("stripped"))
+    return b.select("doc_id", C.strip_xml(F.concat(F.lit("<?xml version='1.0'?><doc xmlns='x'><t>"), safe, F.lit("</t><n>"), F.col("doc_id").cast("string"), F.lit("</n><![CDATA[<a>]]></doc>"))).alias("stripped"))
 
 
 # --- items and deduplication
@@ -237,9 +243,10 @@ def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(60)).alias("title"), url.alias("url"), F.left("text", F.lit(200)).alias("snippet"), ((F.col("doc_id") % 10) / 10.0).alias("score"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
 
 
+_S_URL = "CASE WHEN doc_id % 2 = 0 THEN 'http://' ELSE 'https://' END || source || '.example.com/' || CASE WHEN doc_id % 7 = 0 THEN greatest(doc_id - 20, doc_id % 20) ELSE doc_id END || CASE WHEN doc_id % 3 = 0 THEN '?utm_source=x' ELSE '' END"
 _S_ITEMS = f"""items AS (SELECT *, {_s_fingerprints('content')} AS fps FROM (
   SELECT doc_id AS item_id, doc_id % 10 / 10.0 AS score, replace(text, chr(10), chr(10) || chr(10)) AS content,
-    CASE WHEN doc_id % 2 = 0 THEN 'http://' ELSE 'https://' END || source || '.example.com/' || CASE WHEN doc_id % 7 = 0 THEN greatest(doc_id - 20, doc_id % 20) ELSE doc_id END || CASE WHEN doc_id % 3 = 0 THEN '?utm_source=x' ELSE '' END AS url,
+    {_S_URL} AS url,
     'https://' || source || '.example.com/' || CASE WHEN doc_id % 7 = 0 THEN greatest(doc_id - 20, doc_id % 20) ELSE doc_id END AS normalized_url
   FROM documents) WHERE length({_s_trim('content')}) > 0)"""
 _S_BEST = "arg_max({0}, struct_pack(s := score, i := -item_id))"
@@ -400,11 +407,11 @@ def _answer_text() -> Column:
 _S_BODY = "replace(text, chr(10), ' ')"
 _S_PARSED = f"""SELECT item_id, CASE WHEN item_id % 3 < 2 THEN {_s_trim(_S_BODY)} ELSE {_s_trim("'  ' || " + _S_BODY + " || ' '")} END AS answer,
   CASE item_id % 3 WHEN 0 THEN ['first ' || item_id, 'second'] WHEN 1 THEN ['one'] ELSE [] END AS key_points,
-  CASE item_id % 3 WHEN 0 THEN ['https://a' || item_id || '.com/x|Title ' || item_id, 'https://dup.com/y|Title ' || item_id] WHEN 1 THEN ['https://b.com/' || item_id || '|T ' || item_id] ELSE [] END AS sources FROM benchmark"""
+  CASE item_id % 3 WHEN 0 THEN ['https://a' || item_id || '.com/x|Title ' || item_id, 'https://dup.com/y|Title ' || item_id] WHEN 1 THEN ['https://b.com/' || item_id || '|T ' || item_id] ELSE [] END AS sources FROM (SELECT doc_id AS item_id, text FROM documents)"""
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").select("item_id", digest.parse_digest(_answer_text()).alias("d")).select("item_id", "d.*")
+    return _read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "item_id").select("item_id", digest.parse_digest(_answer_text()).alias("d")).select("item_id", "d.*")
 
 
 def _pairs(c: Column) -> Column:
@@ -432,12 +439,12 @@ def digest_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the items of their source's query."""
-    return content_items(spark, sf_dir).withColumn("query_id", F.split("url", "[/.]")[2]).withColumn("content", F.replace("content", F.lit("\n\n"), F.lit("\n")))
+    """Documents as the items of queries, twenty each: a query's items are a search's hits, a short list."""
+    return content_items(spark, sf_dir).withColumn("query_id", F.concat(F.lit("q"), F.floor(F.col("item_id") / 20).cast("string"))).withColumn("content", F.replace("content", F.lit("\n\n"), F.lit("\n")))
 
 
 def _s_excerpt_rows(entry: str) -> str:
-    return f"rows AS (SELECT source AS query_id, doc_id, {entry} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id % 10 / 10.0 DESC, doc_id) AS rn FROM documents)"
+    return f"rows AS (SELECT 'q' || doc_id // 20 AS query_id, doc_id, {entry} AS t, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id % 10 / 10.0 DESC, doc_id) AS rn FROM documents)"
 
 
 _S_DEGRADED = f"""WITH {_s_excerpt_rows(_s_trim('text'))},
@@ -455,7 +462,22 @@ def degraded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("query_id", "d.answer", "d.key_points")
 
 
-@_query("pipeline_excerpts")
+def _s_lines(text: str) -> str:
+    """A string literal with its line breaks as characters."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_S_ROOM = "greatest(8000 - f.used - 2, 0)"
+_S_PART = f"CASE WHEN length(r.t) > {_S_ROOM} THEN {_s_end(f'left(r.t, {_S_ROOM}::BIGINT)')} || '…' ELSE r.t END"
+_S_PIPELINE = f"""WITH RECURSIVE rows AS (SELECT 'q' || doc_id // 20 AS query_id, '[' || left(text, 60) || '](' || {_S_URL} || ')' || chr(10) || text AS t, text, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id % 10 / 10.0 DESC, doc_id) AS rn FROM documents),
+fold AS (SELECT DISTINCT query_id, 0::BIGINT AS rn, {len(digest.PIPELINE_NOTICE)}::BIGINT AS used, '' AS said FROM rows
+  UNION ALL SELECT r.query_id, r.rn, CASE WHEN {_S_ROOM} > 0 THEN f.used + 2 + length({_S_PART}) ELSE f.used END, CASE WHEN {_S_ROOM} > 0 THEN f.said || chr(10) || chr(10) || {_S_PART} ELSE f.said END
+  FROM fold f JOIN rows r ON r.query_id = f.query_id AND r.rn = f.rn + 1)
+SELECT query_id, {_s_lines(digest.PIPELINE_NOTICE)} || (SELECT arg_max(said, rn) FROM fold WHERE fold.query_id = rows.query_id) AS answer,
+  list_filter(list({_s_period('text', f"left({_s_trim('text')}, 200)")} ORDER BY rn) FILTER (rn <= 10), lambda p: p <> '') AS key_points, count(*)::INT AS n_sources FROM rows GROUP BY query_id"""
+
+
+@_query("pipeline_excerpts", _S_PIPELINE)
 def pipeline_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = digest.items_of(_ranked(spark, sf_dir), "query_id", "item_id").withColumn("d", digest.pipeline_excerpts("items"))
     return listed.select("query_id", "d.answer", "d.key_points", F.size("d.sources").alias("n_sources"))
@@ -468,7 +490,7 @@ _projection(
     {"doc_id": "doc_id", "shown": f"'{digest.PIPELINE_NOTICE}' || chr(10) || chr(10) || '## T' || chr(10) || 'Source: ' || source || chr(10) || chr(10) || {_s_word_cut('text', 300, '…')}"},
 )
 _S_SEGMENT = "'---' || chr(10) || 'Source: ' || url || chr(10) || 'Title: ' || left(text, 60) || chr(10) || 'Content:' || chr(10) || text || chr(10) || chr(10)"
-_S_SEGMENTS = f"seg AS (SELECT source AS query_id, doc_id AS item_id, {_s_tokens(_S_SEGMENT)} AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM (SELECT d.*, i.url FROM documents d JOIN (SELECT item_id, url FROM items) i ON i.item_id = d.doc_id))"
+_S_SEGMENTS = f"seg AS (SELECT 'q' || doc_id // 20 AS query_id, doc_id AS item_id, {_s_tokens(_S_SEGMENT)} AS tokens, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS rn FROM (SELECT d.*, i.url FROM documents d JOIN (SELECT item_id, url FROM items) i ON i.item_id = d.doc_id))"
 
 
 def _s_size(text: str) -> str:
@@ -497,12 +519,12 @@ def route_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sized(spark, sf_dir).groupBy("query_id").agg(F.sum("tokens").alias("tokens")).withColumn("route", batching.route("tokens", 30_000, 0.8))
 
 
-@_query("prompt_build", f"WITH {_S_ITEMS} SELECT source AS query_id, 'Query: ' || source || chr(10) || chr(10) || string_agg({_S_SEGMENT}, '' ORDER BY doc_id) || 'Please focus on: dates' || chr(10) || chr(10) || '{batching.CITATION_RULE}' AS prompt FROM (SELECT d.*, i.url FROM documents d JOIN (SELECT item_id, url FROM items) i ON i.item_id = d.doc_id) GROUP BY source")
+@_query("prompt_build", f"WITH {_S_ITEMS} SELECT 'q' || doc_id // 20 AS query_id, 'Query: q' || doc_id // 20 || chr(10) || chr(10) || string_agg({_S_SEGMENT}, '' ORDER BY doc_id) || 'Please focus on: dates' || chr(10) || chr(10) || '{batching.CITATION_RULE}' AS prompt FROM (SELECT d.*, i.url FROM documents d JOIN (SELECT item_id, url FROM items) i ON i.item_id = d.doc_id) GROUP BY doc_id // 20")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.items_of(_ranked(spark, sf_dir), "query_id", "item_id").select("query_id", batching.user_prompt("query_id", "items", F.lit(" dates ")).alias("prompt"))
 
 
-# --- composite flows, with a model that quotes its prompt: rows only
+# --- composite flows, with a model that measures its prompt
 
 
 class EchoModel:
@@ -513,6 +535,13 @@ class EchoModel:
         return "## Answer\n" + " ".join(lines)[:200] + "\n## Key Points\n- " + lines[0][:80] + "\n## Sources\n"
 
 
+class MeasuringModel:
+    """A stand-in whose answer depends on the whole prompt and can be told in SQL: its first line and its length."""
+
+    def complete(self, system: str, user: str, *, temperature: float, max_tokens: int, timeout_s: float) -> str:
+        return f"## Answer\n{user.splitlines()[0]}\n## Key Points\n- {len(user)} characters\n## Sources\n"
+
+
 def _pages_as_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.sources.pages import scraped
 
@@ -521,21 +550,51 @@ def _pages_as_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scraped(fetched)
 
 
-@_query("scrape_pages")
+_S_READ = f"""read AS (SELECT *, page_id % 10 <> 0 AND length(x) > 0 AS ok, {_s_word_cut('x', 8000, '…[truncated]')} AS cut FROM (
+  SELECT page_id, url, trim({_s_unescape("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title, {_S_ARTICLE} AS x FROM pages)),
+scraped AS (SELECT page_id, url, ok AS success, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN cut END AS content, CASE WHEN NOT ok THEN NULL WHEN length(x) < 200 THEN 'readability-failed' ELSE 'readability' END AS method,
+  CASE WHEN ok THEN length(x) > 8000 END AS truncated, CASE WHEN ok THEN length(cut) END::INT AS content_length,
+  CASE WHEN ok THEN NULL WHEN page_id % 10 = 0 THEN 'HTTP 404: Page not found (' || url || ')' ELSE 'Failed to extract content' END AS error, CASE WHEN ok THEN NULL WHEN page_id % 10 = 0 THEN 'http_error' ELSE 'parse_error' END AS category FROM read)"""
+_S_PAGE = "'---' || chr(10) || 'Source: ' || url || chr(10) || 'Title: ' || title || chr(10) || 'Content:' || chr(10) || content || chr(10) || chr(10)"
+_S_RULE = f"'{batching.CITATION_RULE}'"
+
+
+def _s_said(first: str, length: str, cited: str) -> str:
+    """A tool's text around the answer of MeasuringModel."""
+    return f"{first} || chr(10) || chr(10) || 'Key Points:' || chr(10) || '- ' || ({length}) || ' characters' || chr(10) || chr(10) || 'Sources:' || {cited}"
+
+
+@_query("scrape_pages", f"WITH {_S_READ} SELECT * EXCLUDE (page_id) FROM scraped")
 def scrape_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages_as_scraped(spark, sf_dir)
 
 
-@_query("web_search")
+_S_QUERY = "'Query: query ' || query_id"
+#: lines are single, so a page is one paragraph and equal sets are all that similarity finds
+_S_SEARCH = f"""WITH {_S_READ}, hits AS (SELECT page_id // 8 AS query_id, page_id % 8 AS rank, s.*, {_S_NORMAL} AS address FROM scraped s WHERE page_id % 8 < 5),
+good AS (SELECT * REPLACE (CASE WHEN title = '' THEN 'hit' ELSE title END AS title), {_s_fingerprints('content')} AS fps, 1.0 / (page_id + 1) AS score FROM hits WHERE success),
+by_url AS (SELECT query_id, arg_max(page_id, score) AS page_id, min(rank) AS first, list(url) AS urls FROM good GROUP BY query_id, address),
+by_content AS (SELECT b.query_id, arg_max(b.page_id, g.score) AS page_id, min(b.first) AS first FROM by_url b JOIN good g USING (page_id) GROUP BY b.query_id, g.fps),
+kept AS (SELECT k.query_id, k.first, g.url, g.title, g.content FROM by_content k JOIN good g USING (page_id)),
+digests AS (SELECT query_id, count(*) AS items, string_agg({_S_PAGE}, '' ORDER BY first) AS segments, string_agg(chr(10) || '- ' || title || ': ' || url, '' ORDER BY first) AS cited FROM kept GROUP BY query_id),
+counted AS (SELECT query_id, count(*) FILTER (success) AS scraped, count(*) FILTER (NOT success) AS failed, string_agg(chr(10) || '  - ' || url || ': ' || error, '' ORDER BY rank) FILTER (NOT success) AS why FROM hits GROUP BY query_id)
+SELECT query_id, 'query ' || query_id AS query, CASE WHEN d.items IS NULL THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'success' END AS outcome, scraped, failed, coalesce(d.items, 0) AS items,
+  CASE WHEN d.items IS NULL THEN 'All ' || failed || ' URL(s) failed to scrape:' || why ELSE {_s_said(_S_QUERY, f"length({_S_QUERY} || chr(10) || chr(10) || segments || 'Please focus on: dates' || chr(10) || chr(10) || {_S_RULE})", 'cited')} END AS text
+FROM counted LEFT JOIN digests d USING (query_id)"""
+
+
+@_query("web_search", _S_SEARCH)
 def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight pages are a query's hits, of which the best five count."""
     from quarryspark.plans.web import web_search as run
 
-    h = _read(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("query_id"), F.concat(F.lit("query "), (F.col("page_id") % 10).cast("string")).alias("query"), F.col("page_id").alias("rank"), F.lit("hit").alias("title"), "url", F.lit("").alias("snippet"), (1.0 / (F.col("page_id") + 1)).alias("score"))
-    return run(h, _pages_as_scraped(spark, sf_dir), EchoModel)
+    q = F.floor(F.col("page_id") / 8)
+    h = _read(spark, sf_dir, "pages").select(q.alias("query_id"), F.concat(F.lit("query "), q.cast("string")).alias("query"), (F.col("page_id") % 8).alias("rank"), F.lit("hit").alias("title"), "url", F.lit("").alias("snippet"), (1.0 / (F.col("page_id") + 1)).alias("score"))
+    return run(h, _pages_as_scraped(spark, sf_dir), MeasuringModel, max_results=5, focus=" dates ").drop("digest")
 
 
-@_query("web_fetch")
+@_query("web_fetch", f"WITH {_S_READ} SELECT url, CASE WHEN success THEN 'success' ELSE 'failed' END AS outcome, CASE WHEN success THEN {_s_said("'Query: ' || url", f"length('Query: ' || url || chr(10) || chr(10) || {_S_PAGE} || {_S_RULE})", "chr(10) || '- ' || title || ': ' || url")} WHEN category = 'http_error' THEN 'The page returned 404 — verify the URL is correct (' || url || ')' ELSE 'Failed to scrape ' || url || ': ' || error END AS text FROM scraped")
 def web_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.plans.web import web_fetch as run
 
-    return run(_pages_as_scraped(spark, sf_dir), EchoModel)
+    return run(_pages_as_scraped(spark, sf_dir), MeasuringModel).drop("digest")

@@ -1,18 +1,20 @@
 """The page source: fetching URLs inside ``mapInPandas``, one failure one row.
 
 Transport, resolver and renderer are injected, so tests and offline runs use recorded pages.
-Redirects are followed by hand and every hop is checked against private addresses again.
+Redirects are followed by hand; every hop must be HTTP(S) and its host must not be private,
+by its name or by any address it resolves to, and the connection goes to an address that
+was checked. Without a resolver, the own transport looks names up and a recorded one doesn't.
 """
 
 from __future__ import annotations
 
+import http.client
 import ipaddress
 import random
 import socket
+import ssl
 import time
-import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryspark.functions.content import MIN_READABLE_CHARS, decode_bytes, detect_charset, extract_readable, inflate, route_content
-from quarryspark.functions.failures import TRANSIENT_FETCH_CODES, error_category, http_error_text
+from quarryspark.functions.failures import TRANSIENT_FETCH_CODES, error_category, http_error_text, seconds_to_wait
 from quarryspark.functions.text import truncate_at_word
-from quarryspark.functions.urls import PRIVATE_ADDRESS, fetch_error
-from quarryspark.plans.config import ScrapeConfig
+from quarryspark.functions.urls import ONLY_HTTP, PRIVATE_ADDRESS, fetch_error
+from quarryspark.plans.config import PipelineConfig, ScrapeConfig
 from quarryspark.runtime import extended
 
 #: fixed value: statuses whose Location is followed
@@ -50,49 +52,69 @@ class Fetched:
 Transport = Callable[[str, float], Fetched]
 
 
-def http_transport(url: str, timeout_s: float) -> Fetched:
-    """One request without redirects; raises OSError when there is no answer."""
+def http_transport(url: str, timeout_s: float, address: str | None = None) -> Fetched:
+    """One GET without redirects, to ``address`` if one is given; raises OSError when there is no answer."""
+    u = urllib.parse.urlsplit(url)
+    if u.scheme not in ("http", "https") or not u.hostname:
+        raise ValueError(ONLY_HTTP)
+    secure = u.scheme == "https"
+    port = u.port or (443 if secure else 80)
+    c = http.client.HTTPConnection(u.hostname, port, timeout=timeout_s)
+    try:
+        c.sock = socket.create_connection((address or u.hostname, port), timeout_s)
+        if secure:
+            c.sock = ssl.create_default_context().wrap_socket(c.sock, server_hostname=u.hostname)
+        c.request("GET", urllib.parse.quote(u.path or "/", safe="/%:@!$&'()*+,;=~-._") + (f"?{urllib.parse.quote(u.query, safe='/%:@!$&()*+,;=~-._?')}" if u.query else ""), headers={"Host": u.netloc.rpartition("@")[2], "User-Agent": "quarryspark", "Accept-Encoding": "gzip, deflate"})
+        r = c.getresponse()
+        h = {k.lower(): v for k, v in r.headers.items()}
+        return Fetched(r.status, r.reason or "", h.get("content-type"), h.get("content-encoding"), r.read(), url, headers=h)
+    except http.client.HTTPException as e:
+        raise OSError(f"{type(e).__name__}: {e}") from e
+    finally:
+        c.close()
 
-    class Stay(urllib.request.HTTPRedirectHandler):
-        def redirect_request(self, *a, **k):
-            return None
 
-    opener = urllib.request.build_opener(Stay)
+def private_address(name: str) -> bool:
+    """Whether the text is an address that is not a public one."""
     try:
-        r = opener.open(urllib.request.Request(url, headers={"User-Agent": "quarryspark", "Accept-Encoding": "gzip, deflate"}), timeout=timeout_s)
-    except urllib.error.HTTPError as e:
-        r = e
-    with r:
-        h = {k.lower(): v for k, v in r.headers.items()}
-        return Fetched(r.status, getattr(r, "reason", "") or "", h.get("content-type"), h.get("content-encoding"), r.read(), url, headers=h)
+        ip = ipaddress.ip_address(name.strip("[]").partition("%")[0])
+    except ValueError:
+        return False
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_unspecified or ip.is_reserved or ip.is_multicast
 
 
-def private_host(host: str, resolve: Callable[[str], list[str]] | None) -> bool:
-    names = [host] if resolve is None else [host, *resolve(host)]
-    for n in names:
-        try:
-            ip = ipaddress.ip_address(n.strip("[]"))
-        except ValueError:
-            continue
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        if ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_unspecified:
-            return True
-    return False
+Resolver = Callable[[str], list[str]]
 
 
 def resolve_host(host: str) -> list[str]:
     return [a[4][0] for a in socket.getaddrinfo(host, None)]
 
 
-def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport, resolve: Callable[[str], list[str]] | None = None, sleep: Callable[[float], None] = time.sleep) -> Fetched:
+def _checked(url: str, resolve: Resolver | None) -> tuple[str | None, str | None]:
+    """(why the URL must not be fetched or None, an address of its host or None)."""
+    u = urllib.parse.urlsplit(url)
+    if u.scheme.lower() not in ("http", "https"):
+        return ONLY_HTTP, None
+    host = u.hostname or ""
+    found = [] if resolve is None or not host else resolve(host)
+    if any(map(private_address, [host, *found])):
+        return PRIVATE_ADDRESS, None
+    return None, next(iter(found), None)
+
+
+def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport, resolve: Resolver | None = None, sleep: Callable[[float], None] = time.sleep) -> Fetched:
     """Follow redirects, retry: twice on transient network errors, once each on 429 and on 5xx."""
+    own = transport is http_transport
+    if own and resolve is None:
+        resolve = resolve_host
     here, hops, transient, limited, server = url, 0, 0, False, False
     while True:
-        host = urllib.parse.urlsplit(here).hostname or ""
         try:
-            if private_host(host, resolve):
-                return Fetched(error=PRIVATE_ADDRESS, final_url=here, redirects=hops)
-            f = transport(here, config.timeout_ms / 1000)
+            why, address = _checked(here, resolve)
+            if why:
+                return Fetched(error=why, final_url=here, redirects=hops)
+            f = transport(here, config.timeout_ms / 1000, address) if own else transport(here, config.timeout_ms / 1000)
         except TimeoutError:
             return Fetched(error=f"Request timed out after {config.timeout_ms}ms", final_url=here, redirects=hops)
         except OSError as e:
@@ -102,6 +124,8 @@ def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport,
                 transient += 1
                 continue
             return Fetched(error=f"Network error: {e}", final_url=here, redirects=hops)
+        except ValueError as e:
+            return Fetched(error=f"Invalid URL: {e}", final_url=here, redirects=hops)
         f.final_url, f.redirects = here, hops
         if f.status in REDIRECTS and f.headers.get("location"):
             if hops >= config.max_redirects:
@@ -109,8 +133,8 @@ def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport,
                 return f
             here, hops = urllib.parse.urljoin(here, f.headers["location"]), hops + 1
         elif f.status == 429 and not limited:
-            wish = f.headers.get("retry-after", "").strip()
-            sleep(int(wish) if wish.isdigit() else 3.0)
+            wish = seconds_to_wait(f.headers.get("retry-after"))
+            sleep(3.0 if wish is None else wish)
             limited = True
         elif f.status is not None and f.status >= 500 and not server:
             sleep(1.0 + random.random() * 0.4)
@@ -121,7 +145,7 @@ def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport,
             return f
 
 
-def fetch_pages(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Callable[[str], list[str]] | None = None, at_once: int = 3) -> DataFrame:
+def fetch_pages(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Resolver | None = None, at_once: int = PipelineConfig().concurrency) -> DataFrame:
     """``urls`` (url) with status, status_text, content_type, body, final_url, redirects, error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,11 +215,11 @@ def scraped(fetched: DataFrame, config: ScrapeConfig = ScrapeConfig(), renderer:
     )
 
 
-def scrape(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Callable[[str], list[str]] | None = None, renderer: Renderer | None = None) -> DataFrame:
+def scrape(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Resolver | None = None, renderer: Renderer | None = None, at_once: int = PipelineConfig().concurrency) -> DataFrame:
     """One row an URL with the columns SCRAPED; never raises for a page."""
     checked = urls.select("url").withColumn("_why", fetch_error("url"))
     refused = checked.filter("_why IS NOT NULL").select("url", F.lit(False).alias("success"), *[F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("content", "string"), ("method", "string"), ("truncated", "boolean"), ("content_length", "int"))], F.col("_why").alias("error"), error_category("_why").alias("category"))
-    return scraped(fetch_pages(checked.filter("_why IS NULL").select("url"), config, transport=transport, resolve=resolve), config, renderer).unionByName(refused)
+    return scraped(fetch_pages(checked.filter("_why IS NULL").select("url"), config, transport=transport, resolve=resolve, at_once=at_once), config, renderer).unionByName(refused)
 
 
 assert MIN_READABLE_CHARS == ScrapeConfig.min_content_chars

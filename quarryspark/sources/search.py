@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarryspark.functions.failures import CorpusError, FetchTimeout, HttpError, NetworkError, ValidationError, retryable
+from quarryspark.functions.failures import CorpusError, FetchTimeout, HttpError, NetworkError, ValidationError, retryable, seconds_to_wait
 from quarryspark.plans.config import NodePool, SearchConfig
 
 MAX_QUERY_CHARS = 500
@@ -64,10 +64,10 @@ def http_get(url: str, timeout_s: float) -> Answer:
 
 
 def wait_ms(attempt: int, base_ms: int, retry_after: str | None = None, roll: Callable[[], float] = random.random) -> int:
-    """The server's wish in seconds, capped, else base * 2**attempt within 20 %."""
-    wish = (retry_after or "").strip()
-    if wish.isdigit():
-        return min(int(wish) * 1000, MAX_RETRY_AFTER_MS)
+    """The server's wish, in seconds or as a date, capped, else base * 2**attempt within 20 %."""
+    wish = seconds_to_wait(retry_after)
+    if wish is not None:
+        return min(int(wish * 1000), MAX_RETRY_AFTER_MS)
     base = base_ms * 2**attempt
     return max(0, round(base + base * 0.2 * (roll() * 2 - 1)))
 
