@@ -23,6 +23,7 @@ repeated rows are predicted alike; other columns are carried along unless they c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,17 +123,17 @@ def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "te
             for at in range(0, len(pairs), 64):
                 part = pairs[at : at + 64]
                 x = ngram_features([t for t, _ in part], dims).astype("float16")
-                yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x], "lang": [lang for _, lang in part]})
+                yield pa.RecordBatch.from_pydict({"x": [zlib.compress(r.tobytes(), 1) for r in x], "lang": [lang for _, lang in part]})
         give_back()
 
     sample = chosen.mapInArrow(featured, "x binary, lang string").toArrow()
     if not sample.num_rows:
         return None
     langs, rows = sample.column("lang").to_pylist(), sample.column("x")
-    order = sorted(range(len(langs)), key=lambda k: (langs[k], rows[k].as_buffer()[:256].to_pybytes()))
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], zlib.decompressobj().decompress(rows[k].as_buffer(), 256)))
     x = np.empty((len(langs), dims), "float32")
     for at, k in enumerate(order):
-        x[at] = np.frombuffer(rows[k].as_buffer(), "float16")
+        x[at] = np.frombuffer(zlib.decompress(rows[k].as_buffer()), "float16")
     del sample, rows
     return fit_languages(x, [langs[k] for k in order], dims)
 
