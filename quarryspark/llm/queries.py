@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; labels of every seventh are moved by one first."""
+    from quarryspark.llm.hard_negatives import mine_hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarryspark.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -97,8 +118,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
+    "op13_whitening": op13_whitening,
 }
 
+
+def _license_sql() -> str:
+    from quarryspark.llm.license_scan import BETWEEN, LICENSES
+
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    split = lambda t: f"list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BETWEEN}'), lambda x: x <> '')"
+    rows = ", ".join(f"({k}, {quote(t.label)}, {str(t.phrase).lower()}, {quote(t.text)})" for k, t in enumerate(LICENSES))
+    return f"""
+WITH templates AS (SELECT template, label, phrase, {split('text')} AS w FROM (VALUES {rows}) t(template, label, phrase, text)),
+sized AS (SELECT *, len(w) AS size, CASE WHEN phrase THEN 2 ELSE least(len(w), 4) END AS k FROM templates),
+grams AS (SELECT template, label, phrase, size, k, spot, w[spot + 1:spot + k] AS gram FROM (SELECT *, unnest(range(size - k + 1)) AS spot FROM sized)),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {split("coalesce(text, '')")} AS w FROM documents),
+placed AS (SELECT row, w, unnest(range(len(w) - 1)) AS pos FROM docs),
+hits AS (SELECT p.row, g.*, p.pos - g.spot AS diagonal FROM placed p JOIN grams g ON p.w[p.pos + 1] = g.gram[1] AND p.w[p.pos + 2] = g.gram[2] AND p.w[p.pos + 1:p.pos + g.k] = g.gram),
+diagonals AS (SELECT DISTINCT row, template, phrase, diagonal FROM hits),
+new AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER w > 5, true) THEN 1 ELSE 0 END AS n FROM diagonals WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)),
+parts AS (SELECT *, sum(n) OVER (PARTITION BY row, template ORDER BY diagonal) AS part FROM new),
+covered AS (SELECT row, template, label, phrase, size, part, h.diagonal, unnest(range(spot, spot + k)) AS spot FROM hits h JOIN parts p USING (row, template, phrase, diagonal)),
+spans AS (SELECT row, label, phrase, size, part, count(DISTINCT spot) AS n, min(diagonal + spot) AS first, max(diagonal + spot) AS last FROM covered GROUP BY row, template, label, phrase, size, part),
+scored AS (SELECT *, n / greatest(size, last - first + 1) AS score FROM spans),
+kept AS (SELECT * FROM scored WHERE CASE WHEN phrase THEN n = size ELSE score >= 0.6 END),
+found AS (SELECT row, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(score) AS score, count(*) AS n_spans FROM kept GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM docs LEFT JOIN found USING (row)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": r"""
 WITH sized AS (
@@ -127,4 +177,23 @@ SELECT doc_id, size, source_size, target,
    + greatest(0, least(size, CASE WHEN source_size > 0 THEN budget % source_size ELSE budget END - before)))::BIGINT AS taken
 FROM running
 """,
+    "op11_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, w.id, w.label = a.label AS same, list_dot_product(a.x, w.x)::BIGINT AS score
+  FROM whole a, whole w WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""",
+    "op12_license_scan": _license_sql(),
 }
