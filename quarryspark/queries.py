@@ -140,6 +140,38 @@ _projection(
         "private_v6": "doc_id % 16 IN (12, 13, 14)",
     },
 )
+def _spelt_address() -> Column:
+    """A number host for each document, by turns in the eight ways in which hosts spell numbers."""
+    n = _spelt_number()
+    octet = lambda k: F.shiftright(n, k).bitwiseAND(255)
+    dotted = lambda show: F.concat_ws(".", *[show(octet(k)) for k in (24, 16, 8, 0)])
+    plain = lambda x: x.cast("string")
+    ways = [
+        dotted(plain), plain(n), F.concat(F.lit("0x"), F.hex(n)), dotted(lambda x: F.concat(F.lit("0"), F.conv(x, 10, 8))), F.concat_ws(".", plain(octet(24)), plain(n.bitwiseAND(0xFFFFFF))),
+        F.concat_ws(".", plain(octet(24)), plain(octet(16)), plain(n.bitwiseAND(0xFFFF))), F.concat(dotted(plain), F.lit(".")), dotted(lambda x: F.concat(F.lit("0X"), F.hex(x))),
+    ]
+    return F.element_at(F.array(*ways), (F.floor(F.col("doc_id") / 2) % 8 + 1).cast("int"))
+
+
+def _spelt_number() -> Column:
+    """Numbers all over the space of addresses, every second one within 127.0.0.0/8."""
+    return F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") * 2654435761 + F.col("n_chars") * 97).otherwise(2130706432 + F.col("doc_id") * 31).cast("long") % 4294967296
+
+
+_S_OCTETS = "[n >> 24, (n >> 16) & 255, (n >> 8) & 255, n & 255]"
+
+
+@_query(
+    "host_canonical",
+    f"""SELECT doc_id, 'https://' || array_to_string(o, '.') || '/' || doc_id AS normalized_url,
+  CASE WHEN o[1] IN (0, 10, 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) THEN '{U.PRIVATE_ADDRESS}' END AS fetch_error
+FROM (SELECT doc_id, {_S_OCTETS} AS o FROM (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN doc_id * 2654435761 + n_chars * 97 ELSE 2130706432 + doc_id * 31 END)::BIGINT % 4294967296 AS n FROM documents))""",
+)
+def host_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("http://"), _spelt_address(), F.lit("/"), F.col("doc_id").cast("string")).alias("url"))
+    return d.select("doc_id", U.normalize_url("url").alias("normalized_url"), U.fetch_error("url").alias("fetch_error"))
+
+
 _projection("search_url", "documents", {"doc_id": lambda: F.col("doc_id"), "address": lambda: U.search_url(F.lit("https://s.example.org/x//"), "text")}, {"doc_id": "doc_id", "address": "'https://s.example.org/x/search?q=' || replace(replace(replace(url_encode(text), '%20', '+'), '%2A', '*'), '~', '%7E') || '&format=json&safesearch=1'"})
 
 # --- text

@@ -11,9 +11,11 @@ from __future__ import annotations
 import http.client
 import ipaddress
 import random
+import re
 import socket
 import ssl
 import time
+import unicodedata
 import urllib.parse
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -74,8 +76,22 @@ def http_transport(url: str, timeout_s: float, address: str | None = None) -> Fe
         c.close()
 
 
+def plain_host(host: str) -> str:
+    """A host as it is connected to: decoded, in lower case, numbers in dotted decimal whatever their spelling."""
+    name = unicodedata.normalize("NFKC", urllib.parse.unquote(host)).replace("。", ".").lower()
+    bare = name.removesuffix(".")
+    if ":" not in bare and re.search(r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\Z", bare):
+        try:
+            return socket.inet_ntoa(socket.inet_aton(re.sub(r"(\A|\.)0x(?=\.|\Z)", r"\g<1>0", bare)))
+        except OSError:
+            raise ValueError(f"not an address: {host}") from None
+    return name
+
+
 def private_address(name: str) -> bool:
-    """Whether the text is an address that is not a public one."""
+    """Whether the text is an address that is not a public one, or a name for this machine."""
+    if re.search(r"(?:\A|\.)localhost\.?\Z", name):
+        return True
     try:
         ip = ipaddress.ip_address(name.strip("[]").partition("%")[0])
     except ValueError:
@@ -96,7 +112,7 @@ def _checked(url: str, resolve: Resolver | None) -> tuple[str | None, str | None
     u = urllib.parse.urlsplit(url)
     if u.scheme.lower() not in ("http", "https"):
         return ONLY_HTTP, None
-    host = u.hostname or ""
+    host = plain_host(u.hostname or "")
     found = [] if resolve is None or not host else resolve(host)
     if any(map(private_address, [host, *found])):
         return PRIVATE_ADDRESS, None

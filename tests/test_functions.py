@@ -1,5 +1,8 @@
 """Golden vectors of the column expressions."""
 
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from quarryspark.functions import content as C
 from quarryspark.functions import failures as X
 from quarryspark.functions import text as T
 from quarryspark.functions import urls as U
+from quarryspark.sources import pages
 
 
 def test_fnv(values):
@@ -93,3 +97,53 @@ def test_content(spark, values):
     title, text = C.readable("<html><title>T</title><nav>no</nav><article><h1>H</h1><p>one<p>two<script>x</script></article><footer>f</footer>")
     assert (title, text) == ("T", "H\none\ntwo")
     assert C.readable("") == ("", "") and C.readable(None) == ("", "")
+
+
+# --- hosts
+
+
+SPELT_LOOPBACK = [
+    "2130706433", "0x7f.1", "127.1", "0177.0.0.1", "127.0.0.1.", "localhost", "LOCALHOST.", "a.localhost", "%31%32%37.0.0.1", "①②⑦.0.0.1", "127。0。0。1", "0x7F000001", "017700000001", "127.0.0x0.01",
+    "[::1]", "[0:0:0:0:0:0:0:1]", "[::ffff:127.0.0.1]", "[0:0:0:0:0:ffff:7f00:1]", "[::127.0.0.1]",
+]
+
+
+def test_every_spelling_of_this_machine_is_refused(values):
+    got = values(U.fetch_error, [f"http://{h}/" for h in SPELT_LOOPBACK] + ["http://user@127.1:80/x?y", " http://127.1 "])
+    assert set(got) == {U.PRIVATE_ADDRESS}
+    addresses = values(U.normalize_url, [f"http://{h}/" for h in SPELT_LOOPBACK])
+    assert {a for h, a in zip(SPELT_LOOPBACK, addresses, strict=True) if "local" not in h.lower() and "[" not in h} == {"https://127.0.0.1/"}
+    assert all(pages.private_address(pages.plain_host(h.strip("[]"))) for h in SPELT_LOOPBACK)
+
+
+def test_hosts_that_end_in_a_number_are_addresses_or_nothing(values):
+    bad = ["http://1.2.3.256/", "http://1.2.3.4.5/", "http://4294967296/", "http://08.1.1.1/", "http://a.1/", "http://1.16777216/", "http://256.1.1.1/"]
+    assert values(U.normalize_url, bad) == [None] * len(bad) == values(U.valid_hit_url, bad)
+    assert all(e.startswith("Invalid URL: ") for e in values(U.fetch_error, bad))
+    good = {"http://1.a/": "https://1.a/", "http://0x1g/": "https://0x1g/", "http://0xffffffff/": "https://255.255.255.255/", "http://1.65793/": "https://1.1.1.1/", "http://0x/": "https://0.0.0.0/", "http://8.8.8.8:80/a/": "https://8.8.8.8/a"}
+    assert values(U.normalize_url, list(good)) == list(good.values())
+    for b in bad:
+        with pytest.raises(ValueError):
+            pages.plain_host(b[7:-1])
+
+
+def test_ipv6_hosts_are_shortened(values):
+    good = {"[2001:DB8:0:0:1:0:0:1]": "[2001:db8::1:0:0:1]", "[1:0:0:2:0:0:0:3]": "[1:0:0:2::3]", "[::]": "[::]", "[1::]": "[1::]", "[1:2:3:4:5:6:7::]": "[1:2:3:4:5:6:7:0]", "[::ffff:8.8.8.8]": "[::ffff:808:808]", "[01:2:3:4:5:6:7:08]": "[1:2:3:4:5:6:7:8]"}
+    assert values(U.canonical_host, list(good)) == list(good.values())
+    assert values(U.canonical_host, ["[1::2::3]", "[1:2]", "[12345::]", "[::1.2.3.256]", "[1:2:3:4:5:6:7:8:9]", "a%00b", "ex%2Fa.com", ""]) == [None] * 7 + [""]
+
+
+def test_numbers_spelt_at_random_are_the_same_address(values):
+    r, hosts, right = random.Random(3), [], []
+    for _ in range(120):
+        n = r.choice([r.randrange(2**32), r.randrange(256) << 24 | r.randrange(3)])
+        k = r.randrange(1, 5)
+        parts = [(n >> (24 - 8 * i)) & 255 for i in range(k - 1)] + [n & (256 ** (5 - k) - 1)]
+        spell = lambda x: r.choice([str(x), hex(x), hex(x).upper().replace("0X", "0X0"), f"0{x:o}", f"000{x:o}"])
+        hosts.append(".".join(map(spell, parts)) + r.choice(["", "."]))
+        right.append(str(ipaddress.ip_address(n)))
+    assert values(U.canonical_host, hosts) == right == [pages.plain_host(h) for h in hosts]
+
+
+def test_urls_leave_out_tabs_and_line_breaks(values):
+    assert values(U.normalize_url, ["ht\ttp://exa\nmple.com/a\r\nb?x=1", "http://a.com/\n#f", "http://u:p@a.com:0080/../x/./y/?b=2&a=1&utm_source=z", None, "", "x"]) == ["https://example.com/ab?x=1", "https://a.com/", "https://u:p@a.com:80/x/y?a=1&b=2", None, None, None]
