@@ -9,7 +9,6 @@ a time. The readable text is our own definition: the largest <article>, else <ma
 from __future__ import annotations
 
 import codecs
-import gzip
 import html
 import json
 import re
@@ -136,17 +135,32 @@ def replacement_share(c: Column | str) -> Column:
     return F.when(n > 0, (n - F.length(F.replace(_col(c), F.lit("�"), F.lit("")))) / n).otherwise(F.lit(0.0))
 
 
+MOST_INFLATED_BYTES = 256 * 1024 * 1024
+
+
+def _bounded(body: bytes, window: int) -> bytes:
+    """Decompressed up to MOST_INFLATED_BYTES, zlib.error beyond; gzip members one after another."""
+    out, left = [], body
+    while left:
+        d = zlib.decompressobj(window)
+        out.append(d.decompress(left, MOST_INFLATED_BYTES - sum(map(len, out))))
+        if d.unconsumed_tail or not d.eof:
+            raise zlib.error("too large or cut off")
+        left = d.unused_data.lstrip(b"\0") if window == 31 else b""
+    return b"".join(out)
+
+
 def inflate(body: bytes, encoding: str | None) -> bytes:
-    """As the content encoding says; unchanged where that fails."""
+    """As the content encoding says; unchanged where that fails, as where it would be over MOST_INFLATED_BYTES."""
     try:
         kind = (encoding or "").strip().lower()
         if kind in ("gzip", "x-gzip"):
-            return gzip.decompress(body)
+            return _bounded(body, 31)
         if kind == "deflate":
             try:
-                return zlib.decompress(body)
+                return _bounded(body, 15)
             except zlib.error:
-                return zlib.decompress(body, -15)
+                return _bounded(body, -15)
         if kind == "br":
             import brotli  # where it is installed
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.request
@@ -15,7 +16,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarryspark.functions.failures import NETWORK_CODES, AuthError, CorpusError, FetchTimeout, HttpError, NetworkError, ParseError
+from quarryspark.functions.failures import NETWORK_CODES, AuthError, ConfigError, CorpusError, FetchTimeout, HttpError, NetworkError, ParseError
 from quarryspark.plans.config import ModelConfig
 from quarryspark.runtime import extended
 
@@ -26,9 +27,24 @@ class Model(Protocol):
     def complete(self, system: str, user: str, *, temperature: float, max_tokens: int, timeout_s: float) -> str: ...
 
 
+MOST_ANSWER_BYTES = 16 * 1024 * 1024
+
+
+class _NoRedirects(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *_: object) -> None:
+        return None
+
+
+_OPENER = urllib.request.build_opener(_NoRedirects)
+
+
 @dataclass(frozen=True)
 class ChatModel:
-    """A client of an endpoint that speaks the chat completions protocol; it neither retries nor shows its key."""
+    """A client of an endpoint that speaks the chat completions protocol; it neither retries nor shows its key.
+
+    Redirects are not followed, as they would carry the key to where it does not belong: they
+    are errors with their status. Answers over MOST_ANSWER_BYTES are errors too.
+    """
 
     base_url: str
     name: str
@@ -36,16 +52,21 @@ class ChatModel:
 
     @classmethod
     def of(cls, config: ModelConfig) -> ChatModel:
-        """ConfigError without a key."""
+        """ConfigError without a key or an HTTP(S) address."""
         config.require_key()
+        if not re.match(r"(?i)https?://[^\s/?#]+", config.base_url):
+            raise ConfigError("LLM_BASE_URL must be a valid HTTP(S) URL")
         return cls(config.base_url, config.model, config.api_key)
 
     def complete(self, system: str, user: str, *, temperature: float, max_tokens: int, timeout_s: float) -> str:
         said = {"model": self.name, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": temperature, "max_tokens": max_tokens}
         asked = urllib.request.Request(self.base_url.rstrip("/") + "/chat/completions", json.dumps(said).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         try:
-            with urllib.request.urlopen(asked, timeout=timeout_s) as r:  # noqa: S310
-                answer = json.load(r)
+            with _OPENER.open(asked, timeout=timeout_s) as r:
+                body = r.read(MOST_ANSWER_BYTES + 1)
+            if len(body) > MOST_ANSWER_BYTES:
+                raise ParseError(f"the endpoint's answer has over {MOST_ANSWER_BYTES} bytes")
+            answer = json.loads(body)
             return answer["choices"][0]["message"]["content"] or ""
         except urllib.error.HTTPError as e:
             raise (AuthError if e.code in (401, 403) else HttpError)(f"HTTP {e.code}: {e.reason}", status=e.code) from e

@@ -7,51 +7,27 @@
 from __future__ import annotations
 
 import logging
-import threading
 import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryspark.functions.failures import PipelineTimeout, fetch_error_message, tool_success
+from quarryspark.functions.failures import TIMED_OUT, PipelineTimeout, fetch_error_message, tool_error, tool_success
 from quarryspark.functions.text import is_blank
 from quarryspark.operators.dedup import deduplicate
 from quarryspark.operators.digest import format_digest, items_of, page_excerpt, pipeline_excerpts
-from quarryspark.operators.hits import join_pages
+from quarryspark.operators.hits import join_pages, parse_answers, top_hits
 from quarryspark.plans.config import DedupConfig, ModelConfig, PipelineConfig
+from quarryspark.plans.deadline import rows_in_time, within
 from quarryspark.plans.model import Model
 from quarryspark.plans.synthesis import synthesize
 from quarryspark.runtime import materialize
 
 log = logging.getLogger(__name__)
-
-
-@contextmanager
-def time_limit(spark: SparkSession, seconds: float, tag: str = "quarryspark-limit") -> Iterator[None]:
-    """Spark jobs started inside are cancelled after ``seconds``; PipelineTimeout then."""
-    sc = spark.sparkContext
-    sc.addJobTag(tag)
-    over, done = threading.Event(), threading.Event()
-
-    def watch() -> None:
-        if not done.wait(seconds):
-            over.set()
-        while not done.wait(0.2):  # jobs that start late are cancelled too
-            sc.cancelJobsWithTag(tag)
-
-    threading.Thread(target=watch, daemon=True).start()
-    try:
-        yield
-    except Exception as e:
-        if over.is_set():
-            raise PipelineTimeout(f"timed out after {seconds} s") from e
-        raise
-    finally:
-        done.set()
-        sc.removeJobTag(tag)
+#: queries to answers, addresses to scraped pages: what a flow gets its data from
+Stage = Callable[[DataFrame], DataFrame]
 
 
 def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -87,17 +63,9 @@ def excerpts_after_timeout(items: DataFrame, *, key: str = "query_id", rank: str
 
 #: fixed values: why a search has no digest
 NO_USABLE = "No usable search results found (all results had invalid or empty URLs)."
-
-
-def _within[T](spark: SparkSession, deadline: float | None, step: Callable[[], T]) -> T:
-    """What ``step`` gives; PipelineTimeout where the deadline passes first."""
-    if deadline is None:
-        return step()
-    left = deadline - time.monotonic()
-    if left <= 0:
-        raise PipelineTimeout("the time ran out")
-    with time_limit(spark, left):
-        return step()
+NO_RESULTS = "Search returned zero results."
+#: fixed value: characters of a query
+MAX_QUERY_CHARS = 500
 
 
 def _focus(focus: str | None) -> Column | None:
@@ -109,9 +77,9 @@ def web_search(
     pages: DataFrame,
     make_model: Callable[[], Model],
     *,
-    model: ModelConfig = ModelConfig(),
-    dedup: DedupConfig = DedupConfig(),
-    config: PipelineConfig = PipelineConfig(),
+    model: ModelConfig | None = None,
+    dedup: DedupConfig | None = None,
+    config: PipelineConfig | None = None,
     max_results: int | None = 5,
     focus: str | None = None,
     seconds: float | None = None,
@@ -120,19 +88,22 @@ def web_search(
 
     Of each query the best ``max_results`` hits with an address count. Outcomes: success;
     partial, where some pages were not to be had; degraded, where the digest is of excerpts
-    because ``seconds`` ran out; failed, where ``text`` says why there is no digest.
-    PipelineTimeout is raised where the time runs out before any page is there.
+    because ``seconds`` ran out; failed, where ``text`` says why there is no digest. Pages
+    count by partitions: when the time runs out, excerpts are made of the partitions that
+    were finished, and PipelineTimeout is raised only where that is no page at all. Settings
+    that are not given come from the environment.
     """
+    model, dedup, config = model or ModelConfig.load(), dedup or DedupConfig.load(), config or PipelineConfig.load()
     spark, began = hits.sparkSession, time.monotonic()
     deadline = None if seconds is None else began + seconds
     best = Window.partitionBy("query_id").orderBy("rank", "url")
     usable = hits.filter(~is_blank("url"))
     if max_results is not None:
         usable = usable.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= max_results).drop("_nth")
+    pages, late = rows_in_time(pages, deadline)
     items, failures = join_pages(usable, pages)
-    items = _within(spark, deadline, lambda: materialize(items))
+    items = materialize(items)
     log.info("stage=scrape items=%d ms=%d", items.count(), (time.monotonic() - began) * 1000)
-    counts = lambda d, name: d.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("query_id", "_q")
 
     def condensed() -> tuple[DataFrame, DataFrame]:
         kept = dedup_or_all(items, dedup)
@@ -142,33 +113,98 @@ def web_search(
         return kept, materialize(synthesize(kept, make_model, model, focus=_focus(focus)).select("query_id", "digest").withColumn("late", F.lit(False)))
 
     try:
-        kept, digests = _within(spark, deadline, condensed)
+        if late:
+            raise PipelineTimeout("the time ran out before all pages were there")
+        kept, digests = within(spark, deadline, condensed)
     except PipelineTimeout as e:
         log.warning("%s, going on with excerpts", e)
-        late = excerpts_after_timeout(items, most=config.max_content_chars)
+        cut_off = excerpts_after_timeout(items, most=config.max_content_chars)
         digest = F.struct("digest.answer", "digest.key_points", "digest.sources", F.lit(True).alias("degraded"))
-        kept, digests = items, late.select("query_id", digest.alias("digest"), F.lit(True).alias("late"))
+        late, kept, digests = True, items, cut_off.select("query_id", digest.alias("digest"), F.lit(True).alias("late"))
     lost = usable.select("query_id", "rank", "url").join(failures.select("url", "error").distinct(), "url")
-    said = lost.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("  - "), F.col("url"), F.lit(": "), F.col("error")).alias("line")))).alias("lines")).select(F.col("query_id").alias("_q"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("why"))
-    out = hits.select("query_id", "query").distinct()
-    for d, name in ((counts(items, "scraped"), "scraped"), (counts(lost, "failed"), "failed"), (counts(kept, "items"), "items")):
-        out = out.join(d, F.col("query_id") == F.col("_q"), "left").drop("_q").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    out = out.join(digests.withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("_q"), "left").drop("_q").join(said, F.col("query_id") == F.col("_q"), "left").drop("_q")
-    none = F.when(F.col("failed") > 0, F.concat(F.lit("All "), F.col("failed").cast("string"), F.lit(" URL(s) failed to scrape:\n"), F.col("why"))).otherwise(F.lit(NO_USABLE))
+    line = F.struct("rank", F.concat(F.lit("  - "), F.col("url"), F.lit(": "), F.col("error")).alias("line"))
+    one = lambda name: F.lit(1).cast("long").alias(name)
+    # all that is known of a query, in one aggregation
+    told = hits.select("query_id", "query")
+    for part in (items.select("query_id", one("scraped")), lost.select("query_id", one("failed"), line.alias("line")), kept.select("query_id", one("items")), digests):
+        told = told.unionByName(part, allowMissingColumns=True)
+    summed = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("scraped", "failed", "items")]
+    out = told.groupBy("query_id").agg(F.max("query").alias("query"), *summed, F.first("digest", ignorenulls=True).alias("digest"), F.first("late", ignorenulls=True).alias("late"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]), "\n").alias("why"))
+    none = F.when(F.col("failed") > 0, F.concat(F.lit("All "), F.col("failed").cast("string"), F.lit(" URL(s) failed to scrape:\n"), F.col("why"))).otherwise(F.lit(TIMED_OUT if late else NO_USABLE))
     text = F.when(F.col("digest").isNull(), none).otherwise(tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")))
     outcome = F.when(F.col("digest").isNull(), "failed").when(F.col("late"), "degraded").when(F.col("failed") > 0, "partial").otherwise("success")
     return out.select("query_id", "query", outcome.alias("outcome"), "digest", text.alias("text"), "scraped", "failed", "items")
 
 
-def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: PipelineConfig = PipelineConfig(), model: ModelConfig = ModelConfig(), focus: str | None = None, seconds: float | None = None) -> DataFrame:
-    """(url, outcome, digest, text): a digest a page, or why there is none; an excerpt where ``seconds`` run out."""
+def run_search(
+    queries: DataFrame,
+    ask: Stage,
+    fetch: Stage,
+    make_model: Callable[[], Model],
+    *,
+    model: ModelConfig | None = None,
+    dedup: DedupConfig | None = None,
+    config: PipelineConfig | None = None,
+    max_results: int = 5,
+    focus: str | None = None,
+    seconds: float | None = None,
+) -> DataFrame:
+    """``web_search`` for a table of queries (query_id, query), from the text of each to its digest, in one row each.
+
+    ``ask`` gives each query its node's answer (``sources.search.ask_nodes`` or
+    ``recorded_answers``), ``fetch`` each address its page (``sources.pages.fetcher`` or
+    ``recorded_pages``). An address that several queries hit is fetched once. Blank and
+    overlong queries, those whose node failed or had no hit, and those that were not reached
+    in ``seconds`` are failed, and ``text`` says why. Ids are distinct.
+    """
+    spark, began = queries.sparkSession, time.monotonic()
+    deadline = None if seconds is None else began + seconds
+    wrong = F.when(is_blank("query"), F.lit("query must not be empty")).when(F.length("query") > MAX_QUERY_CHARS, F.lit(f"query must have at most {MAX_QUERY_CHARS} characters"))
+    asked = queries.select("query_id", "query", wrong.alias("why"))
+    answers, _ = rows_in_time(ask(asked.filter("why IS NULL").select("query_id", "query")), deadline)
+    refused = F.coalesce(F.col("error"), F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))))
+    said = answers.withColumn("refused", refused)
+    parsed = materialize(parse_answers(said.filter("refused IS NULL")))
+    best = top_hits(parsed.filter("NOT malformed AND error IS NULL"), max_results)
+    hits = materialize(best.join(asked.select(F.col("query_id").alias("_q"), "query"), F.col("query_id") == F.col("_q")).drop("_q"))
+    log.info("stage=search hits=%d ms=%d", hits.count(), (time.monotonic() - began) * 1000)
+    left = None if deadline is None else max(0.0, deadline - time.monotonic())
+    try:
+        found = web_search(hits, fetch(hits.select("url").distinct()), make_model, model=model, dedup=dedup, config=config, max_results=max_results, focus=focus, seconds=left)
+    except PipelineTimeout:
+        if hits.isEmpty():
+            raise
+        nothing = hits.groupBy("query_id").agg(F.max("query").alias("query"))
+        found = nothing.select("query_id", "query", F.lit("failed").alias("outcome"), F.lit(None).cast(_DIGEST).alias("digest"), F.lit(TIMED_OUT).alias("text"), *[F.lit(0).cast("long").alias(c) for c in ("scraped", "failed", "items")])
+    # queries without a hit: what their answer said, one row each
+    words = F.concat(F.lit("Search failed: "), F.coalesce("refused", "error"))
+    told = said.select("query_id", "refused").join(parsed.filter("error IS NOT NULL").select("query_id", "error"), "query_id", "left").join(parsed.filter("malformed").select("query_id").distinct().withColumn("bad", F.lit(True)), "query_id", "left")
+    reason = told.select(F.col("query_id").alias("_q"), F.coalesce(words, F.when(F.col("bad"), F.lit(NO_USABLE)), F.lit(NO_RESULTS)).alias("said"))
+    rest = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").join(reason, F.col("query_id") == F.col("_q"), "left")
+    why = F.coalesce("why", tool_error(F.col("said")), F.lit(TIMED_OUT))
+    empty = rest.select("query_id", "query", F.lit("failed").alias("outcome"), F.lit(None).cast(found.schema["digest"].dataType).alias("digest"), why.alias("text"), *[F.lit(0).cast("long").alias(c) for c in ("scraped", "failed", "items")])
+    return found.unionByName(empty)
+
+
+_DIGEST = "struct<answer:string,key_points:array<string>,sources:array<struct<url:string,title:string>>,degraded:boolean>"
+
+
+def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: PipelineConfig | None = None, model: ModelConfig | None = None, focus: str | None = None, seconds: float | None = None) -> DataFrame:
+    """(url, outcome, digest, text): a digest a page, or why there is none; an excerpt where ``seconds`` run out.
+
+    Pages of partitions that were not finished in time are not among the rows; ``run_fetch``
+    says so of each.
+    """
+    config, model = config or PipelineConfig.load(), model or ModelConfig.load()
     spark = pages.sparkSession
     deadline = None if seconds is None else time.monotonic() + seconds
-    pages = _within(spark, deadline, lambda: materialize(pages))
+    pages, late = rows_in_time(pages, deadline)
     good = F.col("success") & (F.length("content") >= 1)
     items = pages.filter(good).select(F.col("url").alias("query_id"), F.col("url").alias("query"), F.lit(0).cast("long").alias("rank"), "title", "url", F.lit(1.0).alias("score"), "content")
     try:
-        digests = _within(spark, deadline, lambda: materialize(synthesize(items, make_model, model, focus=_focus(focus))))
+        if late:
+            raise PipelineTimeout("the time ran out before all pages were there")
+        digests = within(spark, deadline, lambda: materialize(synthesize(items, make_model, model, focus=_focus(focus))))
         done = digests.select(F.col("query_id").alias("url"), F.lit("success").alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"))
     except PipelineTimeout as e:
         log.warning("%s, going on with excerpts", e)
@@ -178,3 +214,11 @@ def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: Pipe
     why = F.when(F.col("success"), F.concat(F.lit("The page at "), F.col("url"), F.lit(" has no readable content"))).otherwise(fetch_error_message("url", "error", config.scrape_timeout_ms))
     lost = pages.filter(~F.coalesce(good, F.lit(False))).select("url", F.lit("failed").alias("outcome"), F.lit(None).cast(done.schema["digest"].dataType).alias("digest"), why.alias("text"))
     return done.unionByName(lost)
+
+
+def run_fetch(urls: DataFrame, fetch: Stage, make_model: Callable[[], Model], *, config: PipelineConfig | None = None, model: ModelConfig | None = None, focus: str | None = None, seconds: float | None = None) -> DataFrame:
+    """``web_fetch`` for a table of addresses (url), one row for each distinct one; those not reached in ``seconds`` are failed."""
+    asked = urls.select("url").distinct()
+    found = materialize(web_fetch(fetch(asked), make_model, config=config, model=model, focus=focus, seconds=seconds))
+    rest = asked.join(found.select("url"), "url", "left_anti").select("url", F.lit("failed").alias("outcome"), F.lit(None).cast(found.schema["digest"].dataType).alias("digest"), F.lit(TIMED_OUT).alias("text"))
+    return found.unionByName(rest)

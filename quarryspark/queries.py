@@ -574,12 +574,16 @@ class MeasuringModel:
         return f"## Answer\n{user.splitlines()[0]}\n## Key Points\n- {len(user)} characters\n## Sources\n"
 
 
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they were fetched, every tenth not found."""
+    p = _read(spark, sf_dir, "pages")
+    return p.select("url", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).cast("int").alias("status"), F.lit("Not Found").alias("status_text"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), F.lit(None).cast("string").alias("error"))
+
+
 def _pages_as_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.sources.pages import scraped
 
-    p = _read(spark, sf_dir, "pages")
-    fetched = p.select("url", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).cast("int").alias("status"), F.lit("Not Found").alias("status_text"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), F.lit(None).cast("string").alias("error"))
-    return scraped(fetched)
+    return scraped(_recorded(spark, sf_dir))
 
 
 _S_READ = f"""read AS (SELECT *, page_id % 10 <> 0 AND length(x) > 0 AS ok, {_s_word_cut('x', 8000, '…[truncated]')} AS cut FROM (
@@ -625,6 +629,31 @@ def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(h, _pages_as_scraped(spark, sf_dir), MeasuringModel, max_results=5, focus=" dates ").drop("digest")
 
 
+#: as web_search, but hits come from recorded answers, in which every third hit has no address
+_S_FLOW = _S_SEARCH.replace("WHERE page_id % 8 < 5)", "WHERE page_id % 8 IN (0, 1, 3, 4, 5) AND page_id // 8 % 7 <> 5)")
+
+
+@_query(
+    "search_flow",
+    f"""SELECT * FROM ({_S_FLOW}) UNION ALL SELECT DISTINCT page_id // 8, 'query ' || page_id // 8, 'failed', 0, 0, 0,
+  'Internal error: Search failed: ' || CASE WHEN page_id // 8 % 2 = 0 THEN 'HTTP 503' ELSE 'Search node returned non-JSON response (Content-Type: text/html). Ensure the instance supports format=json.' END || '. See server logs for details.' FROM pages WHERE page_id // 8 % 7 = 5""",
+)
+def search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow from a table of queries, with recorded answers and pages; the nodes of every seventh query fail."""
+    from quarryspark.plans.web import run_search
+    from quarryspark.sources.pages import recorded_pages
+    from quarryspark.sources.search import recorded_answers
+
+    p = _read(spark, sf_dir, "pages").withColumn("query_id", F.floor(F.col("page_id") / 8))
+    at = F.col("page_id") % 8
+    hit = F.struct(F.when(at != 2, F.col("url")).alias("url"), F.lit("hit").alias("title"), F.lit("").alias("content"), (1.0 / (F.col("page_id") + 1)).alias("score"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.to_json(hit).alias("j")))), lambda x: x["j"]), ",")
+    bad = F.col("query_id") % 7 == 5
+    answers = p.groupBy("query_id").agg(listed.alias("j")).select("query_id", F.when(bad & (F.col("query_id") % 2 == 0), 503).otherwise(200).alias("status"), F.when(bad, F.lit("<html>busy</html>")).otherwise(F.concat(F.lit('{"results":['), F.col("j"), F.lit("]}"))).alias("body"), F.when(bad, "text/html").otherwise("application/json").alias("content_type"))
+    queries = answers.select("query_id", F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("query"))
+    return run_search(queries, recorded_answers(answers), recorded_pages(_recorded(spark, sf_dir)), MeasuringModel, max_results=5, focus=" dates ").drop("digest")
+
+
 @_query("web_fetch", f"WITH {_S_READ} SELECT url, CASE WHEN success THEN 'success' ELSE 'failed' END AS outcome, CASE WHEN success THEN {_s_said("'Query: ' || url", f"length('Query: ' || url || chr(10) || chr(10) || {_S_PAGE} || {_S_RULE})", "chr(10) || '- ' || title || ': ' || url")} WHEN category = 'http_error' THEN 'The page returned 404 — verify the URL is correct (' || url || ')' ELSE 'Failed to scrape ' || url || ': ' || error END AS text FROM scraped")
 def web_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.plans.web import web_fetch as run

@@ -28,12 +28,17 @@ from pyspark.sql import functions as F
 from quarryspark.functions.content import MIN_READABLE_CHARS, decode_bytes, detect_charset, extract_readable, inflate, route_content
 from quarryspark.functions.failures import TRANSIENT_FETCH_CODES, error_category, http_error_text, seconds_to_wait
 from quarryspark.functions.text import truncate_at_word
-from quarryspark.functions.urls import ONLY_HTTP, PRIVATE_ADDRESS, fetch_error
+from quarryspark.functions.urls import ONLY_HTTP, PRIVATE_ADDRESS, canonical_host, fetch_error
 from quarryspark.plans.config import PipelineConfig, ScrapeConfig
 from quarryspark.runtime import extended
 
 #: fixed value: statuses whose Location is followed
 REDIRECTS = (301, 302, 307, 308)
+#: bytes of a body, as sent and as decompressed, beyond which a page is refused
+MOST_BODY_BYTES = 32 * 1024 * 1024
+TOO_LARGE = f"Response body has over {MOST_BODY_BYTES} bytes"
+#: addresses of one host that one task fetches, about, while the host's tasks last
+URLS_A_TASK, TASKS_A_HOST = 1000, 4
 #: fixed value: seconds before the second and third try
 TRANSIENT_WAITS = (1.0, 3.0)
 
@@ -69,7 +74,10 @@ def http_transport(url: str, timeout_s: float, address: str | None = None) -> Fe
         c.request("GET", urllib.parse.quote(u.path or "/", safe="/%:@!$&'()*+,;=~-._") + (f"?{urllib.parse.quote(u.query, safe='/%:@!$&()*+,;=~-._?')}" if u.query else ""), headers={"Host": u.netloc.rpartition("@")[2], "User-Agent": "quarryspark", "Accept-Encoding": "gzip, deflate"})
         r = c.getresponse()
         h = {k.lower(): v for k, v in r.headers.items()}
-        return Fetched(r.status, r.reason or "", h.get("content-type"), h.get("content-encoding"), r.read(), url, headers=h)
+        body = r.read(MOST_BODY_BYTES + 1)
+        if len(body) > MOST_BODY_BYTES:
+            return Fetched(r.status, r.reason or "", h.get("content-type"), None, None, url, error=TOO_LARGE, headers=h)
+        return Fetched(r.status, r.reason or "", h.get("content-type"), h.get("content-encoding"), body, url, headers=h)
     except http.client.HTTPException as e:
         raise OSError(f"{type(e).__name__}: {e}") from e
     finally:
@@ -161,8 +169,9 @@ def fetch(url: str, config: ScrapeConfig, transport: Transport = http_transport,
             return f
 
 
-def fetch_pages(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Resolver | None = None, at_once: int = PipelineConfig().concurrency) -> DataFrame:
-    """``urls`` (url) with status, status_text, content_type, body, final_url, redirects, error."""
+def fetch_pages(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Resolver | None = None, at_once: int | None = None) -> DataFrame:
+    """``urls`` (url) with status, status_text, content_type, body, final_url, redirects, error; a task has ``at_once`` requests open at most."""
+    at_once = at_once or PipelineConfig.load().concurrency
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(u: str) -> Fetched:
@@ -231,11 +240,50 @@ def scraped(fetched: DataFrame, config: ScrapeConfig = ScrapeConfig(), renderer:
     )
 
 
-def scrape(urls: DataFrame, config: ScrapeConfig = ScrapeConfig(), *, transport: Transport = http_transport, resolve: Resolver | None = None, renderer: Renderer | None = None, at_once: int = PipelineConfig().concurrency) -> DataFrame:
+def deal_by_host(urls: DataFrame, *, tasks: int | None = None, urls_a_task: int = URLS_A_TASK, tasks_a_host: int = TASKS_A_HOST) -> DataFrame:
+    """``urls`` (url), each once, dealt so that a host's addresses are in few tasks, and small hosts share tasks.
+
+    A host has a task for each ``urls_a_task`` addresses, ``tasks_a_host`` at most, so that
+    times ``at_once`` requests are open to it at any time, however many executors there are;
+    a hot host takes longer and is never asked more. Tasks stream, so their size is no matter.
+    """
+    n = tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    host = F.coalesce(canonical_host(F.regexp_extract("url", r"\A\s*[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)), F.lit(""))
+    each = urls.select("url").distinct().withColumn("_host", host)
+    sizes = each.groupBy("_host").agg(F.least(F.ceil(F.count(F.lit(1)) / urls_a_task), F.lit(tasks_a_host)).cast("int").alias("_tasks")).filter("_tasks > 1").withColumnRenamed("_host", "_h")
+    parted = each.join(sizes, F.col("_host") == F.col("_h"), "left").withColumn("_part", F.pmod(F.xxhash64("url"), F.coalesce("_tasks", F.lit(1))))
+    return parted.repartition(n, "_host", "_part").select("url")
+
+
+def scrape(urls: DataFrame, config: ScrapeConfig | None = None, *, transport: Transport = http_transport, resolve: Resolver | None = None, renderer: Renderer | None = None, at_once: int | None = None) -> DataFrame:
     """One row an URL with the columns SCRAPED; never raises for a page."""
+    config = config or ScrapeConfig.load()
     checked = urls.select("url").withColumn("_why", fetch_error("url"))
-    refused = checked.filter("_why IS NOT NULL").select("url", F.lit(False).alias("success"), *[F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("content", "string"), ("method", "string"), ("truncated", "boolean"), ("content_length", "int"))], F.col("_why").alias("error"), error_category("_why").alias("category"))
-    return scraped(fetch_pages(checked.filter("_why IS NULL").select("url"), config, transport=transport, resolve=resolve, at_once=at_once), config, renderer).unionByName(refused)
+    fetched = fetch_pages(checked.filter("_why IS NULL").select("url"), config, transport=transport, resolve=resolve, at_once=at_once)
+    return scraped(fetched, config, renderer).unionByName(_refused(checked.filter("_why IS NOT NULL"), "_why"))
+
+
+def _refused(urls: DataFrame, why: str) -> DataFrame:
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("content", "string"), ("method", "string"), ("truncated", "boolean"), ("content_length", "int"))]
+    return urls.select("url", F.lit(False).alias("success"), *none, F.col(why).alias("error"), error_category(why).alias("category"))
+
+
+def fetcher(config: ScrapeConfig | None = None, *, tasks: int | None = None, urls_a_task: int = URLS_A_TASK, tasks_a_host: int = TASKS_A_HOST, transport: Transport = http_transport, resolve: Resolver | None = None, renderer: Renderer | None = None, at_once: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A stage that scrapes addresses (url), dealt by host."""
+    return lambda urls: scrape(deal_by_host(urls, tasks=tasks, urls_a_task=urls_a_task, tasks_a_host=tasks_a_host), config, transport=transport, resolve=resolve, renderer=renderer, at_once=at_once)
+
+
+def recorded_pages(fetched: DataFrame, config: ScrapeConfig | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A stage that looks pages up in a table (url, status, status_text, content_type, body, error), with the checks of a fetch."""
+
+    def stage(urls: DataFrame) -> DataFrame:
+        checked = urls.select(F.col("url").alias("_u")).distinct().withColumn("_why", fetch_error("_u"))
+        both = checked.filter("_why IS NULL").join(fetched, F.col("_u") == F.col("url"), "left")
+        missing = F.coalesce("error", F.when(F.col("url").isNull(), F.lit("Network error: no recorded page")))
+        found = both.select(F.col("_u").alias("url"), "status", "status_text", "content_type", "body", missing.alias("error"))
+        return scraped(found, config or ScrapeConfig.load()).unionByName(_refused(checked.filter("_why IS NOT NULL").withColumnRenamed("_u", "url"), "_why"))
+
+    return stage
 
 
 assert MIN_READABLE_CHARS == ScrapeConfig.min_content_chars

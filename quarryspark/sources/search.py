@@ -1,6 +1,11 @@
-"""The search source: a Python data source that asks metasearch nodes for queries.
+"""The search source: metasearch nodes, asked for a table of queries or through a Python data source.
 
-``spark.dataSource.register(SearchSource)``, then
+``ask_nodes(queries, ...)`` takes queries (query_id, query) of any number, dealt to tasks that
+each walk their own, and gives (query_id, query, status, body, content_type, retry_after,
+node, error) for ``parse_answers``; ``recorded_answers`` stands in for it with a table. A
+task keeps its pool of nodes, so the node that answered one query is asked first for the next.
+
+For short lists there is a data source: ``spark.dataSource.register(SearchSource)``, then
 ``spark.read.format("metasearch").option("queries", json list).load()`` gives
 (query_id, status, body, content_type, retry_after_ms, node, error) for ``parse_answers``.
 Each query is one partition; retries and failover happen inside its reader. Recorded
@@ -18,10 +23,14 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarryspark.functions.failures import CorpusError, FetchTimeout, HttpError, NetworkError, ValidationError, retryable, seconds_to_wait
 from quarryspark.plans.config import NodePool, SearchConfig
+from quarryspark.runtime import extended
 
 MAX_QUERY_CHARS = 500
 MAX_RETRY_AFTER_MS = 10_000
@@ -99,6 +108,54 @@ def search(query: str, pool: NodePool, config: SearchConfig, get: Callable[[str,
             raise NetworkError("all search nodes failed: " + "; ".join(said))
 
 
+ANSWER = "status int, body string, content_type string, retry_after string, node string, error string"
+
+
+def ask_nodes(config: SearchConfig | None = None, *, pool: NodePool | None = None, get: Callable[[str, float], Answer] = http_get, tasks: int | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame], DataFrame]:
+    """A stage that asks nodes for queries (query_id, query); a query's failure is a row's ``error``.
+
+    ``tasks``: into how many the queries are dealt, which is how many requests are open at
+    once at most; as many as there are shuffle partitions where it is not given. Settings
+    that are not given come from the driver's environment.
+    """
+    config, pool = config or SearchConfig.load(), pool or NodePool.load()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = NodePool(list(pool.nodes), pool.own)
+
+        def one(query: str) -> tuple:
+            try:
+                node, a = search(query, own, config, get, sleep)
+                return a.status, a.body, a.content_type, a.retry_after, node, None
+            except CorpusError as e:
+                return None, None, None, None, None, f"{e.category}: {e}"
+
+        for f in frames:
+            rows = [one(q) for q in f["query"]]
+            names = [x.split()[0] for x in ANSWER.split(", ")]
+            yield f.assign(**{n: pd.Series([r[k] for r in rows], index=f.index, dtype="Int32" if n == "status" else object) for k, n in enumerate(names)})
+
+    def stage(queries: DataFrame) -> DataFrame:
+        n = tasks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # dealt by query and id: repeated queries don't meet in one task
+        dealt = queries.select("query_id", "query").repartition(n, F.xxhash64("query_id", "query"))
+        return dealt.mapInPandas(run, extended(dealt.schema, ANSWER))
+
+    return stage
+
+
+def recorded_answers(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A stage that looks answers up in a table (query_id, status, body, content_type); queries without one fail."""
+    known = answers.select(F.col("query_id").alias("_q"), F.col("status").cast("int").alias("status"), "body", "content_type")
+
+    def stage(queries: DataFrame) -> DataFrame:
+        both = queries.join(known, F.col("query_id") == F.col("_q"), "left")
+        missing = F.when(F.col("_q").isNull(), F.lit("network: no recorded answer"))
+        return both.select("query_id", "query", "status", "body", "content_type", missing.alias("error"))
+
+    return stage
+
+
 class SearchSource(DataSource):
     """Options: queries (JSON list of strings), nodes (JSON list, optional), timeout_ms, max_retries, categories."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryspark.functions.failures import ConfigError, CorpusError, FetchTimeout, HttpError, NetworkError, ValidationError
 from quarryspark.functions.text import estimate_tokens
 from quarryspark.operators import batching, digest, hits
-from quarryspark.plans import config, model, synthesis, tools, web
+from quarryspark.plans import config, deadline, model, synthesis, tools, web
 from quarryspark.queries import EchoModel
 from quarryspark.sources import pages, search
 
@@ -202,7 +202,7 @@ def test_time_limit(spark):
     from quarryspark.functions.failures import PipelineTimeout
 
     slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
-    with pytest.raises(PipelineTimeout), web.time_limit(spark, 1.0):
+    with pytest.raises(PipelineTimeout), deadline.time_limit(spark, 1.0):
         spark.range(4).select(slow("id")).collect()
 
 
