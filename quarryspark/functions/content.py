@@ -2,8 +2,7 @@
 
 Routing is column expressions. What Spark has no expression for (pretty JSON, lenient XML,
 unusual charsets, decompression, readable text of HTML) runs in Arrow functions, a batch at
-a time. The readable text is our own definition: the largest <article>, else <main>, else
-<body>, without scripts, styles, navigation, headers, footers, asides and forms.
+a time. What the readable text of a page is, ``functions.readable`` says.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ import html
 import json
 import re
 import zlib
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryspark.functions.readable import readable
 from quarryspark.functions.text import WS, _col, js_trim
 
 #: fixed value: types that are never text
@@ -175,80 +174,6 @@ def decompress(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else inflate(bytes(b), e) for b, e in zip(bodies, encodings, strict=True)])
 
 
-class _Readable(HTMLParser):
-    _SKIPPED = frozenset("script style noscript template nav header footer aside form svg iframe".split())
-    _BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 table tr td th section article main pre blockquote figure figcaption dl dt dd hr".split())
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skipping, self.title, self.h1, self.into = [], [], [], None
-        self.open: list[list[str]] = []
-        self.found: dict[str, list[list[str]]] = {"article": [], "main": [], "body": []}
-        self.loose: list[str] = []
-
-    def _put(self, text: str) -> None:
-        self.loose.append(text)
-        for _, buffer in self.open:
-            buffer.append(text)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self._SKIPPED:
-            self.skipping.append(tag)
-        if self.skipping:
-            return
-        if tag in self.found:
-            buffer: list[str] = []
-            self.found[tag].append(buffer)
-            self.open.append((tag, buffer))
-        if tag in self._BLOCKS:
-            self._put("\n")
-        if tag in ("title", "h1"):
-            self.into = tag
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in self._BLOCKS and not self.skipping:
-            self._put("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.skipping:
-            while self.skipping.pop() != tag:
-                pass
-            return
-        if self.skipping:
-            return
-        if tag in ("title", "h1"):
-            self.into = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
-        if tag in self._BLOCKS:
-            self._put("\n")
-
-    def handle_data(self, data: str) -> None:
-        if self.skipping:
-            return
-        if self.into == "title":
-            self.title.append(data)
-            return
-        if self.into == "h1":
-            self.h1.append(data)
-        self._put(data)
-
-
-def readable(page: str | None) -> tuple[str, str]:
-    """(title, text) of a page."""
-    p = _Readable()
-    p.feed(page or "")
-    p.close()
-
-    def tidy(parts: list[str]) -> str:
-        return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
-
-    candidates = next((c for c in ([tidy(b) for b in p.found[k]] for k in ("article", "main", "body")) if any(c)), [tidy(p.loose)])
-    return " ".join("".join(p.title or p.h1).split()), max(candidates, key=len)
-
-
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("error", T.StringType())]))
 def extract_readable(pages: pd.Series) -> pd.DataFrame:
     """title, text, method, error; under 200 characters the extraction counts as failed."""
