@@ -6,14 +6,19 @@ has one of those that both hold among its first |x| - ceil(2t / (1 + t) |x|) + 1
 larger one has it among its first |y| - ceil(t |y|) + 1 (Bayardo et al. 2007, Xiao et al.
 2008). Elements are ordered by rising document frequency, so very common ones are hardly
 ever in a prefix, least of all in the smaller set's. A shared element also bounds what can
-follow it in both sets (position filter). Elements in very many prefixes are dealt to
-several tasks: the larger sets of such an element by a hash, the smaller ones to all of
-these. Candidates are verified on the full sets.
+follow it in both sets (position filter).
+
+Sets of one element meet by length only: lengths are parted in classes whose bounds grow by
+1 / t, and a set meets those of its own class and of the one above, as others cannot be
+similar. Classes with very many sets are dealt to several tasks: the larger sets by a hash,
+the smaller ones to all of these. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
 
 import logging
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +33,7 @@ MANY_ITEMS = 50
 
 
 def warn_high_pairwise_cost(items: int, candidates: int) -> bool:
-    """Log that many items are compared, with the pairs that the filters left of all; True if it did."""
+    """Log that many items are compared, with the pairs of all that meet in the join; True if it did."""
     if items > MANY_ITEMS:
         log.warning("high pairwise cost: items=%d max=%d pairs=%d candidates=%d", items, MANY_ITEMS, items * (items - 1) // 2, candidates)
     return items > MANY_ITEMS
@@ -42,8 +47,11 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.try_divide(common, union))
 
 
-def similar_pairs(sets: DataFrame, threshold: float, *, id_col: str = "item_id", set_col: str = "fingerprints") -> DataFrame:
-    """(src, dst, similarity) of all pairs with Jaccard >= threshold > 0, src < dst."""
+def similar_pairs(sets: DataFrame, threshold: float, *, id_col: str = "item_id", set_col: str = "fingerprints", warn: Callable[[int], object] | None = None) -> DataFrame:
+    """(src, dst, similarity) of all pairs with Jaccard >= threshold > 0, src < dst.
+
+    ``warn`` is called, before any pair is made, with the number of pairs that will meet.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     base = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).filter(F.size("s") > 0)
@@ -55,14 +63,26 @@ def similar_pairs(sets: DataFrame, threshold: float, *, id_col: str = "item_id",
     length = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9).cast("int") + 1
     placed = F.filter(F.transform(F.slice("o", F.lit(1), length(threshold)), lambda x, at: F.struct(x["df"].alias("df"), x["e"].alias("e"), at.alias("at"))), lambda x: x["df"] > 1)
     prefix = ordered.select("id", "n", length(both).alias("short"), F.explode(placed).alias("x")).select("id", "n", "short", "x.*")
-    prefix = materialize(prefix.withColumn("tasks", F.ceil(F.col("df") / SPLIT).cast("int")))
-    small = prefix.filter("at < short").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("a")
-    large = prefix.withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).alias("b")
+    # lengths of one class differ by less than 1 / threshold
+    growth = math.log(1 / threshold) if threshold < 1 else None
+    level = F.col("n") if growth is None else F.floor(F.log(F.col("n").cast("double")) / growth + 1e-9).cast("int")
+    prefix = materialize(prefix.withColumn("level", level))
+    small = prefix.filter("at < short")
+    above = 0 if growth is None else 1
+    met = small.select("id", "n", "e", "at", F.explode(F.sequence("level", F.col("level") + above)).alias("level"))
+    large = prefix.groupBy(F.col("e").alias("_e"), F.col("level").alias("_level")).agg(F.count(F.lit(1)).alias("many"))
+    if warn is not None:
+        few = met.groupBy("e", "level").agg(F.count(F.lit(1)).alias("few"))
+        warn(few.join(large, (F.col("e") == F.col("_e")) & (F.col("level") == F.col("_level"))).agg(F.coalesce(F.sum(F.col("few") * F.col("many")), F.lit(0))).first()[0])
+    split = large.filter(F.col("many") > SPLIT).select("_e", "_level", F.ceil(F.col("many") / SPLIT).cast("int").alias("tasks"))
+    dealt = lambda d: d.join(split, (F.col("e") == F.col("_e")) & (F.col("level") == F.col("_level")), "left").withColumn("tasks", F.coalesce("tasks", F.lit(1))).drop("_e", "_level")
+    small = dealt(met).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("a")
+    large = dealt(prefix.select("id", "n", "e", "at", "level")).withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).alias("b")
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1 + F.least("a.at", "b.at")
     near = smaller & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed)
-    pairs = small.join(large, (F.col("a.e") == F.col("b.e")) & (F.col("a.task") == F.col("b.task")) & near)
+    pairs = small.join(large, (F.col("a.e") == F.col("b.e")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.task") == F.col("b.task")) & near)
     candidates = pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
     left, right = base.select(F.col("id").alias("src"), F.col("s").alias("_x")), base.select(F.col("id").alias("dst"), F.col("s").alias("_y"))
     verified = candidates.join(left, "src").join(right, "dst").select("src", "dst", jaccard("_x", "_y").alias("similarity"))

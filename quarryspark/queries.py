@@ -17,6 +17,7 @@ from quarryspark.functions import failures as X
 from quarryspark.functions import text as T
 from quarryspark.functions import urls as U
 from quarryspark.operators import batching, dedup, digest, hits, simjoin
+from quarryspark.runtime import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +35,8 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def _projection(name: str, table: str, columns: dict[str, Column | Callable[[], Column]], sql_columns: dict[str, str]) -> None:
@@ -311,7 +313,7 @@ def _shown(d: DataFrame) -> DataFrame:
 
 
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.prepare_items(content_items(spark, sf_dir)).filter("state = 'ok'")
+    return materialize(dedup.prepare_items(content_items(spark, sf_dir)).filter("state = 'ok'").drop("state"))
 
 
 @_query("exact_url_dedup", f"WITH {_S_ITEMS}, {_S_START}, {_s_stage('w1', 'w0', 'normalized_url')} {_S_SHOW} w1")
@@ -326,15 +328,14 @@ def exact_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("jaccard_pairs", f"WITH {_S_STAGES}, {_s_pairs('w2', 0.3)} SELECT src, dst, similarity FROM pairs")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simjoin.similar_pairs(dedup.dedup_by_content(dedup.dedup_by_url(_good(spark, sf_dir))), 0.3)
+    return simjoin.similar_pairs(materialize(dedup.dedup_by_content(dedup.dedup_by_url(_good(spark, sf_dir))).select("item_id", "fingerprints")), 0.3)
 
 
 @_query("near_dup_merge", f"WITH RECURSIVE {_S_STAGES}, {_S_NEAR} SELECT item_id, component FROM comp")
 def near_dup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryspark.operators.components import connected_components
-    from quarryspark.runtime import materialize
 
-    items = materialize(dedup.dedup_by_content(dedup.dedup_by_url(_good(spark, sf_dir))))
+    items = materialize(dedup.dedup_by_content(dedup.dedup_by_url(_good(spark, sf_dir))).select("item_id", "fingerprints"))
     found = connected_components(simjoin.similar_pairs(items, 0.5)).select(F.col("id").alias("_id"), "component")
     return items.select("item_id").join(found, F.col("item_id") == F.col("_id"), "left").select("item_id", F.coalesce("component", "item_id").alias("component"))
 

@@ -71,6 +71,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at least.
+
+    A small file of one row group is one partition, and what is computed of its rows one
+    task; larger tables have more partitions than cores and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system; workers are reused by later stages."""
     import ctypes

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarryspark.operators import dedup
+from quarryspark.operators import dedup, simjoin
 from quarryspark.operators.components import connected_components
 from quarryspark.operators.simjoin import jaccard, similar_pairs
 
@@ -99,3 +99,39 @@ def test_no_python_in_plans(spark):
     # hashing unit by unit is what runs in Arrow, once a row
     plan = QUERIES["fingerprint_set"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_lineage_rows_and_bounded_lists(spark):
+    n = 20_000
+    d = spark.range(n).select(F.col("id").alias("item_id"), F.lit("t").alias("title"), F.format_string("https://u%05d/", F.col("id") % 19_999).alias("url"), F.lit("").alias("snippet"), (F.col("id") % 7).cast("double").alias("score"), F.lit("c").alias("content"), F.lit("https://same/").alias("normalized_url"), F.array(F.col("id") % 3).alias("fingerprints"))
+    best = dedup.dedup_by_content(dedup.dedup_by_url(d))
+    rows = dedup.lineage_of(best)
+    assert rows.count() == n - 1 and {r.winner_id for r in rows.select("winner_id").distinct().collect()} == {6}
+    few, whole = dedup.finish(best, most_sources=3).first(), dedup.finish(best).first()
+    assert few.merged_sources == ["https://u00000/", "https://u00001/", "https://u00002/"] == whole.merged_sources[:3]
+    assert len(whole.merged_sources) == 19_998 and whole.merged_sources == sorted(whole.merged_sources) and whole.url not in whole.merged_sources
+    assert dedup.merged_sources(best, 3).first().n_merged == n - 1 and few.first_pos == 0
+
+
+def test_lineage_goes_through_all_stages(spark):
+    sets = [{1}, {1}, {1, 2, 3}, {1, 2, 3}, {1, 2, 3, 4}, {9}]
+    d = _items(spark, sets, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]).withColumn("normalized_url", F.when(F.col("item_id").isin(2, 5), F.lit("https://same/")).otherwise(F.col("url")))
+    best = dedup.dedup_by_similarity(dedup.dedup_by_content(dedup.dedup_by_url(d)), 0.7)
+    assert {(r.item_id, r.winner_id) for r in best.lineage.collect()} == {(0, 1), (1, 1), (2, 5), (3, 4), (4, 4), (5, 5)}
+    assert {(r.item_id, tuple(r.merged_sources), r.first_pos) for r in dedup.finish(best).collect()} == {(1, ("https://u0.com/",), 0), (4, ("https://u3.com/",), 3), (5, ("https://u2.com/",), 2)}
+    assert dedup.finish(dedup.dedup_by_url(d.limit(0))).count() == 0
+
+
+def test_pairs_of_hot_elements_meet_by_length_and_are_announced(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "SPLIT", 7)
+    r = random.Random(9)
+    sets = [{0} | set(r.sample(range(1, 4 + k), k % 30)) for k in range(120)]
+    d = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "item_id long, fingerprints array<long>")
+    for t in (0.1, 0.4, 2 / 3, 1.0):
+        told = []
+        got = {(x.src, x.dst): x.similarity for x in similar_pairs(d, t, warn=told.append).collect()}
+        assert got == _brute(sets, t) and len(told) == 1 and told[0] >= len(got)
+    met = []
+    far = spark.createDataFrame([(k, list(range(2**k))) for k in range(9)] + [(9, list(range(256)))], "item_id long, fingerprints array<long>")
+    assert [(x.src, x.dst) for x in similar_pairs(far, 0.9, warn=met.append).collect()] == [(8, 9)]
+    assert simjoin.warn_high_pairwise_cost(51, 3) and not simjoin.warn_high_pairwise_cost(50, 3)
