@@ -249,9 +249,9 @@ def main_text(page: str | None, weights: PageWeights) -> str:
 
 
 def learn_weights(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id", sample_rows: int = 4000) -> PageWeights:
-    """From the labelled pages among about ``sample_rows`` pages, chosen by a hash of the id."""
+    """From the labelled pages among about ``sample_rows`` pages, chosen by a hash of id and page, so that null and repeated ids make no difference."""
     n = pages.count()
-    spot = F.pmod(F.xxhash64(F.lit("pages"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    spot = F.pmod(F.xxhash64(F.lit("pages"), F.col(id_col).cast("string"), F.col(html_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = pages.filter(spot < min(1.0, sample_rows / max(1, n))).select(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

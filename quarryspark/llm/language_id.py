@@ -107,15 +107,20 @@ def fit_languages(x: np.ndarray, langs: list[str], dims: int, steps: int = 250,
 
 
 def train_language_id(docs: DataFrame, trainable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dims: int = 8192, sample_rows: int = 4000) -> LanguageModel | None:
-    """Fit on at most about ``sample_rows`` rows with a language for which ``trainable`` holds; None if there are none."""
+    """Fit on at most about ``sample_rows`` rows with a language for which ``trainable`` holds; None if there are none.
+
+    Rows are drawn by a hash of id and text, so null and repeated ids make no difference; of
+    rows that agree in both, however many, one is drawn or none.
+    """
     rows = docs.filter(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    drawn = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit("language"), F.col(id_col).cast("string"), F.col(text_col)).alias("spot"))
+    # distinct rows as a sketch tells them, a few percent off
+    counts = {r[0]: max(1, r[1]) for r in drawn.groupBy("lang").agg(F.approx_count_distinct("spot", 0.03)).collect()}
     if not counts:
         return None
     each = sample_rows / len(counts)
-    spot = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))]), F.col(lang_col))
-    chosen = rows.filter(spot < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))]), F.col("lang"))
+    chosen = drawn.filter(F.pmod("spot", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).groupBy("spot", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -596,3 +596,33 @@ def test_gaussian_density():
     c = np.cov(own.T, bias=True)
     want = np.log(0.5) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z - own.mean(0), np.linalg.inv(c), z - own.mean(0))
     assert np.allclose(m.classes[1].density(z), want)
+
+
+# --- ids that tell nothing apart, words that no blank parts
+
+
+def test_samples_do_not_hang_on_ids(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["der und die", "the of and", "les des une"][k % 3].split()) for _ in range(30)) for k in range(600)]
+    rows = [(None if k % 2 else 7, t, ["de", "en", "fr"][k % 3], "s", len(t)) for k, t in enumerate(texts)]
+    for same in (rows, [(None, *x[1:]) for x in rows], [(7, *x[1:]) for x in rows], rows + [rows[0]] * 900):
+        model = language_id.train_language_id(spark.createDataFrame(same, DOCS), F.lit(True), sample_rows=60)
+        assert model is not None and sorted(model.languages) == ["de", "en", "fr"]
+        got = language_id.identify_language(spark.createDataFrame(same[:90], DOCS), model).collect()
+        assert sum(x.lang_pred == x.lang for x in got) >= 88
+    pages = [(None, f"<body><nav>menu {k}</nav><article><p>some text number {k} of the page</p></article></body>") for k in range(300)]
+    weights = html_text.learn_weights(spark.createDataFrame(pages, "page_id long, html string"), sample_rows=30)
+    assert weights != html_text.learn_weights(spark.createDataFrame([], "page_id long, html string"), sample_rows=30)
+
+
+def test_windows_are_counted_by_words(spark, tmp_path):
+    from quarryspark.runtime import shared_folder
+
+    r = random.Random(4)
+    words_ = [[f"w{r.randrange(900)}" for _ in range(r.randrange(0, 300))] for _ in range(40)]
+    right = sum(max(0, len(w) - 34) for w in words_)
+    for gap in (" ", "\t", "\r", "\n\n ", "\x0b\x0c"):
+        d = documents(spark, [gap + gap.join(w) + gap for w in words_])
+        units = substring_dedup.write_units(d.select("doc_id", "text"), shared_folder(spark, "test"), "text", 35, 4_000_000, 4_000_000)
+        assert sum(u.windows for u in units.collect()) == right
+    assert [substring_dedup.count_words(t) for t in (b"", b" ", b"a", b"\ta  b\n", "ü\u2028x".encode())] == [0, 0, 1, 2, 1]
