@@ -1,12 +1,13 @@
 """Digests: parsing model answers, reconciling sources, formatting, and extractive stand-ins.
 
 Parsers are column expressions over one answer. Stand-ins work on an array of a query's
-items, struct(pos, title, url, score, content), as ``items_of`` collects them.
+items, struct(pos, title, url, score, content), as ``items_of`` collects them, or on what
+``shown_items`` leaves of them, which is no more than the stand-in shows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryspark.functions.text import WS, _col, clean_title, first_sentence, js_trim, key_point_sentence, trim_end, truncate_at_word
@@ -172,6 +173,26 @@ def items_of(items: DataFrame, key: str, pos: str) -> DataFrame:
     return items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), "title", "url", F.col("score").cast("double").alias("score"), "content"))).alias("items"))
 
 
+def shown_items(items: DataFrame, key: str, pos: str, most: int = EXCERPT_CHARS, *, titled: bool = False) -> DataFrame:
+    """``items_of`` for a stand-in of at most ``most`` characters, with entries titled or not: struct(pos, title, url, score, content, point).
+
+    Items are ranked, and the lengths of those before each summed up, by a window over rows;
+    contents beyond the budget are dropped and others cut to it before anything is gathered,
+    and key points are taken from the rows. So what is held of a query is a budget, its
+    titles and addresses, however long its contents are.
+    """
+    order = Window.partitionBy(key).orderBy(-F.col("score").cast("double"), F.col(pos).cast("long"))
+    text = F.col("content") if titled else js_trim("content")
+    size = F.length(text) + (F.length("title") + F.length("url") + 5 if titled else F.lit(0))
+    used = F.sum(F.when((size > 0) | F.lit(titled), size + 2).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sentence = (key_point_sentence if titled else first_sentence)("content")
+    ranked = items.select(
+        key, F.col(pos).cast("long").alias("pos"), "title", "url", F.col("score").cast("double").alias("score"),
+        F.when(F.coalesce(used, F.lit(0)) < most, F.left(text, F.lit(most + 1))).otherwise(F.lit("")).alias("content"), F.when(F.row_number().over(order) <= EXCERPT_POINTS, sentence).otherwise(F.lit("")).alias("point"),
+    )
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "url", "score", "content", "point"))).alias("items"))
+
+
 def _by_score(items: Column) -> Column:
     return F.transform(F.array_sort(F.transform(items, lambda x: F.struct((-x["score"]).alias("by"), x["pos"].alias("pos"), x.alias("item")))), lambda x: x["item"])
 
@@ -197,12 +218,12 @@ def _sources(items: Column) -> Column:
     return F.transform(items, lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title")))
 
 
-def _points(items: Column, sentence) -> Column:
-    return F.filter(F.transform(F.slice(_by_score(items), 1, EXCERPT_POINTS), lambda x: sentence(x["content"])), lambda s: s != "")
+def _points(items: Column, sentence, shown: bool) -> Column:
+    return F.filter(F.transform(F.slice(_by_score(items), 1, EXCERPT_POINTS), lambda x: x["point"] if shown else sentence(x["content"])), lambda s: s != "")
 
 
-def excerpt_digest(items: Column | str) -> Column:
-    """struct(answer, key_points, sources) without a model: at most 2000 characters, whole words where that costs less than half."""
+def excerpt_digest(items: Column | str, *, shown: bool = False) -> Column:
+    """struct(answer, key_points, sources) without a model: at most 2000 characters, whole words where that costs less than half. ``shown``: the items are those of ``shown_items``."""
     a = _col(items)
 
     def cut(text: Column, room: Column) -> Column:
@@ -210,16 +231,16 @@ def excerpt_digest(items: Column | str) -> Column:
         space = F.length(head) - F.instr(F.reverse(head), " ")
         return F.when((F.instr(head, " ") > 0) & (space > room * 0.5), F.left(head, space)).otherwise(head)
 
-    answer = _concatenated(a, EXCERPT_NOTICE, EXCERPT_CHARS, lambda x: js_trim(x["content"]), cut, True)
+    answer = _concatenated(a, EXCERPT_NOTICE, EXCERPT_CHARS, lambda x: x["content"] if shown else js_trim(x["content"]), cut, True)
     none = F.size(a) == 0
-    return F.struct(F.when(none, F.lit(EXCERPT_NOTICE + " No content available.")).otherwise(answer).alias("answer"), _points(a, first_sentence).alias("key_points"), _sources(a).alias("sources"))
+    return F.struct(F.when(none, F.lit(EXCERPT_NOTICE + " No content available.")).otherwise(answer).alias("answer"), _points(a, first_sentence, shown).alias("key_points"), _sources(a).alias("sources"))
 
 
-def pipeline_excerpts(items: Column | str, most: int = 8000) -> Column:
+def pipeline_excerpts(items: Column | str, most: int = 8000, *, shown: bool = False) -> Column:
     """As above with titled entries, cut hard with an ellipsis."""
     a = _col(items)
     answer = _concatenated(a, PIPELINE_NOTICE, most, lambda x: F.concat(F.lit("["), x["title"], F.lit("]("), x["url"], F.lit(")\n"), x["content"]), lambda text, room: F.concat(trim_end(F.left(text, room)), F.lit("…")), False)
-    return F.struct(F.when(F.size(a) == 0, F.lit(PIPELINE_NOTICE)).otherwise(answer).alias("answer"), _points(a, key_point_sentence).alias("key_points"), _sources(a).alias("sources"))
+    return F.struct(F.when(F.size(a) == 0, F.lit(PIPELINE_NOTICE)).otherwise(answer).alias("answer"), _points(a, key_point_sentence, shown).alias("key_points"), _sources(a).alias("sources"))
 
 
 def page_excerpt(url: Column | str, title: Column | str, content: Column | str, most: int = 8000) -> Column:

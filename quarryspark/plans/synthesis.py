@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarryspark.functions.text import estimate_tokens, is_blank
 from quarryspark.operators.batching import SYSTEM_PROMPT, assign_batches, item_segment, merge_prompt, prompt_overhead, single_prompt, user_prompt
-from quarryspark.operators.digest import SOURCES, batch_as_item, excerpt_digest, first_by_url, items_of, parse_digest, reconcile_sources
+from quarryspark.operators.digest import SOURCES, batch_as_item, excerpt_digest, first_by_url, parse_digest, reconcile_sources, shown_items
 from quarryspark.plans.config import ModelConfig
 from quarryspark.plans.model import Model, answer_prompts
 from quarryspark.runtime import materialize
@@ -38,13 +38,13 @@ def synthesize(items: DataFrame, make_model: Callable[[], Model], config: ModelC
     answered = materialize(answer_prompts(asked, make_model, config))
     digests = answered.select(key, query, "batch_no", _digest(F.col("answer"), F.col("error"), F.col("items")).alias("d"))
     every = materialize(digests.groupBy(key, query).agg(F.array_sort(F.collect_list(F.struct("batch_no", F.col("d.answer").alias("answer"), F.col("d.key_points").alias("key_points"), F.col("d.sources").alias("sources"), F.col("d.degraded").alias("degraded")))).alias("parts")))
-    whole = items_of(items, key, rank)
+    whole = shown_items(items, key, rank)
     done = every.filter(F.size("parts") == 1).select(key, query, F.col("parts")[0].alias("p"), F.lit(1).alias("batches"))
     many = merge_digests(every.filter(F.size("parts") > 1), make_model, config, key=key, query=query, focus=focus)
     merged = done.select(key, query, F.struct("p.answer", "p.key_points", "p.sources", "p.degraded").alias("digest"), "batches").unionByName(many)
     # one failed batch fails the merge: excerpts of all items then
     final = merged.join(whole.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"))
-    fallback = excerpt_digest("items")
+    fallback = excerpt_digest("items", shown=True)
     shown = F.when(F.col("digest.degraded"), F.struct(fallback["answer"].alias("answer"), fallback["key_points"].alias("key_points"), fallback["sources"].alias("sources"), F.lit(True).alias("degraded"))).otherwise(F.col("digest"))
     return final.select(key, query, shown.alias("digest"), F.when(F.col("batches") == 1, "single").otherwise("batch").alias("route"), "batches")
 

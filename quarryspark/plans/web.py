@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarryspark.functions.failures import TIMED_OUT, PipelineTimeout, fetch_error_message, tool_error, tool_success
 from quarryspark.functions.text import is_blank
 from quarryspark.operators.dedup import deduplicate
-from quarryspark.operators.digest import format_digest, items_of, page_excerpt, pipeline_excerpts
+from quarryspark.operators.digest import format_digest, page_excerpt, pipeline_excerpts, shown_items
 from quarryspark.operators.hits import join_pages, parse_answers, top_hits
 from quarryspark.plans.config import DedupConfig, ModelConfig, PipelineConfig
 from quarryspark.plans.deadline import rows_in_time, within
@@ -58,7 +58,7 @@ def excerpts_after_timeout(items: DataFrame, *, key: str = "query_id", rank: str
     """(key, digest) of what was fetched before the time ran out; PipelineTimeout where that is nothing."""
     if items.isEmpty():
         raise PipelineTimeout("timed out before any page was fetched")
-    return items_of(items, key, rank).select(key, pipeline_excerpts("items", most).alias("digest"))
+    return shown_items(items, key, rank, most, titled=True).select(key, pipeline_excerpts("items", most, shown=True).alias("digest"))
 
 
 #: fixed values: why a search has no digest

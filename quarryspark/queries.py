@@ -491,7 +491,7 @@ SELECT query_id, '{digest.EXCERPT_NOTICE}' || chr(10) || chr(10) || (SELECT stri
 
 @_query("degraded_answer", _S_DEGRADED)
 def degraded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = digest.items_of(_ranked(spark, sf_dir), "query_id", "item_id").withColumn("d", digest.excerpt_digest("items"))
+    listed = digest.shown_items(_ranked(spark, sf_dir), "query_id", "item_id").withColumn("d", digest.excerpt_digest("items", shown=True))
     return listed.select("query_id", "d.answer", "d.key_points")
 
 
@@ -512,7 +512,7 @@ SELECT query_id, {_s_lines(digest.PIPELINE_NOTICE)} || (SELECT arg_max(said, rn)
 
 @_query("pipeline_excerpts", _S_PIPELINE)
 def pipeline_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = digest.items_of(_ranked(spark, sf_dir), "query_id", "item_id").withColumn("d", digest.pipeline_excerpts("items"))
+    listed = digest.shown_items(_ranked(spark, sf_dir), "query_id", "item_id", 8000, titled=True).withColumn("d", digest.pipeline_excerpts("items", shown=True))
     return listed.select("query_id", "d.answer", "d.key_points", F.size("d.sources").alias("n_sources"))
 
 

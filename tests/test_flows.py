@@ -230,3 +230,49 @@ def test_stream(spark, tmp_path):
 def test_prompts(spark):
     d = spark.range(1).select(batching.user_prompt(F.lit("q"), F.array(F.struct(F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit("c").alias("content"))), F.lit(" ")).alias("p"), batching.prompt_overhead(F.lit("q")).alias("o"), estimate_tokens(F.lit(batching.SYSTEM_PROMPT)).alias("s")).first()
     assert "focus" not in d.p and d.p.startswith("Query: q\n\n---\nSource: u") and d.o > d.s
+
+
+def test_shown_items_are_all_that_an_excerpt_needs(spark):
+    import random
+
+    r = random.Random(6)
+    words = ["word", "a.", "v1.2", " ", "\n", "  ", "Sentence.", "x" * 300, " "]
+    rows = [(q, k, f"t{k}", f"https://u{k}.com", r.choice([0.1, 0.5, 0.9, None]), "".join(r.choice(words) + r.choice(["", " "]) for _ in range(r.choice([0, 1, 3, 40, 400])))) for q in range(25) for k in range(r.randrange(1, 25))]
+    d = spark.createDataFrame(rows, "q int, pos int, title string, url string, score double, content string")
+    for most in (2000, 8000):
+        whole = digest.items_of(d, "q", "pos").select("q", digest.excerpt_digest("items").alias("e"), digest.pipeline_excerpts("items", most).alias("p"))
+        short = digest.shown_items(d, "q", "pos").select("q", digest.excerpt_digest("items", shown=True).alias("e"))
+        titled = digest.shown_items(d, "q", "pos", most, titled=True).select("q", digest.pipeline_excerpts("items", most, shown=True).alias("p"))
+        want = {x.q: x for x in whole.collect()}
+        assert {x.q: x.e for x in short.collect()} == {q: x.e for q, x in want.items()}
+        assert {x.q: x.p for x in titled.collect()} == {q: x.p for q, x in want.items()}
+    held = digest.shown_items(spark.createDataFrame([("q", k, "t", "u", float(k), "long text. " * 10_000) for k in range(40)], "q string, pos int, title string, url string, score double, content string"), "q", "pos").first()
+    assert sum(len(i.content) for i in held["items"]) <= 2001 and len(held["items"]) == 40
+
+
+class Counting:
+    """Answers of the same length, whatever it is asked; notes each prompt's size below the folder."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, system, user, *, temperature, max_tokens, timeout_s):
+        import uuid
+
+        open(f"{self.folder}/{len(user)}-{'digest' if '--- Digest' in user else 'batch' if 'digest://' in user else 'first'}-{uuid.uuid4().hex}", "w").close()
+        return "## Answer\n" + "An answer. " * 12 + "\n## Key Points\n- p\n## Sources\n"
+
+
+def test_merging_takes_rounds_and_no_prompt_is_over_the_limit(spark, tmp_path):
+    import functools
+    import os
+
+    rows = [("a", "query a", k, f"t{k}", f"https://u{k}.com/", 1.0 - k / 100, "some words here. " * 30) for k in range(40)]
+    items = spark.createDataFrame(rows, "query_id string, query string, rank int, title string, url string, score double, content string")
+    c = config.ModelConfig(context_tokens=700)
+    got = synthesis.synthesize(items, functools.partial(Counting, str(tmp_path)), c).first()
+    sent = [x.split("-")[:2] for x in os.listdir(tmp_path)]
+    assert got.route == "batch" and not got.digest.degraded and len(got.digest.sources) == 40
+    rounds = {kind: sum(k == kind for _, k in sent) for kind in ("first", "batch", "digest")}
+    assert rounds["first"] == got.batches > 5 and rounds["batch"] >= 2 and rounds["digest"] == 1
+    assert max(int(n) for n, _ in sent) <= c.context_tokens * c.safe_ratio * 4
