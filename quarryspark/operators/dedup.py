@@ -26,7 +26,7 @@ from quarryspark.functions.text import MIN_PARAGRAPH_CHARS, fingerprint_set, is_
 from quarryspark.functions.urls import normalize_url
 from quarryspark.operators.components import connected_components
 from quarryspark.operators.simjoin import similar_pairs, warn_high_pairwise_cost
-from quarryspark.runtime import materialize, spread
+from quarryspark.runtime import materialize, materialize_counted, spread
 
 log = logging.getLogger(__name__)
 #: what the stages leave aside
@@ -95,12 +95,11 @@ def dedup_by_similarity(items: DataFrame | Deduped, threshold: float = 0.85, *,
     now = _started(items)
     if threshold <= 0:
         return keep_best(now, [F.lit(0)], scope)
-    seen = Observation()
-    sets = materialize(now.items.observe(seen, F.count(F.lit(1)).alias("items")))
+    sets, n = materialize_counted(now.items)
     now = Deduped(sets, now.lineage, now.urls)
     if scope is not None:
         sets = sets.withColumn("fingerprints", F.transform("fingerprints", lambda f: F.xxhash64(F.col(scope), f)))
-    pairs = materialize(similar_pairs(sets, threshold, warn=lambda met: warn_high_pairwise_cost(seen.get["items"], met)))
+    pairs = materialize(similar_pairs(sets, threshold, warn=lambda met: warn_high_pairwise_cost(n, met)))
     component = connected_components(pairs).select(F.col("id").alias("_id"), "component")
     labelled = now.items.join(component, F.col("item_id") == F.col("_id"), "left").withColumn("_group", F.coalesce("component", "item_id")).drop("_id", "component")
     best = keep_best(Deduped(labelled, now.lineage, now.urls), [F.col("_group")], scope)
@@ -147,13 +146,10 @@ def deduplicate(items: DataFrame, *, threshold: float = 0.85, min_chars: int = M
 def deduplicate_with_stats(items: DataFrame, *, threshold: float = 0.85, min_chars: int = MIN_PARAGRAPH_CHARS, extra_tracking: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(result, one row of counts by stage); the counts are observed as the stages run, without jobs of their own."""
     seen, counts = Observation(), {}
-    one = F.count(F.lit(1))
-    prepared = materialize(prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).drop(*HEAVY).observe(seen, one.alias("input"), F.count_if(F.col("state") == "empty").alias("empty"), F.count_if(F.col("state") == "bad_url").alias("bad")))
+    prepared = materialize(prepare_items(items, min_chars=min_chars, extra_tracking=extra_tracking).drop(*HEAVY).observe(seen, F.count(F.lit(1)).alias("input"), F.count_if(F.col("state") == "empty").alias("empty"), F.count_if(F.col("state") == "bad_url").alias("bad")))
 
     def stage(name: str, after: Deduped) -> Deduped:
-        o = Observation()
-        kept = materialize(after.items.observe(o, one.alias("n")))
-        counts[name] = o.get["n"]
+        kept, counts[name] = materialize_counted(after.items)
         log.info("stage=%s out=%d", name, counts[name])
         return Deduped(kept, after.lineage, after.urls)
 

@@ -23,7 +23,7 @@ from quarryspark.plans.config import DedupConfig, ModelConfig, PipelineConfig
 from quarryspark.plans.deadline import rows_in_time, within
 from quarryspark.plans.model import Model
 from quarryspark.plans.synthesis import synthesize
-from quarryspark.runtime import materialize
+from quarryspark.runtime import materialize, materialize_counted
 
 log = logging.getLogger(__name__)
 #: queries to answers, addresses to scraped pages: what a flow gets its data from
@@ -43,8 +43,9 @@ def dedup_hits(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: st
 def dedup_or_all(items: DataFrame, config: DedupConfig = DedupConfig(), *, key: str = "query_id") -> DataFrame:
     """``dedup_hits``; where that fails or leaves nothing, all items as they are, each its own address."""
     try:
-        kept = materialize(dedup_hits(items, config, key=key))
-        if not kept.isEmpty():
+        kept, n = materialize_counted(dedup_hits(items, config, key=key))
+        log.info("stage=deduplicate items=%d", n)
+        if n:
             return kept
     except PySparkException as e:
         log.warning("deduplication failed, going on with all items: %s", e)
@@ -102,12 +103,11 @@ def web_search(
         usable = usable.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= max_results).drop("_nth")
     pages, late = rows_in_time(pages, deadline)
     items, failures = join_pages(usable, pages)
-    items = materialize(items)
-    log.info("stage=scrape items=%d ms=%d", items.count(), (time.monotonic() - began) * 1000)
+    items, n = materialize_counted(items)
+    log.info("stage=scrape items=%d ms=%d", n, (time.monotonic() - began) * 1000)
 
     def condensed() -> tuple[DataFrame, DataFrame]:
         kept = dedup_or_all(items, dedup)
-        log.info("stage=deduplicate items=%d ms=%d", kept.count(), (time.monotonic() - began) * 1000)
         asked = items.select(F.col("query_id").alias("_q"), "query").distinct()
         kept = kept.join(asked, F.col("query_id") == F.col("_q")).drop("_q").withColumnRenamed("first_pos", "rank")
         return kept, materialize(synthesize(kept, make_model, model, focus=_focus(focus)).select("query_id", "digest").withColumn("late", F.lit(False)))
@@ -166,13 +166,13 @@ def run_search(
     said = answers.withColumn("refused", refused)
     parsed = materialize(parse_answers(said.filter("refused IS NULL")))
     best = top_hits(parsed.filter("NOT malformed AND error IS NULL"), max_results)
-    hits = materialize(best.join(asked.select(F.col("query_id").alias("_q"), "query"), F.col("query_id") == F.col("_q")).drop("_q"))
-    log.info("stage=search hits=%d ms=%d", hits.count(), (time.monotonic() - began) * 1000)
+    hits, n = materialize_counted(best.join(asked.select(F.col("query_id").alias("_q"), "query"), F.col("query_id") == F.col("_q")).drop("_q"))
+    log.info("stage=search hits=%d ms=%d", n, (time.monotonic() - began) * 1000)
     left = None if deadline is None else max(0.0, deadline - time.monotonic())
     try:
         found = web_search(hits, fetch(hits.select("url").distinct()), make_model, model=model, dedup=dedup, config=config, max_results=max_results, focus=focus, seconds=left)
     except PipelineTimeout:
-        if hits.isEmpty():
+        if not n:
             raise
         nothing = hits.groupBy("query_id").agg(F.max("query").alias("query"))
         found = nothing.select("query_id", "query", F.lit("failed").alias("outcome"), F.lit(None).cast(_DIGEST).alias("digest"), F.lit(TIMED_OUT).alias("text"), *[F.lit(0).cast("long").alias(c) for c in ("scraped", "failed", "items")])
