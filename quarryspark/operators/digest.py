@@ -56,8 +56,10 @@ def _heading(line: Column) -> Column:
 
 
 def _word(line: Column) -> Column:
-    """As _opened, of a line that begins with a section's name, maybe in bold."""
-    return _let(F.ltrim(_unbold(F.ltrim(line, F.lit(" \t"))), F.lit(" \t")), lambda body: _opened(body, False))
+    """As _opened, of a line that begins with a section's name, maybe in bold; other lines are told by one look at their start."""
+    none = F.struct(F.lit("").alias("name"), F.lit("").alias("rest"))
+    named = _let(F.ltrim(_unbold(F.ltrim(line, F.lit(" \t"))), F.lit(" \t")), lambda body: _opened(body, False))
+    return F.when(line.rlike(r"(?i)\A[ \t]*\*{0,2}[ \t]*(?:answer|key[ \t]*point|source)"), named).otherwise(none)
 
 
 def _unbold(text: Column) -> Column:
