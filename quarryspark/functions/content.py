@@ -174,14 +174,33 @@ def decompress(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else inflate(bytes(b), e) for b, e in zip(bodies, encodings, strict=True)])
 
 
-@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("error", T.StringType())]))
-def extract_readable(pages: pd.Series) -> pd.DataFrame:
-    """title, text, method, error; under 200 characters the extraction counts as failed."""
-    rows = [readable(p) for p in pages]
+_READ = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def _extracted(pages: pd.Series, open_references: bool) -> pd.DataFrame:
+    rows = [readable(p, open_references) for p in pages]
     short = [len(t) < MIN_READABLE_CHARS for _, t in rows]
     return pd.DataFrame({"title": [a for a, _ in rows], "text": [t for _, t in rows], "method": ["readability-failed" if s else "readability" for s in short], "error": ["content too short" if s else None for s in short]})
 
 
+@F.pandas_udf(_READ)
+def _extract(pages: pd.Series) -> pd.DataFrame:
+    return _extracted(pages, True)
+
+
+@F.pandas_udf(_READ)
+def _extract_closed(pages: pd.Series) -> pd.DataFrame:
+    return _extracted(pages, False)
+
+
+def extract_readable(c: Column | str, open_references: bool = True) -> Column:
+    """struct(title, text, method, error); under 200 characters the extraction counts as failed.
+
+    ``open_references``: whether character references without a semicolon are decoded, as in browsers.
+    """
+    return (_extract if open_references else _extract_closed)(_col(c))
+
+
 def route_content(content_type: Column | str, body: Column | str) -> Column:
     """struct(kind, text, method, error); the text of HTML comes from ``extract_readable``."""
     b = _col(body)

@@ -58,3 +58,12 @@ def test_any_page_is_read(parts):
 def test_column(values):
     got = values(extract_readable, [f"<title>T</title><p>{S * 4}</p>", f"<p>{S}</p>", None, ""])
     assert [(r.title, r.method, r.error) for r in got] == [("T", "readability", None), *[("", "readability-failed", "content too short")] * 3]
+
+
+def test_references_without_semicolon(spark):
+    page = f"<title>A&amp;&amp</title><article><p>R&D &copy &lt;b&gt; &#65; &#66 &nosuch; {S * 4}</p></article>"
+    d = spark.createDataFrame([(page,)], "x string")
+    as_browsers = d.select(extract_readable("x").alias("y")).first().y
+    as_written = d.select(extract_readable("x", open_references=False).alias("y")).first().y
+    assert as_browsers.title == "A&&" and as_browsers.text.startswith("R&D © <b> A B &nosuch; ")
+    assert as_written.title == "A&&amp" and as_written.text.startswith("R&D &copy <b> A &#66 &nosuch; ")
