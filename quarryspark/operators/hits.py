@@ -56,15 +56,16 @@ def top_hits(hits: DataFrame, k: int, *, key: str = "query_id", pos: str = "pos"
     return drop_duplicate_hits(shown, key=key, pos=pos).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(key, "rank", "title", "url", "snippet", "score")
 
 
-def join_pages(hits: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(content items, failures): hits with what was fetched for their address.
+def join_pages(hits: DataFrame, pages: DataFrame, on: tuple[str, ...] = ("url",)) -> tuple[DataFrame, DataFrame]:
+    """(content items, failures): hits with what was fetched for their address, or why it wasn't.
 
     ``pages``: url, success, title, content, error, category; of several rows an address, a
-    fetched one is used, the first by title and content.
+    fetched one is used, the first by title and content. ``on``: what a page belongs to a hit
+    by; where an address was fetched for several hits apart, their key too.
     """
     first = F.min(F.struct((~F.col("success")).alias("lost"), "title", "content", "error", "category")).alias("p")
-    one = pages.groupBy("url").agg(first).select("url", (~F.col("p.lost")).alias("success"), F.col("p.title").alias("_title"), "p.content", "p.error", "p.category")
-    both = hits.join(one, "url")
+    one = pages.groupBy(*on).agg(first).select(*on, (~F.col("p.lost")).alias("success"), F.col("p.title").alias("_title"), "p.content", "p.error", "p.category")
+    both = hits.join(one, list(on))
     items = both.filter("success").select(*[c for c in hits.columns if c != "title"], F.coalesce(F.nullif("_title", F.lit("")), "title").alias("title"), "content")
-    failures = both.filter("NOT success").select("url", "category", "error")
+    failures = both.filter("NOT success").select(*hits.columns, "category", "error")
     return items, failures
