@@ -66,6 +66,8 @@ class ScrapeConfig:
     max_content_chars: int = 8_000
     max_redirects: int = 5
     min_content_chars: int = 200
+    #: whether character references of HTML that lack their semicolon are decoded, as in browsers
+    open_references: bool = True
 
     @classmethod
     def load(cls, env: Mapping[str, str] = os.environ, **overrides) -> ScrapeConfig:

@@ -212,15 +212,18 @@ def render_pages(pages: DataFrame, renderer: Renderer | None) -> DataFrame:
 SCRAPED = ("url", "success", "title", "content", "method", "truncated", "content_length", "error", "category")
 
 
-def scraped(fetched: DataFrame, config: ScrapeConfig = ScrapeConfig(), renderer: Renderer | None = None) -> DataFrame:
-    """From fetched bytes to text: decode, route, extract, render short pages, truncate. Failures are rows."""
+def scraped(fetched: DataFrame, config: ScrapeConfig = ScrapeConfig(), renderer: Renderer | None = None, *, keys: tuple[str, ...] = ()) -> DataFrame:
+    """From fetched bytes to text: decode, route, extract, render short pages, truncate. Failures are rows.
+
+    ``keys``: columns of ``fetched`` that go along, such as the query a page was fetched for.
+    """
     text = decode_bytes("body", detect_charset("content_type", "body"))
     good = F.col("error").isNull() & F.col("status").between(200, 299) & F.col("body").isNotNull()
     routed = fetched.withColumn("_ok", F.coalesce(good, F.lit(False))).withColumn("_text", F.when(F.col("_ok"), text)).withColumn("_r", route_content("content_type", "_text"))
-    read = routed.withColumn("_x", extract_readable(F.when(F.col("_r.kind") == "html", F.col("_text"))))
+    read = routed.withColumn("_x", extract_readable(F.when(F.col("_r.kind") == "html", F.col("_text")), config.open_references))
     short = F.col("_ok") & (F.col("_r.kind") == "html") & (F.length("_x.text") < config.min_content_chars)
     if renderer is not None:
-        again = render_pages(read.filter(short), renderer).withColumn("_y", extract_readable("rendered"))
+        again = render_pages(read.filter(short), renderer).withColumn("_y", extract_readable("rendered", config.open_references))
         better = F.length("_y.text") >= F.length("_x.text")
         again = again.withColumn("_x", F.when(better, F.struct(F.col("_y.title").alias("title"), F.col("_y.text").alias("text"), F.lit("rendered").alias("method"), F.col("_y.error").alias("error"))).otherwise(F.col("_x"))).drop("rendered", "_y")
         read = read.filter(~short).unionByName(again)
@@ -235,7 +238,7 @@ def scraped(fetched: DataFrame, config: ScrapeConfig = ScrapeConfig(), renderer:
     cut = truncate_at_word(content, config.max_content_chars)
     ok = failed.isNull()
     return read.select(
-        "url", ok.alias("success"), F.when(ok, F.when(html, F.col("_x.title")).otherwise(F.lit(""))).alias("title"), F.when(ok, cut).alias("content"), F.when(ok, F.when(html, F.col("_x.method")).otherwise(F.col("_r.method"))).alias("method"),
+        *(k for k in keys if k != "url"), "url", ok.alias("success"), F.when(ok, F.when(html, F.col("_x.title")).otherwise(F.lit(""))).alias("title"), F.when(ok, cut).alias("content"), F.when(ok, F.when(html, F.col("_x.method")).otherwise(F.col("_r.method"))).alias("method"),
         F.when(ok, F.lit(config.max_content_chars > 0) & (F.length(content) > config.max_content_chars)).alias("truncated"), F.when(ok, F.length(cut)).alias("content_length"), failed.alias("error"), F.when(~ok, error_category(failed)).alias("category"),
     )
 
@@ -263,9 +266,9 @@ def scrape(urls: DataFrame, config: ScrapeConfig | None = None, *, transport: Tr
     return scraped(fetched, config, renderer).unionByName(_refused(checked.filter("_why IS NOT NULL"), "_why"))
 
 
-def _refused(urls: DataFrame, why: str) -> DataFrame:
+def _refused(urls: DataFrame, why: str, keys: tuple[str, ...] = ()) -> DataFrame:
     none = [F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("content", "string"), ("method", "string"), ("truncated", "boolean"), ("content_length", "int"))]
-    return urls.select("url", F.lit(False).alias("success"), *none, F.col(why).alias("error"), error_category(why).alias("category"))
+    return urls.select(*(k for k in keys if k != "url"), "url", F.lit(False).alias("success"), *none, F.col(why).alias("error"), error_category(why).alias("category"))
 
 
 def fetcher(config: ScrapeConfig | None = None, *, tasks: int | None = None, urls_a_task: int = URLS_A_TASK, tasks_a_host: int = TASKS_A_HOST, transport: Transport = http_transport, resolve: Resolver | None = None, renderer: Renderer | None = None, at_once: int | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -273,15 +276,18 @@ def fetcher(config: ScrapeConfig | None = None, *, tasks: int | None = None, url
     return lambda urls: scrape(deal_by_host(urls, tasks=tasks, urls_a_task=urls_a_task, tasks_a_host=tasks_a_host), config, transport=transport, resolve=resolve, renderer=renderer, at_once=at_once)
 
 
-def recorded_pages(fetched: DataFrame, config: ScrapeConfig | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A stage that looks pages up in a table (url, status, status_text, content_type, body, error), with the checks of a fetch."""
+def recorded_pages(fetched: DataFrame, config: ScrapeConfig | None = None, *, keys: tuple[str, ...] = ("url",)) -> Callable[[DataFrame], DataFrame]:
+    """A stage that looks pages up in a table (url, status, status_text, content_type, body, error), with the checks of a fetch.
+
+    ``keys``: what a page is found by, ``url`` among it; with ``query_id`` each query has pages of its own.
+    """
 
     def stage(urls: DataFrame) -> DataFrame:
-        checked = urls.select(F.col("url").alias("_u")).distinct().withColumn("_why", fetch_error("_u"))
-        both = checked.filter("_why IS NULL").join(fetched, F.col("_u") == F.col("url"), "left")
-        missing = F.coalesce("error", F.when(F.col("url").isNull(), F.lit("Network error: no recorded page")))
-        found = both.select(F.col("_u").alias("url"), "status", "status_text", "content_type", "body", missing.alias("error"))
-        return scraped(found, config or ScrapeConfig.load()).unionByName(_refused(checked.filter("_why IS NOT NULL").withColumnRenamed("_u", "url"), "_why"))
+        checked = urls.select(*keys).distinct().withColumn("_why", fetch_error("url"))
+        known = fetched.select(*keys, "status", "status_text", "content_type", "body", "error", F.lit(True).alias("_known"))
+        both = checked.filter("_why IS NULL").join(known, list(keys), "left")
+        found = both.withColumn("error", F.coalesce("error", F.when(F.col("_known").isNull(), F.lit("Network error: no recorded page")))).drop("_why", "_known")
+        return scraped(found, config or ScrapeConfig.load(), keys=keys).unionByName(_refused(checked.filter("_why IS NOT NULL"), "_why", keys))
 
     return stage
 
