@@ -192,20 +192,20 @@ _DIGEST = "struct<answer:string,key_points:array<string>,sources:array<struct<ur
 def web_fetch(pages: DataFrame, make_model: Callable[[], Model], *, config: PipelineConfig | None = None, model: ModelConfig | None = None, focus: str | None = None, seconds: float | None = None) -> DataFrame:
     """(url, outcome, digest, text): a digest a page, or why there is none; an excerpt where ``seconds`` run out.
 
-    Pages of partitions that were not finished in time are not among the rows; ``run_fetch``
+    A row of ``pages`` is a page, also where several have one address. Pages of partitions that were not finished in time are not among the rows; ``run_fetch``
     says so of each.
     """
     config, model = config or PipelineConfig.load(), model or ModelConfig.load()
     spark = pages.sparkSession
     deadline = None if seconds is None else time.monotonic() + seconds
-    pages, late = rows_in_time(pages, deadline)
+    pages, late = rows_in_time(pages.withColumn("_page", F.monotonically_increasing_id()), deadline)
     good = F.col("success") & (F.length("content") >= 1)
-    items = pages.filter(good).select(F.col("url").alias("query_id"), F.col("url").alias("query"), F.lit(0).cast("long").alias("rank"), "title", "url", F.lit(1.0).alias("score"), "content")
+    items = pages.filter(good).select(F.col("_page").alias("query_id"), F.col("url").alias("query"), F.lit(0).cast("long").alias("rank"), "title", "url", F.lit(1.0).alias("score"), "content")
     try:
         if late:
             raise PipelineTimeout("the time ran out before all pages were there")
         digests = within(spark, deadline, lambda: materialize(synthesize(items, make_model, model, focus=_focus(focus))))
-        done = digests.select(F.col("query_id").alias("url"), F.lit("success").alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"))
+        done = digests.select(F.col("query").alias("url"), F.lit("success").alias("outcome"), "digest", tool_success(format_digest("digest.answer", "digest.key_points", "digest.sources")).alias("text"))
     except PipelineTimeout as e:
         log.warning("%s, going on with excerpts", e)
         shown = page_excerpt("url", "title", "content", config.max_content_chars)
