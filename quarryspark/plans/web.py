@@ -84,6 +84,7 @@ def web_search(
     max_results: int | None = 5,
     focus: str | None = None,
     seconds: float | None = None,
+    page_keys: tuple[str, ...] = ("url",),
 ) -> DataFrame:
     """(query_id, query, outcome, digest, text, scraped, failed, items): hits are (query_id, query, rank, title, url, snippet, score), pages as ``scrape`` gives them.
 
@@ -91,8 +92,9 @@ def web_search(
     partial, where some pages were not to be had; degraded, where the digest is of excerpts
     because ``seconds`` ran out; failed, where ``text`` says why there is no digest. Pages
     count by partitions: when the time runs out, excerpts are made of the partitions that
-    were finished, and PipelineTimeout is raised only where that is no page at all. Settings
-    that are not given come from the environment.
+    were finished, and PipelineTimeout is raised only where that is no page at all. A page is a
+    hit's by its address, or by ``page_keys``, columns of both. Settings that are not given
+    come from the environment.
     """
     model, dedup, config = model or ModelConfig.load(), dedup or DedupConfig.load(), config or PipelineConfig.load()
     spark, began = hits.sparkSession, time.monotonic()
@@ -102,7 +104,7 @@ def web_search(
     if max_results is not None:
         usable = usable.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= max_results).drop("_nth")
     pages, late = rows_in_time(pages, deadline)
-    items, failures = join_pages(usable, pages)
+    items, failures = join_pages(usable, pages, page_keys)
     items, n = materialize_counted(items)
     log.info("stage=scrape items=%d ms=%d", n, (time.monotonic() - began) * 1000)
 
@@ -121,12 +123,11 @@ def web_search(
         cut_off = excerpts_after_timeout(items, most=config.max_content_chars)
         digest = F.struct("digest.answer", "digest.key_points", "digest.sources", F.lit(True).alias("degraded"))
         late, kept, digests = True, items, cut_off.select("query_id", digest.alias("digest"), F.lit(True).alias("late"))
-    lost = usable.select("query_id", "rank", "url").join(failures.select("url", "error").distinct(), "url")
     line = F.struct("rank", F.concat(F.lit("  - "), F.col("url"), F.lit(": "), F.col("error")).alias("line"))
     one = lambda name: F.lit(1).cast("long").alias(name)
     # all that is known of a query, in one aggregation
     told = hits.select("query_id", "query")
-    for part in (items.select("query_id", one("scraped")), lost.select("query_id", one("failed"), line.alias("line")), kept.select("query_id", one("items")), digests):
+    for part in (items.select("query_id", one("scraped")), failures.select("query_id", one("failed"), line.alias("line")), kept.select("query_id", one("items")), digests):
         told = told.unionByName(part, allowMissingColumns=True)
     summed = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("scraped", "failed", "items")]
     out = told.groupBy("query_id").agg(F.max("query").alias("query"), *summed, F.first("digest", ignorenulls=True).alias("digest"), F.first("late", ignorenulls=True).alias("late"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]), "\n").alias("why"))
