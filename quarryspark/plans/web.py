@@ -149,12 +149,14 @@ def run_search(
     max_results: int = 5,
     focus: str | None = None,
     seconds: float | None = None,
+    page_keys: tuple[str, ...] = ("url",),
 ) -> DataFrame:
     """``web_search`` for a table of queries (query_id, query), from the text of each to its digest, in one row each.
 
     ``ask`` gives each query its node's answer (``sources.search.ask_nodes`` or
     ``recorded_answers``), ``fetch`` each address its page (``sources.pages.fetcher`` or
-    ``recorded_pages``). An address that several queries hit is fetched once. Blank and
+    ``recorded_pages``). An address that several queries hit is fetched once, or for each
+    query where ``page_keys``, which ``fetch`` is given and gives back, name it too. Blank and
     overlong queries, those whose node failed or had no hit, and those that were not reached
     in ``seconds`` are failed, and ``text`` says why. Ids are distinct.
     """
@@ -171,7 +173,7 @@ def run_search(
     log.info("stage=search hits=%d ms=%d", n, (time.monotonic() - began) * 1000)
     left = None if deadline is None else max(0.0, deadline - time.monotonic())
     try:
-        found = web_search(hits, fetch(hits.select("url").distinct()), make_model, model=model, dedup=dedup, config=config, max_results=max_results, focus=focus, seconds=left)
+        found = web_search(hits, fetch(hits.select(*page_keys).distinct()), make_model, model=model, dedup=dedup, config=config, max_results=max_results, focus=focus, seconds=left, page_keys=page_keys)
     except PipelineTimeout:
         if not n:
             raise
