@@ -10,8 +10,14 @@ follow it in both sets (position filter).
 
 Sets of one element meet by length only: lengths are parted in classes whose bounds grow by
 1 / t, and a set meets those of its own class and of the one above, as others cannot be
-similar. Classes with very many sets are dealt to several tasks: the larger sets by a hash,
-the smaller ones to all of these. Candidates are verified on the full sets.
+similar. Where very many meet, both sides are dealt in blocks, and each block of the one meets
+each of the other, blocks being dealt to tasks by a hash. How many pairs meet is counted first,
+and there are as many tasks as that takes, so none compares more because the input is larger.
+
+A pair meets at every element that both prefixes hold and counts at the first of them, which is
+in both prefixes if the pair is similar. Sets of up to CARRIED elements travel with their
+prefixes, so their pairs are verified where they meet, and no list of pairs is held or shuffled.
+Pairs with a longer set are listed, and verified by looking the sets up.
 """
 
 from __future__ import annotations
@@ -26,8 +32,12 @@ from pyspark.sql import functions as F
 from quarryspark.runtime import materialize
 
 log = logging.getLogger(__name__)
-#: sets of one element that a task compares, about
-SPLIT = 5_000
+#: sets of one element that a block holds, about, where more pairs meet than two blocks make
+SPLIT = 1_500
+#: pairs that a task compares, about
+PAIRS_A_TASK = 2_000_000
+#: elements of a set that travels with its prefix
+CARRIED = 64
 #: fixed value: items to compare with each other from which on a warning is due
 MANY_ITEMS = 50
 
@@ -62,28 +72,44 @@ def similar_pairs(sets: DataFrame, threshold: float, *, id_col: str = "item_id",
     both = 2 * threshold / (1 + threshold)
     length = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9).cast("int") + 1
     placed = F.filter(F.transform(F.slice("o", F.lit(1), length(threshold)), lambda x, at: F.struct(x["df"].alias("df"), x["e"].alias("e"), at.alias("at"))), lambda x: x["df"] > 1)
-    prefix = ordered.select("id", "n", length(both).alias("short"), F.explode(placed).alias("x")).select("id", "n", "short", "x.*")
+    carried = F.when(F.col("n") <= CARRIED, F.transform("o", lambda x: x["e"]))
+    prefix = ordered.select("id", "n", carried.alias("s"), length(both).alias("short"), F.explode(placed).alias("x")).select("id", "n", "s", "short", "x.*")
     # lengths of one class differ by less than 1 / threshold
     growth = math.log(1 / threshold) if threshold < 1 else None
     level = F.col("n") if growth is None else F.floor(F.log(F.col("n").cast("double")) / growth + 1e-9).cast("int")
     prefix = materialize(prefix.withColumn("level", level))
-    small = prefix.filter("at < short")
     above = 0 if growth is None else 1
-    met = small.select("id", "n", "e", "at", F.explode(F.sequence("level", F.col("level") + above)).alias("level"))
-    large = prefix.groupBy(F.col("e").alias("_e"), F.col("level").alias("_level")).agg(F.count(F.lit(1)).alias("many"))
+    small = prefix.filter("at < short").select("id", "n", "s", "e", "at", F.explode(F.sequence("level", F.col("level") + above)).alias("level"))
+    large = prefix.select("id", "n", "s", "e", "at", "level")
+    counts = lambda d, name: d.groupBy("e", "level").agg(F.count(F.lit(1)).alias(name))
+    crowds = materialize(counts(small, "few").join(counts(large, "many"), ["e", "level"]))
+    met = crowds.agg(F.coalesce(F.sum(F.col("few") * F.col("many")), F.lit(0))).first()[0]
     if warn is not None:
-        few = met.groupBy("e", "level").agg(F.count(F.lit(1)).alias("few"))
-        warn(few.join(large, (F.col("e") == F.col("_e")) & (F.col("level") == F.col("_level"))).agg(F.coalesce(F.sum(F.col("few") * F.col("many")), F.lit(0))).first()[0])
-    split = large.filter(F.col("many") > SPLIT).select("_e", "_level", F.ceil(F.col("many") / SPLIT).cast("int").alias("tasks"))
-    dealt = lambda d: d.join(split, (F.col("e") == F.col("_e")) & (F.col("level") == F.col("_level")), "left").withColumn("tasks", F.coalesce("tasks", F.lit(1))).drop("_e", "_level")
-    small = dealt(met).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("a")
-    large = dealt(prefix.select("id", "n", "e", "at", "level")).withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).alias("b")
-    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1 + F.least("a.at", "b.at")
-    near = smaller & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed)
-    pairs = small.join(large, (F.col("a.e") == F.col("b.e")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.task") == F.col("b.task")) & near)
-    candidates = pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
-    left, right = base.select(F.col("id").alias("src"), F.col("s").alias("_x")), base.select(F.col("id").alias("dst"), F.col("s").alias("_y"))
-    verified = candidates.join(left, "src").join(right, "dst").select("src", "dst", jaccard("_x", "_y").alias("similarity"))
-    return verified.filter(F.col("similarity") >= threshold)
+        warn(met)
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(met / PAIRS_A_TASK))
+    blocks = crowds.filter(F.col("few") * F.col("many") > SPLIT**2).select("e", "level", F.ceil(F.col("few") / SPLIT).cast("int").alias("rows"), F.ceil(F.col("many") / SPLIT).cast("int").alias("cols"))
+
+    def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
+        """``d`` with the block of its side that a row is in, and once for each block of the other side."""
+        size = lambda side: F.coalesce(side, F.lit(1))
+        d = d.join(blocks, ["e", "level"], "left").withColumn(f"_{own}", F.pmod(F.xxhash64("id"), size(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), size(other) - 1)))
+        return d.drop("rows", "cols").repartition(tasks, "e", "level", "_rows", "_cols")
+
+    def meeting(small: DataFrame, large: DataFrame, possible: Column) -> DataFrame:
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("e", "level", "_rows", "_cols")]
+        smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+        needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+        near = smaller & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (possible >= needed)
+        pairs = dealt(small, "rows", "cols").alias("a").join(dealt(large, "cols", "rows").alias("b"), same[0] & same[1] & same[2] & same[3] & near)
+        return pairs.withColumns({"src": F.least("a.id", "b.id"), "dst": F.greatest("a.id", "b.id")})
+
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    short = F.col("n") <= CARRIED
+    # what both hold, in the order of the elements: it begins with the one that the pair counts at
+    seen = meeting(small.filter(short), large.filter(short), left).select("src", "dst", "a.e", (F.col("a.n") + F.col("b.n")).alias("n"), F.array_intersect("a.s", "b.s").alias("common"))
+    counted = seen.filter(F.try_element_at("common", F.lit(1)) == F.col("e")).select("src", "dst", F.try_divide(F.size("common"), F.col("n") - F.size("common")).alias("similarity"))
+    # sets that meet longer ones are not much shorter themselves
+    listed = meeting(small.filter(F.col("n") >= CARRIED * threshold).drop("s"), large.filter(~short).drop("s"), left + F.least("a.at", "b.at")).select("src", "dst").distinct()
+    x, y = base.select(F.col("id").alias("src"), F.col("s").alias("_x")), base.select(F.col("id").alias("dst"), F.col("s").alias("_y"))
+    looked_up = listed.join(x, "src").join(y, "dst").select("src", "dst", jaccard("_x", "_y").alias("similarity"))
+    return counted.unionByName(looked_up).filter(F.col("similarity") >= threshold)

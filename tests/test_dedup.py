@@ -135,3 +135,20 @@ def test_pairs_of_hot_elements_meet_by_length_and_are_announced(spark, monkeypat
     far = spark.createDataFrame([(k, list(range(2**k))) for k in range(9)] + [(9, list(range(256)))], "item_id long, fingerprints array<long>")
     assert [(x.src, x.dst) for x in similar_pairs(far, 0.9, warn=met.append).collect()] == [(8, 9)]
     assert simjoin.warn_high_pairwise_cost(51, 3) and not simjoin.warn_high_pairwise_cost(50, 3)
+
+
+@pytest.mark.parametrize("carried", [0, 4, 64])
+def test_pairs_are_dealt_in_blocks_and_counted_once(spark, monkeypatch, carried):
+    monkeypatch.setattr(simjoin, "SPLIT", 5)
+    monkeypatch.setattr(simjoin, "PAIRS_A_TASK", 100)
+    monkeypatch.setattr(simjoin, "CARRIED", carried)
+    r = random.Random(3)
+    sets = [{0, 1} | set(r.sample(range(2, 40), k % 9)) for k in range(90)]
+    d = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "item_id long, fingerprints array<long>")
+    for t in (0.3, 0.7):
+        told = []
+        pairs = similar_pairs(d, t, warn=told.append)
+        rows = pairs.collect()
+        assert {(x.src, x.dst): x.similarity for x in rows} == _brute(sets, t) and len(rows) == len(_brute(sets, t))
+        if carried == 64:  # verified where they meet: no task takes more than its share of the pairs
+            assert pairs.rdd.getNumPartitions() >= told[0] / 100
