@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 #: fixed value: white space, as the inside of a character class
 WS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: the same characters one by one
+WHITE = WS.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))
 #: fixed values: ranges of characters that count as 1.5 to a token
 CJK_RANGES = (
     (0x3000, 0x303F),
@@ -42,11 +44,12 @@ def _col(c: Column | str) -> Column:
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^[{WS}]+|[{WS}]+\\z", "")
+    """Without white space at both ends; by a set of characters, as a pattern is tried at each white space of a text."""
+    return F.trim(_col(c), F.lit(WHITE))
 
 
 def trim_end(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"[{WS}]+\\z", "")
+    return F.rtrim(_col(c), F.lit(WHITE))
 
 
 def collapse_white(c: Column | str) -> Column:
@@ -142,7 +145,12 @@ def hard_cut(c: Column | str, most: Column | int) -> Column:
 
 def _to_first_period(c: Column | str) -> Column:
     """Up to the first period if white space or the end follows it, else ''."""
-    return F.regexp_extract(js_trim(c), f"(?s)\\A([^.]*\\.)(?:[{WS}].*)?\\z", 1)
+
+    def cut(t: Column, at: Column) -> Column:
+        return F.when((at > 0) & F.substr(t, at + 1, F.lit(1)).rlike(f"\\A[{WS}]?\\z"), F.left(t, at)).otherwise(F.lit(""))
+
+    # a lambda's argument is computed once, an expression each time it stands
+    return F.transform(F.array(js_trim(c)), lambda t: F.transform(F.array(F.instr(t, ".")), lambda at: cut(t, at))[0])[0]
 
 
 def first_sentence(c: Column | str) -> Column:
