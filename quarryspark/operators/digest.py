@@ -137,13 +137,13 @@ def parse_digest(c: Column | str) -> Column:
     """struct(answer, key_points, sources): headings, else words, else the whole text is the answer."""
     text = _col(c)
 
-    def parsed(x: Column) -> Column:
+    def parsed(text: Column, x: Column) -> Column:
         answer = F.coalesce(x["answer"], js_trim(text))
         points = F.when(x["answer"].isNull(), F.array().cast("array<string>")).otherwise(key_points(x["key_points"]))
         return F.struct(answer.alias("answer"), points.alias("key_points"), source_list(x["sources"]).alias("sources"))
 
-    by_heading = heading_sections(text)
-    return _let(_let(by_heading, lambda h: F.when(h["answer"].isNotNull(), h).otherwise(keyword_sections(text))), parsed)
+    by_words = lambda text: lambda h: F.when(h["answer"].isNotNull(), h).otherwise(keyword_sections(text))
+    return _let(_col(c), lambda text: _let(_let(heading_sections(text), by_words(text)), lambda x: parsed(text, x)))
 
 
 def reconcile_sources(parsed: Column | str, known: Column | str) -> Column:
