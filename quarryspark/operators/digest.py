@@ -135,7 +135,6 @@ def first_by_url(sources: Column) -> Column:
 
 def parse_digest(c: Column | str) -> Column:
     """struct(answer, key_points, sources): headings, else words, else the whole text is the answer."""
-    text = _col(c)
 
     def parsed(text: Column, x: Column) -> Column:
         answer = F.coalesce(x["answer"], js_trim(text))
@@ -178,19 +177,20 @@ def items_of(items: DataFrame, key: str, pos: str) -> DataFrame:
 def shown_items(items: DataFrame, key: str, pos: str, most: int = EXCERPT_CHARS, *, titled: bool = False) -> DataFrame:
     """``items_of`` for a stand-in of at most ``most`` characters, with entries titled or not: struct(pos, title, url, score, content, point).
 
-    Items are ranked, and the lengths of those before each summed up, by a window over rows;
-    contents beyond the budget are dropped and others cut to it before anything is gathered,
-    and key points are taken from the rows. So what is held of a query is a budget, its
+    Contents are measured and cut to the budget, and key points taken from them, where they
+    lie; then rows are ranked, and the lengths of those before each summed up, by a window, and
+    contents beyond the budget dropped before anything is gathered. So what is held of a query is a budget, its
     titles and addresses, however long its contents are.
     """
-    order = Window.partitionBy(key).orderBy(-F.col("score").cast("double"), F.col(pos).cast("long"))
+    order = Window.partitionBy(key).orderBy(-F.col("score"), "pos")
     text = F.col("content") if titled else js_trim("content")
     size = F.length(text) + (F.length("title") + F.length("url") + 5 if titled else F.lit(0))
-    used = F.sum(F.when((size > 0) | F.lit(titled), size + 2).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     sentence = (key_point_sentence if titled else first_sentence)("content")
-    ranked = items.select(
-        key, F.col(pos).cast("long").alias("pos"), "title", "url", F.col("score").cast("double").alias("score"),
-        F.when(F.coalesce(used, F.lit(0)) < most, F.left(text, F.lit(most + 1))).otherwise(F.lit("")).alias("content"), F.when(F.row_number().over(order) <= EXCERPT_POINTS, sentence).otherwise(F.lit("")).alias("point"),
+    cut = items.select(key, F.col(pos).cast("long").alias("pos"), "title", "url", F.col("score").cast("double").alias("score"), size.alias("size"), F.left(text, F.lit(most + 1)).alias("content"), sentence.alias("point"))
+    used = F.sum(F.when((F.col("size") > 0) | F.lit(titled), F.col("size") + 2).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = cut.select(
+        key, "pos", "title", "url", "score",
+        F.when(F.coalesce(used, F.lit(0)) < most, F.col("content")).otherwise(F.lit("")).alias("content"), F.when(F.row_number().over(order) <= EXCERPT_POINTS, F.col("point")).otherwise(F.lit("")).alias("point"),
     )
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "url", "score", "content", "point"))).alias("items"))
 
