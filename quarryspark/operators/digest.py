@@ -72,8 +72,8 @@ def _inline(rest: Column) -> Column:
     return _let(F.ltrim(_unbold(rest), F.lit(" \t")), lambda t: js_trim(F.when(F.left(t, F.lit(1)).isin(*DASHES), F.substr(t, F.lit(2))).otherwise(t)))
 
 
-def _sections(text: Column, inline: bool) -> Column:
-    """struct(answer, key_points, sources): text of each section, null where it is missing or empty; a section's first line counts."""
+def _sections(text: Column, inline: bool, blank_answer: bool) -> Column:
+    """struct(answer, key_points, sources): text of each section, null where it is missing or empty; a section's first line counts. ``blank_answer``: an empty answer is ''."""
     open_line = _word if inline else _heading
 
     def cut(lines: Column) -> Column:
@@ -88,19 +88,19 @@ def _sections(text: Column, inline: bool) -> Column:
         body = js_trim(F.array_join(F.slice(lines, start + 1, end - start - 1), "\n"))
         if inline:
             body = F.array_join(F.filter(F.array(_inline(F.try_element_at(opened, start)["rest"]), body), lambda s: s != ""), "\n")
-        return F.when(start > 0, F.nullif(body, F.lit("")))
+        return F.when(start > 0, body if blank_answer and k == "answer" else F.nullif(body, F.lit("")))
 
     return _let(F.split(text, "\n"), cut)
 
 
-def heading_sections(c: Column | str) -> Column:
+def heading_sections(c: Column | str, blank_answer: bool = False) -> Column:
     """struct(answer, key_points, sources) by Markdown headings."""
-    return _sections(_col(c), False)
+    return _sections(_col(c), False, blank_answer)
 
 
-def keyword_sections(c: Column | str) -> Column:
+def keyword_sections(c: Column | str, blank_answer: bool = False) -> Column:
     """struct(answer, key_points, sources) by words at the start of lines."""
-    return _sections(_col(c), True)
+    return _sections(_col(c), True, blank_answer)
 
 
 def key_points(c: Column | str) -> Column:
@@ -133,16 +133,20 @@ def first_by_url(sources: Column) -> Column:
     return F.filter(sources, lambda s, i: F.array_position(urls, s["url"]) == i + 1)
 
 
-def parse_digest(c: Column | str) -> Column:
-    """struct(answer, key_points, sources): headings, else words, else the whole text is the answer."""
+def parse_digest(c: Column | str, blank_answer: bool = False) -> Column:
+    """struct(answer, key_points, sources): headings, else words, else the whole text is the answer.
+
+    ``blank_answer``: a section of the answer that is there and empty is an empty answer, beside its
+    points; else it counts as missing.
+    """
 
     def parsed(text: Column, x: Column) -> Column:
         answer = F.coalesce(x["answer"], js_trim(text))
         points = F.when(x["answer"].isNull(), F.array().cast("array<string>")).otherwise(key_points(x["key_points"]))
         return F.struct(answer.alias("answer"), points.alias("key_points"), source_list(x["sources"]).alias("sources"))
 
-    by_words = lambda text: lambda h: F.when(h["answer"].isNotNull(), h).otherwise(keyword_sections(text))
-    return _let(_col(c), lambda text: _let(_let(heading_sections(text), by_words(text)), lambda x: parsed(text, x)))
+    by_words = lambda text: lambda h: F.when(h["answer"].isNotNull(), h).otherwise(keyword_sections(text, blank_answer))
+    return _let(_col(c), lambda text: _let(_let(heading_sections(text, blank_answer), by_words(text)), lambda x: parsed(text, x)))
 
 
 def reconcile_sources(parsed: Column | str, known: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Odd tables against the SQL: pages whose article is shorter than their footer, or empty."""
+"""Odd tables against the SQL: pages whose article is shorter than their footer or empty, documents without text."""
 
 import html
 
@@ -41,3 +41,26 @@ def test_no_aside_stands_for_a_named_part():
     assert readable(f"<article></article>{FOOTER}") == ("", "") and readable(f"<main><p>Hi</p></main>{FOOTER}")[1] == "Hi"
     assert readable(f"<article><a href=x>one</a></article><article><a href=y>two</a></article>{FOOTER}")[1] == "one\ntwo"
     assert readable(FOOTER)[1].startswith("Copyright")
+
+
+@pytest.fixture(scope="module")
+def blank_documents(spark, tmp_path_factory):
+    """Sixty documents of twelve texts, most of them blank or null."""
+    folder = str(tmp_path_factory.mktemp("blank"))
+    texts = ["A. B.\nc", "", "One more document.", None, " ", "\n", "Long enough. " * 9, "\t\r\n", "　", "x", "", "De la."]
+    rows = [(k, texts[k // 3 % 12], f"src{k % 4}") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["digest_parse", "reconcile_sources"])
+def test_blank_documents(spark, blank_documents, name):
+    assert_as_sql(spark, blank_documents, "documents", name)
+
+
+def test_blank_answers(values):
+    from quarryspark.operators.digest import parse_digest
+
+    said = "## Answer\n\n## Key Points\n- p\n## Sources\nhttps://a.com"
+    assert [(r.answer, r.key_points) for r in values(lambda c: parse_digest(c, blank_answer=True), [said, "Answer:\nKey points:\n- p", ""])] == [("", ["p"]), ("", ["p"]), ("", [])]
+    assert values(parse_digest, [said])[0].answer == said
