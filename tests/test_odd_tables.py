@@ -53,7 +53,7 @@ def blank_documents(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["digest_parse", "reconcile_sources", "digest_format", "batch_assign", "prompt_build"])
+@pytest.mark.parametrize("name", ["digest_parse", "reconcile_sources", "digest_format", "batch_assign", "prompt_build", "route_flag"])
 def test_blank_documents(spark, blank_documents, name):
     assert_as_sql(spark, blank_documents, "documents", name)
 
