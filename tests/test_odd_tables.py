@@ -32,7 +32,7 @@ def short_articles(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["html_extract", "scrape_pages", "web_fetch", "web_search"])
+@pytest.mark.parametrize("name", ["html_extract", "scrape_pages", "web_fetch", "web_search", "search_flow"])
 def test_short_articles(spark, short_articles, name):
     assert_as_sql(spark, short_articles, "pages", name)
 
